@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.bounds import Classes, small
+from tallyforge.functions.skew import join_groups
 from tallyforge.operators.codec import family_of
 
 
@@ -143,3 +144,8 @@ def merge_sources(frames: Sequence[DataFrame], tags: Sequence[str], key: str) ->
         df = df.withColumn(key, F.concat(F.lit(f"{tag}::"), F.col(key).cast("string"))).withColumn("origin", F.lit(tag))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
+
+
+def drop_groups(df: DataFrame, groups: DataFrame, on: str, spread: str, size: str = "n") -> DataFrame:
+    """Rows whose ``on`` is not one of the groups (one row per key with its size)."""
+    return join_groups(df, groups, [on], spread, size, how="left_anti")
