@@ -31,52 +31,78 @@ def _buckets(d: DataFrame, cls: str, weight: Column) -> DataFrame:
     )
 
 
-def take_in_hash_order(
+def hash_cutoffs(
     df: DataFrame,
     cls: str,
     key: str,
-    target: Callable[[Column], Column],
+    goals: Callable[[Column], list[Column]],
     seed: object = 42,
     weight: str | None = None,
     rows: int | None = None,
     side: DataFrame | None = None,
-    out: str = "taken",
     digits: int = BUCKET_DIGITS,
 ) -> DataFrame:
-    """Mark, per class, rows in hash order while the weight of earlier rows is below the target.
+    """Per class the last (hash, key) whose earlier rows weigh less than each goal.
 
-    With no weight this takes the first ``target(n)`` rows of each class. ``side`` may bring
-    extra per-class columns for ``target``. Three narrow passes and no shuffle of the rows:
-    bucket weights, the rows of the one cut bucket per class, then a map-side comparison with
-    the per-class cut-off. ``rows`` bounds the number of classes.
+    ``goals(total)`` gives rising goals; without ``weight`` a goal is a row count. Two narrow
+    passes: bucket weights, then only the rows of the buckets in which a goal is reached, so
+    the rows themselves are never shuffled and no task sorts a whole class. The result is
+    class-sized: (cls, cuts) with one entry per goal above 0, in order. ``rows`` bounds the
+    number of classes, ``side`` may bring per-class columns for ``goals``.
     """
     w = F.col(weight) if weight else F.lit(1)
     d = _hashed(df, key, seed, digits)
     hist = _buckets(d, cls, w)
     if side is not None:
         hist = hist.join(small(side, rows), cls, "left")
-    goal = hist.withColumn("_goal", target(F.col("_total")))
-    # the bucket in which the running weight reaches the target, or the last one
+    listed = F.array(*[g.cast("double") for g in goals(F.col("_total"))])
+    goal = hist.select("*", F.posexplode(listed).alias("_i", "_goal"))
+    # the bucket in which the running weight reaches the goal, or the last one
+    after = F.col("_before") + F.col("_w")
     cut = goal.where(
-        (F.col("_before") < F.col("_goal"))
-        & (
-            (F.col("_goal") <= F.col("_before") + F.col("_w"))
-            | (F.col("_before") + F.col("_w") == F.col("_total"))
-        )
-    ).groupBy(cls).agg(F.min(F.struct("_b", "_before", "_goal")).alias("_c"))
-    cut = cut.select(cls, "_c.*")
-    inside = Window.partitionBy(cls).orderBy("_h", key).rowsBetween(Window.unboundedPreceding, -1)
-    narrow = d.select(cls, "_b", "_h", key, w.alias("_w"))
+        (F.col("_before") < F.col("_goal")) & ((F.col("_goal") <= after) | (after == F.col("_total")))
+    ).select(cls, "_b", "_before", "_i", "_goal")
+    narrow = d.select(cls, "_b", "_h", F.col(key).alias("_key"), w.alias("_w"))
+    inside = Window.partitionBy(cls, "_i").orderBy("_h", "_key").rowsBetween(Window.unboundedPreceding, -1)
+    n_goals = len(goals(F.lit(1)))
     last = (
-        narrow.join(small(cut, rows), [cls, "_b"])
+        narrow.join(small(cut, None if rows is None else rows * n_goals), [cls, "_b"])
         .withColumn("_run", F.col("_before") + F.coalesce(F.sum("_w").over(inside), F.lit(0)))
         .where(F.col("_run") < F.col("_goal"))
-        .groupBy(cls)
-        .agg(F.max(F.struct("_h", key)).alias("_last"))
+        .groupBy(cls, "_i")
+        .agg(F.max(F.struct("_h", "_key")).alias("_last"))
     )
-    marked = d.join(small(last, rows), cls, "left")
-    taken = F.coalesce(F.struct("_h", key) <= F.col("_last"), F.lit(False))
-    return marked.withColumn(out, taken).drop("_h", "_b", "_last")
+    cuts = F.array_sort(F.collect_list(F.struct("_i", "_last")))
+    return last.groupBy(cls).agg(F.transform(cuts, lambda c: c["_last"]).alias("cuts"))
+
+
+def cutoff_number(df: DataFrame, cls: str, key: str, cutoffs: DataFrame, seed: object, rows: int | None, out: str) -> DataFrame:
+    """Adds the number of cut-offs that lie before the row (NULL for a class without any), map-side."""
+    here = F.struct(F.col("_h").alias("_h"), F.col(key).alias("_key"))
+    marked = df.withColumn("_h", hash_hex(seed, key)).join(small(cutoffs, rows), cls, "left")
+    return marked.withColumn(out, F.when(F.col("cuts").isNotNull(), F.size(F.filter("cuts", lambda c: c < here)))).drop("_h", "cuts")
+
+
+def take_in_hash_order(
+    df: DataFrame,
+    cls: str,
+    key: str,
+    target: Callable[[Column], Column],
+    seed: object = 42,
+    weight: str | None = None,
+    rows: int | None = None,
+    side: DataFrame | None = None,
+    out: str = "taken",
+    cutoffs: DataFrame | None = None,
+) -> DataFrame:
+    """Mark, per class, rows in hash order while the weight of earlier rows is below the target.
+
+    With no weight this takes the first ``target(n)`` rows of each class.
+    """
+    if cutoffs is None:
+        cutoffs = hash_cutoffs(df, cls, key, lambda n: [target(n)], seed, weight, rows, side)
+    marked = cutoff_number(df, cls, key, cutoffs, seed, rows, out)
+    return marked.withColumn(out, F.coalesce(F.col(out) == 0, F.lit(False)))
 
 
 def hash_rank(

@@ -18,7 +18,8 @@ from tallyforge.functions.vectors import first_max, ordered, rank_of, with_softm
 SCALE = 1_000_000
 MAX_LENGTH = 12
 MAX_VOWELS = 9
-NOT_VOWELS = "[^aeiouyàâäáæèéêëíìîïóòôöœúùûü]"
+# Fixed value: letters counted as vowels.
+VOWELS = "aeiouyàâäáæèéêëíìîïóòôöœúùûü"
 
 
 def words_of(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -30,7 +31,7 @@ def words_of(df: DataFrame, text: str, *keep: str) -> DataFrame:
 FEATURES: dict[str, Callable[[Column], Column]] = {
     "lengths": lambda w: F.least(F.length(w), F.lit(MAX_LENGTH)).cast("string"),
     "finals": lambda w: F.substring(w, -1, 1),
-    "vowels": lambda w: F.least(F.length(F.regexp_replace(w, NOT_VOWELS, "")), F.lit(MAX_VOWELS)).cast("string"),
+    "vowels": lambda w: F.least(F.length(w) - F.length(F.translate(w, VOWELS, "")), F.lit(MAX_VOWELS)).cast("string"),
 }
 # How many tokens' worth of evidence a model may use (longer texts are averaged down to it).
 EVIDENCE = {"lengths": 16.0, "finals": 2.0, "vowels": 16.0}
@@ -99,7 +100,7 @@ def nb_score(
     evidence: Mapping[str, float] = EVIDENCE,
     folds: int = 0,
 ) -> DataFrame:
-    """Score vectors per (keys, model). Tokens meet the model map-side and are summed before the
+    """Score vectors per (keys, model), with ``known`` = tokens the model knew. Tokens meet the model map-side and are summed before the
     one shuffle, which moves one row of class sums per item and model."""
     on = ["model", "token"] + (["fold"] if folds else [])
     hit = tokens.join(model, on, "left")
@@ -111,7 +112,7 @@ def nb_score(
     per = per.withColumn("f", F.when(F.col("known") > cap, cap / F.col("known")).otherwise(1.0))
     per = per.join(small(prior, folds or 1), "fold") if folds else per.join(small(prior, 1))
     score = F.transform("s", lambda x, i: (F.get("prior", i).cast("double") + x.cast("double") * F.col("f")) / float(SCALE))
-    return per.select(*[c for c in by if c != "fold"], *(["fold"] if folds else []), score.alias("scores"))
+    return per.select(*[c for c in by if c != "fold"], *(["fold"] if folds else []), score.alias("scores"), "known")
 
 
 def batch_score(df: DataFrame, make_fn: Callable[[], Callable], schema: str) -> DataFrame:

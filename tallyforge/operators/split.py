@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.bounds import Classes, small
 from tallyforge.functions.hashing import hash_hex
-from tallyforge.functions.ranking import hash_rank, take_in_hash_order
+from tallyforge.functions.ranking import cutoff_number, hash_cutoffs, hash_rank, take_in_hash_order
 
 
 def val_quota(n: Column, frac: float = 0.2) -> Column:
@@ -19,11 +19,16 @@ def val_quota(n: Column, frac: float = 0.2) -> Column:
     )
 
 
+def split_cutoffs(df: DataFrame, cls: str, key: str, seed: int = 42, frac: float = 0.2, rows: int | None = None) -> DataFrame:
+    """The split as data: one hash cut-off per class. Worth settling when the split is used often."""
+    return hash_cutoffs(df, cls, key, lambda n: [val_quota(n, frac)], seed, rows=rows)
+
+
 def stratified_split(
-    df: DataFrame, cls: str, key: str, seed: int = 42, frac: float = 0.2, rows: int | None = None
+    df: DataFrame, cls: str, key: str, seed: int = 42, frac: float = 0.2, rows: int | None = None, cutoffs: DataFrame | None = None
 ) -> DataFrame:
     """Adds ``split`` (train / val), per class, exact sizes. ``rows`` bounds the class count."""
-    marked = take_in_hash_order(df, cls, key, lambda n: val_quota(n, frac), seed, rows=rows, out="_val")
+    marked = take_in_hash_order(df, cls, key, lambda n: val_quota(n, frac), seed, rows=rows, out="_val", cutoffs=cutoffs)
     return marked.withColumn("split", F.when(F.col("_val"), "val").otherwise("train")).drop("_val")
 
 
@@ -120,6 +125,23 @@ def kfold(df: DataFrame, cls: str, key: str, k: int = 5, seed: int = 42) -> Data
     return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
+def range_folds(df: DataFrame, cls: str, key: str, k: int = 5, seed: int = 42, rows: int | None = None, cutoffs: DataFrame | None = None) -> DataFrame:
+    """Adds ``fold``: k runs of the class's hash order, as long as the folds of ``kfold``.
+
+    The fold of a row follows from k - 1 cut-offs per class, so wide rows stay where they are.
+    """
+    cuts = cutoffs if cutoffs is not None else fold_cutoffs(df, cls, key, k, seed, rows)
+    d = cutoff_number(df, cls, key, cuts, seed, rows, "fold")
+    return d.withColumn("fold", F.coalesce("fold", F.lit(0)))
+
+
+def fold_cutoffs(df: DataFrame, cls: str, key: str, k: int = 5, seed: int = 42, rows: int | None = None) -> DataFrame:
+    """Cut-offs after fold 0 .. k-2; the first n mod k folds have one row more."""
+    each = lambda n: F.floor(n / k)
+    goals = lambda n: [(f + 1) * each(n) + F.least(n - k * each(n), F.lit(f + 1)) for f in range(k - 1)]
+    return hash_cutoffs(df, cls, key, goals, seed, rows=rows)
+
+
 def kfold_table(folded: DataFrame, cls: str, k: int = 5) -> DataFrame:
     """Per class: rows, rows per fold, and whether the class is smaller than k."""
     return folded.groupBy(F.col(cls).alias("class")).agg(

@@ -79,3 +79,8 @@ relabelled AS (SELECT doc_id, text, CASE WHEN left(md5(text), 1) = '0' THEN
                  CASE lang WHEN 'en' THEN 'fr' WHEN 'fr' THEN 'de' WHEN 'de' THEN 'es' ELSE 'en' END ELSE lang END AS lang,
                  source, n_chars FROM documents WHERE left(md5(text), 2) <> 'ff')
 """
+FOLDS = """
+fd AS MATERIALIZED (SELECT * EXCLUDE (r, q, m), CASE WHEN r < m * (q + 1) THEN r // (q + 1) ELSE m + (r - m * (q + 1)) // q END AS fold
+       FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) - 1 AS r,
+                    count(*) OVER (PARTITION BY lang) // 5 AS q, count(*) OVER (PARTITION BY lang) % 5 AS m FROM documents))
+"""

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyforge.functions.bounds import Classes
+from tallyforge.functions.hashing import hash_hex
 from tallyforge.operators import clean, codec, overlay
 from tallyforge.plans import corpus as C
 from tallyforge.plans.base import query, table, with_blocks
@@ -60,23 +61,23 @@ def parse_name(spark, sf):
 
 @query(
     "parse_corpus_name",
-    r"""WITH n AS (SELECT doc_id, (CASE WHEN doc_id % 11 = 0 THEN 'Copy of ' ELSE '' END) || 'be_' || lpad((doc_id % 1000)::VARCHAR, 3, '0')
+    r"""WITH n AS (SELECT doc_id, (CASE WHEN left(md5('name:' || doc_id), 1) = '0' THEN 'Copy of ' ELSE '' END) || 'be_' || lpad((doc_id % 1000)::VARCHAR, 3, '0')
                     || (CASE WHEN lang = 'en' THEN 'sg' WHEN lang = 'fr' THEN 'tg' ELSE 'xx' END) || '_' || n_chars || '_' || doc_id || '.jpg' AS name, lang, n_chars FROM documents)
-        SELECT doc_id, CASE WHEN ok THEN 'be' END AS prefix, CASE WHEN ok THEN doc_id % 1000 END AS number, CASE WHEN ok THEN CASE lang WHEN 'en' THEN 'sg' ELSE 'tg' END END AS subset,
-               CASE WHEN ok THEN n_chars END AS line, CASE WHEN ok THEN doc_id END AS idx, doc_id % 11 = 0 AS is_copy,
+        SELECT doc_id, CASE WHEN ok THEN 'be' END AS prefix, CASE WHEN ok THEN doc_id % 1000 ELSE -1 END AS number, CASE WHEN ok THEN CASE lang WHEN 'en' THEN 'sg' ELSE 'tg' END END AS subset,
+               CASE WHEN ok THEN n_chars ELSE -1 END AS line, CASE WHEN ok THEN doc_id ELSE -1 END AS idx, left(md5('name:' || doc_id), 1) = '0' AS is_copy,
                CASE WHEN ok THEN 'be_' || lpad((doc_id % 1000)::VARCHAR, 3, '0') END AS grp, ok AS parsed
         FROM (SELECT *, lang IN ('en', 'fr') AS ok FROM n)""",
 )
 def parse_corpus_name(spark, sf):
     d = C.documents(spark, sf)
     name = F.concat(
-        F.when(F.col("doc_id") % 11 == 0, "Copy of ").otherwise(""), F.lit("be_"),
+        F.when(F.substring(hash_hex("name", "doc_id"), 1, 1) == "0", "Copy of ").otherwise(""), F.lit("be_"),
         F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"),
         F.when(F.col("lang") == "en", "sg").when(F.col("lang") == "fr", "tg").otherwise("xx"),
         F.lit("_"), F.col("n_chars"), F.lit("_"), F.col("doc_id"), F.lit(".jpg"),
     )
     out = d.select("doc_id", name.alias("name")).select("doc_id", *codec.parse_name(F.col("name")))
-    big = [F.col(c).cast("bigint").alias(a) for c, a in (("doc_id_1", "number"), ("line", "line"), ("idx", "idx"))]
+    big = [F.coalesce(F.col(c).cast("bigint"), F.lit(-1).cast("bigint")).alias(a) for c, a in (("doc_id_1", "number"), ("line", "line"), ("idx", "idx"))]
     out = out.toDF("doc_id", "prefix", "doc_id_1", "subset", "line", "idx", "is_copy", "grp", "parsed")
     return out.select("doc_id", "prefix", big[0], "subset", big[1], big[2], "is_copy", "grp", "parsed")
 
@@ -253,8 +254,8 @@ def existence_filter(spark, sf):
 
 @query(
     "reconcile_manifest",
-    """WITH m AS (SELECT doc_id AS key, source || '-' || (n_chars % 40) AS name, md5(text) AS md5 FROM documents),
-         c AS (SELECT 'b/' || lpad(doc_id::VARCHAR, 12, '0') AS path, source || '-' || (n_chars % 40) AS name, md5(text) AS md5 FROM documents WHERE n_chars % 3 > 0),
+    """WITH m AS (SELECT doc_id AS key, source || '-' || lang AS name, md5(text) AS md5 FROM documents),
+         c AS (SELECT 'b/' || lpad(doc_id::VARCHAR, 12, '0') AS path, source || '-' || lang AS name, md5(text) AS md5 FROM documents JOIN labels USING (doc_id)),
          r AS (SELECT m.key, m.name, m.md5, c.path, c.md5 = m.md5 AS hit, row_number() OVER (PARTITION BY m.key ORDER BY coalesce(c.md5 = m.md5, false) DESC, c.path) AS r,
                       count(c.path) OVER (PARTITION BY m.key) AS n FROM m LEFT JOIN c USING (name))
        SELECT key, name, n AS n_candidates, path, coalesce(hit, false) AS verified,
@@ -262,9 +263,9 @@ def existence_filter(spark, sf):
 )
 def reconcile_manifest(spark, sf):
     d = C.documents(spark, sf)
-    name = F.concat_ws("-", "source", (F.col("n_chars") % 40))
+    name = F.concat_ws("-", "source", "lang")
     m = d.select(F.col("doc_id").alias("key"), name.alias("name"), F.md5("text").alias("md5"))
-    files = d.where(F.col("n_chars") % 3 > 0).select(
+    files = d.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select(
         F.concat(F.lit("b/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"), name.alias("name"), F.md5("text").alias("md5")
     )
     return clean.reconcile_manifest(m, files)

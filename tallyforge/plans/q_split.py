@@ -83,6 +83,12 @@ def kfold(spark, sf):
     return split.kfold(d, "lang", "doc_id").withColumn("fold", F.col("fold").cast("bigint"))
 
 
+@query("range_folds", with_blocks("SELECT doc_id, lang, fold FROM fd", C.FOLDS))
+def range_folds(spark, sf):
+    d = C.documents(spark, sf).select("doc_id", "lang")
+    return split.range_folds(d, "lang", "doc_id", rows=C.langs(spark, sf).rows).withColumn("fold", F.col("fold").cast("bigint"))
+
+
 @query(
     "kfold_table",
     with_blocks(

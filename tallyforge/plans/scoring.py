@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.functions.bounds import Classes, settle
+from tallyforge.functions.bounds import Classes, settle, spread
 from tallyforge.operators import sample, score, split, stress
 from tallyforge.operators.codec import join_class_dim
 from tallyforge.plans import corpus as C
@@ -32,9 +32,10 @@ def dim(spark: SparkSession, sf: str) -> Classes:
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    """documents with split and label."""
+    """documents with split and label; the split's cut-offs are worked out once."""
     d = dim(spark, sf)
-    docs = split.stratified_split(C.documents(spark, sf), "lang", "doc_id", rows=d.rows)
+    cuts = _once(spark, sf, "split", lambda: settle(split.split_cutoffs(C.documents(spark, sf), "lang", "doc_id", rows=d.rows), "split"))
+    docs = split.stratified_split(C.documents(spark, sf), "lang", "doc_id", rows=d.rows, cutoffs=cuts)
     return join_class_dim(docs, "lang", d)
 
 
@@ -42,8 +43,7 @@ def train_counts(spark: SparkSession, sf: str) -> DataFrame:
     """(class, label, n) of the training rows."""
 
     def make():
-        narrow = split.stratified_split(C.documents(spark, sf).select("doc_id", "lang"), "lang", "doc_id", rows=dim(spark, sf).rows)
-        return settle(sample.class_counts(narrow.where("split = 'train'"), dim(spark, sf), "lang"), "train-counts")
+        return settle(sample.class_counts(labelled(spark, sf).where("split = 'train'"), dim(spark, sf), "lang"), "train-counts")
 
     return _once(spark, sf, "train_counts", make)
 
@@ -53,7 +53,7 @@ def model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
     def make():
         n = dim(spark, sf).rows
-        train = labelled(spark, sf).where("split = 'train'")
+        train = spread(labelled(spark, sf).where("split = 'train'").select("label", "text"))
         fitted = score.nb_fit(score.tokens_of(score.words_of(train, "text", "label")), n)
         counts = train_counts(spark, sf)
         prior = score.prior_vector(
@@ -72,15 +72,15 @@ def _score_items(spark, sf, words, keys):
 ITEM = ["item_id", "y", "source", "n_chars"]
 
 
-def _items(df: DataFrame) -> DataFrame:
-    return df.select(F.col("doc_id").alias("item_id"), F.col("label").alias("y"), "source", "n_chars", "text")
+def _items(df: DataFrame, *extra: str) -> DataFrame:
+    return df.select(F.col("doc_id").alias("item_id"), F.col("label").alias("y"), "source", "n_chars", "text", *extra)
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     """Validation scores: model, item_id, y, source, n_chars, scores."""
 
     def make():
-        val = _items(labelled(spark, sf).where("split = 'val'"))
+        val = spread(_items(labelled(spark, sf).where("split = 'val'")))
         return settle(_score_items(spark, sf, score.words_of(val, "text", *ITEM), ITEM), "scores")
 
     return _once(spark, sf, "scores", make)
@@ -95,10 +95,10 @@ def oof_scores(spark: SparkSession, sf: str) -> DataFrame:
 
     def make():
         d = dim(spark, sf)
-        folds = split.kfold(C.documents(spark, sf).select("doc_id", "lang"), "lang", "doc_id", FOLDS)
-        docs = C.documents(spark, sf).join(folds.select("doc_id", "fold"), "doc_id")
-        docs = settle(_items(join_class_dim(docs, "lang", d)).join(folds.select(F.col("doc_id").alias("item_id"), "fold"), "item_id"), "folded")
-        tokens = score.tokens_of(score.words_of(docs, "text", *ITEM, "fold"))
+        cuts = settle(split.fold_cutoffs(C.documents(spark, sf), "lang", "doc_id", FOLDS, rows=d.rows), "folds")
+        docs = split.range_folds(C.documents(spark, sf), "lang", "doc_id", FOLDS, rows=d.rows, cutoffs=cuts)
+        docs = _items(join_class_dim(docs, "lang", d), "fold")
+        tokens = score.tokens_of(score.words_of(spread(docs), "text", *ITEM, "fold"))
         fitted = score.nb_fit(tokens.withColumnRenamed("y", "label"), d.rows, FOLDS)
         prior = score.nb_prior(docs.withColumnRenamed("y", "label"), d.rows, FOLDS)
         return settle(score.nb_score(tokens, fitted, prior, ITEM, d.rows, folds=FOLDS), "oof")
@@ -114,7 +114,7 @@ def sweep_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Validation scores under every cell of the perturbation grid."""
 
     def make():
-        val = _items(labelled(spark, sf).where("split = 'val'"))
+        val = spread(_items(labelled(spark, sf).where("split = 'val'")))
         words = stress.perturbed(score.words_of(val, "text", *ITEM))
         return settle(_score_items(spark, sf, words, [*ITEM, "condition", "severity"]), "sweep")
 
@@ -135,7 +135,7 @@ def junk_pred(spark: SparkSession, sf: str) -> DataFrame:
     def make():
         b = table(spark, sf, "benchmark").select(F.lit("benchmark").alias("kind"), F.col("item_id").cast("string").alias("item"), "text")
         c = table(spark, sf, "conversations").select(F.lit("conversations").alias("kind"), F.concat_ws("/", "conv_id", "turn").alias("item"), "text")
-        words = score.words_of(b.unionByName(c), "text", "kind", "item")
+        words = score.words_of(spread(b.unionByName(c)), "text", "kind", "item")
         return settle(_score_items(spark, sf, words, ["kind", "item"]), "junk")
 
     return score.predict(_once(spark, sf, "junk", make))
@@ -244,7 +244,7 @@ JUNK = ",\n".join(
 OOF = ",\n".join(
     (
         DIM,
-        """fd AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) - 1) % 5 AS fold FROM documents)""",
+        C.FOLDS.strip(),
         "fw AS (SELECT doc_id, fold, lang, unnest(regexp_extract_all(lower(text), '\\pL+')) AS w FROM fd)",
         f"ft AS MATERIALIZED ({tokens_sql('fw', 'doc_id, fold, lang')})",
         "fl AS (SELECT unnest(range(5)) AS fold)",
