@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.bounds import Classes, settle, small
-from tallyforge.functions.vectors import first_max, ordered, rank_of, with_softmax
+from tallyforge.functions.vectors import first_max, let, ordered, rank_of, with_softmax
 
 # Log-probabilities are kept as whole millionths, so sums are exact in any order.
 SCALE = 1_000_000
@@ -86,8 +86,9 @@ def nb_prior(items: DataFrame, n_classes: int, folds: int = 0) -> DataFrame:
         wide = items.agg(parts.alias("parts")).select(F.inline("parts"))
     else:
         wide = items.agg(_class_sums("label", n_classes, one).alias("n"))
-    wide = wide.withColumn("t", F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x))
-    lps = F.transform("n", lambda x: F.round(F.log(F.greatest(x, F.lit(1)).cast("double") / F.col("t")) * SCALE).cast("bigint"))
+    total = lambda n: F.aggregate(n, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    log_share = lambda x, t: F.round(F.log(F.greatest(x, F.lit(1)).cast("double") / t) * SCALE).cast("bigint")
+    lps = let(F.col("n"), lambda n: let(total(n), lambda t: F.transform(n, lambda x: log_share(x, t))))
     return wide.select(*(["fold"] if folds else []), lps.alias("prior"))
 
 
@@ -109,9 +110,10 @@ def nb_score(
     per = hit.groupBy(*by).agg(sums.alias("s"), F.count("lps").alias("known"))
     caps = F.create_map(*[F.lit(x) for kv in evidence.items() for x in kv])
     cap = F.element_at(caps, F.col("model"))
-    per = per.withColumn("f", F.when(F.col("known") > cap, cap / F.col("known")).otherwise(1.0))
+    factor = F.when(F.col("known") > cap, cap / F.col("known")).otherwise(1.0)
     per = per.join(small(prior, folds or 1), "fold") if folds else per.join(small(prior, 1))
-    score = F.transform("s", lambda x, i: (F.get("prior", i).cast("double") + x.cast("double") * F.col("f")) / float(SCALE))
+    cell = lambda x, i, f: (F.get("prior", i).cast("double") + x.cast("double") * f) / float(SCALE)
+    score = let(factor, lambda f: F.transform("s", lambda x, i: cell(x, i, f)))
     return per.select(*[c for c in by if c != "fold"], *(["fold"] if folds else []), score.alias("scores"), "known")
 
 
@@ -190,9 +192,9 @@ def loss_table(
 
     ``weights`` is class-sized: label, weight (inverse frequency) and cb_weight.
     """
-    d = scores.withColumn("_top", F.array_max("scores"))
-    total = F.aggregate(F.transform("scores", lambda x: F.exp(x - F.col("_top"))), F.lit(0.0), lambda a, x: a + x)
-    d = d.withColumn("_lse", F.log(total) + F.col("_top"))
+    total = lambda v, m: F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - m))
+    lse = let(F.col("scores"), lambda v: let(F.array_max(v), lambda m: F.log(total(v, m)) + m))
+    d = scores.withColumn("_lse", lse)
     d = d.withColumn("ce", F.col("_lse") - F.get("scores", F.col("y")))
     mean_all = F.col("_lse") - F.aggregate("scores", F.lit(0.0), lambda a, x: a + x) / F.size("scores")
     d = d.withColumn("smooth", (1 - F.lit(smoothing)) * F.col("ce") + F.lit(smoothing) * mean_all)

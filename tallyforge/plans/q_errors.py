@@ -283,7 +283,7 @@ def crossing_points(spark, sf):
 @query(
     "worst_severity",
     with_blocks(
-        f"""SELECT model, condition, severity AS worst_severity, round(top1, 6) AS top1, round(balanced_acc, 6) AS balanced_acc, round(c_top1 - top1, 6) AS drop_top1, round(c_bal - balanced_acc, 6) AS drop_balanced,
+        f"""SELECT model, condition, severity AS worst_severity, round(top1, 6) AS top1, round(balanced_acc, 6) AS balanced_acc, round(c_top1 - top1, 6) AS drop_top1, round(round(c_bal, 9) - round(balanced_acc, 9), 6) AS drop_balanced,
               round(mean_top1, 6) AS mean_top1, row_number() OVER (PARTITION BY model ORDER BY round(balanced_acc, 9), condition) AS damage_rank FROM (
             SELECT sm.*, c.top1 AS c_top1, c.balanced_acc AS c_bal, avg(sm.top1) OVER (PARTITION BY sm.model) AS mean_top1, row_number() OVER (PARTITION BY sm.model, sm.condition ORDER BY round(sm.balanced_acc, 9), CASE sm.condition WHEN 'clip' THEN -sm.severity ELSE sm.severity END) AS r
             FROM sm JOIN sm c ON c.model = sm.model AND c.condition = 'clean' WHERE sm.condition <> 'clean') WHERE r = 1""",
