@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ def split_cutoffs(df: DataFrame, cls: str, key: str, seed: int = 42, frac: float
 
 
 def stratified_split(
-    df: DataFrame, cls: str, key: str, seed: int = 42, frac: float = 0.2, rows: int | None = None, cutoffs: DataFrame | None = None
+    df: DataFrame, cls: str, key: str, seed: int | Column = 42, frac: float = 0.2, rows: int | None = None, cutoffs: DataFrame | None = None
 ) -> DataFrame:
     """Adds ``split`` (train / val), per class, exact sizes. ``rows`` bounds the class count."""
     marked = take_in_hash_order(df, cls, key, lambda n: val_quota(n, frac), seed, rows=rows, out="_val", cutoffs=cutoffs)
@@ -119,6 +121,22 @@ def holdout_checks(train: DataFrame, probe: DataFrame, grp: str, cls: str, class
     )
 
 
+def seeded_splits(
+    df: DataFrame, cls: str, key: str, grp: str, seeds: Sequence[int] = (42, 0, 1), rows: int | None = None, k: int = 4
+) -> DataFrame:
+    """Both split kinds for several seeds: one row per (seed, item). All seeds share each pass."""
+    d = df.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    d = d.withColumn("_sc", F.concat_ws(":", "seed", cls))
+    cuts = hash_cutoffs(d, "_sc", key, lambda n: [val_quota(n)], F.col("seed"), rows=None if rows is None else rows * len(seeds))
+    d = stratified_split(d, "_sc", key, F.col("seed"), rows=None if rows is None else rows * len(seeds), cutoffs=cuts).drop("_sc")
+    held = None
+    for s in seeds:
+        one = group_holdout_groups(df, grp, k, seed=s).select(F.lit(s).alias("seed"), F.col("grp").alias(grp), F.lit("val").alias("doc_split"))
+        held = one if held is None else held.unionByName(one)
+    out = d.join(small(held, k * len(seeds)), ["seed", grp], "left")
+    return out.withColumn("doc_split", F.coalesce("doc_split", F.lit("train")))
+
+
 def kfold(df: DataFrame, cls: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Adds ``fold``: position in the class's hash order modulo k."""
     ranked = hash_rank(df, cls, key, seed, out="_rank")

@@ -7,14 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions.bounds import settle
 from tallyforge.operators.split import split_overlap_check
 
 
 def write_splits(df: DataFrame, path: str, key: str, kinds: Sequence[str] = ("split", "doc_split")) -> DataFrame:
     """Write a table of splits (with ``seed``), partitioned by seed and first split column.
 
-    Every seed is checked first: a key on both sides of a split fails the write.
+    The splits are settled and checked first: a key on both sides of a split fails the write.
     """
+    df = settle(df, "splits")
     for row in split_overlap_check(df.withColumn("_k", F.concat_ws(":", "seed", key)), "_k", list(kinds)).where("n_both > 0").take(1):
         raise ValueError(f"{row['n_both']} keys are on both sides of {row['split_kind']}")
     df.write.mode("errorifexists").partitionBy("seed", kinds[0]).parquet(path)
