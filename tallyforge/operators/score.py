@@ -27,22 +27,26 @@ def words_of(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode_outer(F.expr(rf"regexp_extract_all(lower(`{text}`), '(\\p{{L}}+)', 1)")).alias("w"))
 
 
-# Feature models: what a word tells the scorer.
+# Feature models: what a word tells the scorer, as a number.
 FEATURES: dict[str, Callable[[Column], Column]] = {
-    "lengths": lambda w: F.least(F.length(w), F.lit(MAX_LENGTH)).cast("string"),
-    "finals": lambda w: F.substring(w, -1, 1),
-    "vowels": lambda w: F.least(F.length(w) - F.length(F.translate(w, VOWELS, "")), F.lit(MAX_VOWELS)).cast("string"),
+    "lengths": lambda w: F.least(F.length(w), F.lit(MAX_LENGTH)),
+    "finals": lambda w: F.ascii(F.substring(w, -1, 1)),
+    "vowels": lambda w: F.least(F.length(w) - F.length(F.translate(w, VOWELS, "")), F.lit(MAX_VOWELS)),
 }
 # How many tokens' worth of evidence a model may use (longer texts are averaged down to it).
 EVIDENCE = {"lengths": 16.0, "finals": 2.0, "vowels": 16.0}
+TOKEN = "tok_"
 
 
 def tokens_of(words: DataFrame, word: str = "w", models: Sequence[str] = tuple(FEATURES)) -> DataFrame:
-    """One row per (word, model) with the model's token."""
+    """One row per word with one token column per model (NULL for a missing word)."""
     # least() skips NULL, so a missing word is kept NULL explicitly
-    token = lambda m: F.when(F.col(word).isNotNull(), FEATURES[m](F.col(word)))
-    pairs = F.array(*[F.struct(F.lit(m).alias("model"), token(m).alias("token")) for m in models])
-    return words.select("*", F.inline(pairs)).drop(word)
+    token = lambda m: F.when(F.col(word).isNotNull(), FEATURES[m](F.col(word)).cast("bigint"))
+    return words.select("*", *[token(m).alias(TOKEN + m) for m in models]).drop(word)
+
+
+def _models_in(tokens: DataFrame) -> list[str]:
+    return [c[len(TOKEN):] for c in tokens.columns if c.startswith(TOKEN)]
 
 
 def _class_sums(label: str, n: int, value: Column, keep: Column | None = None) -> Column:
@@ -51,13 +55,18 @@ def _class_sums(label: str, n: int, value: Column, keep: Column | None = None) -
 
 
 def nb_fit(tokens: DataFrame, n_classes: int, folds: int = 0) -> DataFrame:
-    """Laplace-smoothed log-probabilities (model, token, lps) from (model, token, label[, fold]).
+    """Laplace-smoothed log-probabilities (model, token, lps) from token columns and label[, fold].
 
-    With ``folds`` = k all k out-of-fold models come from the same pass (counts outside the
-    fold) and rows carry ``fold``. Settled, so the size check for broadcasting sees real bytes.
+    Words are counted once per combination of their tokens (few fixed-width keys, collapsed
+    before the shuffle); the counts of each model come from those. With ``folds`` = k all k
+    out-of-fold models come from the same pass (counts outside the fold) and rows carry
+    ``fold``. Settled, so the size check for broadcasting sees real bytes.
     """
-    by = ["model", "token", "label"] + (["fold"] if folds else [])
-    counts = tokens.where("token is not null").groupBy(*by).agg(F.count("*").alias("n"))
+    models = _models_in(tokens)
+    extra = ["fold"] if folds else []
+    joint = tokens.groupBy(*[TOKEN + m for m in models], "label", *extra).agg(F.count("*").alias("n"))
+    pairs = F.array(*[F.struct(F.lit(m).alias("model"), F.col(TOKEN + m).alias("token")) for m in models])
+    counts = joint.select("label", *extra, "n", F.inline(pairs)).where("token is not null")
     one = F.col("n")
     if folds:
         parts = F.array(
@@ -65,10 +74,9 @@ def nb_fit(tokens: DataFrame, n_classes: int, folds: int = 0) -> DataFrame:
         )
         wide = counts.groupBy("model", "token").agg(parts.alias("parts")).select("model", "token", F.inline("parts"))
         wide = wide.where(F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x) > 0)
-        keys = ["model", "fold"]
     else:
         wide = counts.groupBy("model", "token").agg(_class_sums("label", n_classes, one).alias("n"))
-        keys = ["model"]
+    keys = ["model", *extra]
     totals = wide.groupBy(*keys).agg(
         F.count("*").alias("v"), F.array(*[F.sum(F.get("n", F.lit(i))) for i in range(n_classes)]).alias("t")
     )
@@ -101,20 +109,26 @@ def nb_score(
     evidence: Mapping[str, float] = EVIDENCE,
     folds: int = 0,
 ) -> DataFrame:
-    """Score vectors per (keys, model), with ``known`` = tokens the model knew. Tokens meet the model map-side and are summed before the
-    one shuffle, which moves one row of class sums per item and model."""
-    on = ["model", "token"] + (["fold"] if folds else [])
-    hit = tokens.join(model, on, "left")
-    by = [*keys, "model"] + (["fold"] if folds else [])
-    sums = F.array(*[F.coalesce(F.sum(F.get("lps", F.lit(i))), F.lit(0)) for i in range(n_classes)])
-    per = hit.groupBy(*by).agg(sums.alias("s"), F.count("lps").alias("known"))
-    caps = F.create_map(*[F.lit(x) for kv in evidence.items() for x in kv])
-    cap = F.element_at(caps, F.col("model"))
-    factor = F.when(F.col("known") > cap, cap / F.col("known")).otherwise(1.0)
-    per = per.join(small(prior, folds or 1), "fold") if folds else per.join(small(prior, 1))
+    """Score vectors per (keys, model), with ``known`` = tokens the model knew. Words meet the
+    models map-side and are summed before the one shuffle: one row of class sums per item."""
+    models = _models_in(tokens)
+    extra = ["fold"] if folds else []
+    d = tokens
+    for m in models:
+        side = model.where(F.col("model") == m).select(F.col("token").alias(TOKEN + m), *extra, F.col("lps").alias(f"lps_{m}"))
+        d = d.join(side, [TOKEN + m, *extra], "left")
+    sums = lambda m: F.array(*[F.coalesce(F.sum(F.get(f"lps_{m}", F.lit(i))), F.lit(0)) for i in range(n_classes)])
+    by = [*keys, *extra]
+    per = d.groupBy(*by).agg(*[sums(m).alias(f"s_{m}") for m in models], *[F.count(f"lps_{m}").alias(f"k_{m}") for m in models])
+    rows = F.array(
+        *[F.struct(F.lit(m).alias("model"), F.col(f"s_{m}").alias("s"), F.col(f"k_{m}").alias("known"), F.lit(float(evidence[m])).alias("cap")) for m in models]
+    )
+    per = per.select(*by, F.inline(rows))
+    per = per.join(small(prior, folds), "fold") if folds else per.join(small(prior, 1))
+    factor = F.when(F.col("known") > F.col("cap"), F.col("cap") / F.col("known")).otherwise(1.0)
     cell = lambda x, i, f: (F.get("prior", i).cast("double") + x.cast("double") * f) / float(SCALE)
     score = let(factor, lambda f: F.transform("s", lambda x, i: cell(x, i, f)))
-    return per.select(*[c for c in by if c != "fold"], *(["fold"] if folds else []), score.alias("scores"), "known")
+    return per.select(*keys, "model", *extra, score.alias("scores"), "known")
 
 
 def batch_score(df: DataFrame, make_fn: Callable[[], Callable], schema: str) -> DataFrame:

@@ -11,13 +11,14 @@ from tallyforge.functions.bounds import small
 from tallyforge.functions.hashing import hash_hex, uniform
 from tallyforge.operators.metrics import metrics_of
 
-# name -> (word, severity) -> perturbed word; NULL drops the word
-PERTURBATIONS: dict[str, Callable[[Column, float], Column]] = {
-    "clean": lambda w, s: w,
-    "clip": lambda w, s: F.substring(w, 1, int(s)),
-    "drop": lambda w, s: F.when(uniform(hash_hex("drop", w)) >= s, w),
-    "strip": lambda w, s: F.nullif(F.substring(w, F.lit(1), F.greatest(F.length(w) - int(s), F.lit(0))), F.lit("")),
-    "mirror": lambda w, s: F.reverse(w),
+# name -> (word, u, severity) -> perturbed word; u is the word's hash as a number in [0, 1) and
+# NULL drops the word
+PERTURBATIONS: dict[str, Callable[[Column, Column, float], Column]] = {
+    "clean": lambda w, u, s: w,
+    "clip": lambda w, u, s: F.substring(w, 1, int(s)),
+    "drop": lambda w, u, s: F.when(u >= s, w),
+    "strip": lambda w, u, s: F.nullif(F.substring(w, F.lit(1), F.greatest(F.length(w) - int(s), F.lit(0))), F.lit("")),
+    "mirror": lambda w, u, s: F.reverse(w),
 }
 # condition -> severities, mildest first
 GRID: dict[str, tuple[float, ...]] = {
@@ -32,11 +33,12 @@ GRID: dict[str, tuple[float, ...]] = {
 def perturbed(words: DataFrame, word: str = "w", grid: Mapping[str, Sequence[float]] = GRID, registry: Mapping = PERTURBATIONS) -> DataFrame:
     """Every word under every (condition, severity): one pass for the whole grid."""
     cells = [
-        F.struct(F.lit(c).alias("condition"), F.lit(float(s)).alias("severity"), registry[c](F.col(word), s).alias("_w"))
+        F.struct(F.lit(c).alias("condition"), F.lit(float(s)).alias("severity"), registry[c](F.col(word), F.col("_u"), s).alias("_w"))
         for c, sevs in grid.items()
         for s in sevs
     ]
-    return words.select("*", F.inline(F.array(*cells))).withColumn(word, F.col("_w")).drop("_w")
+    hashed = words.withColumn("_u", uniform(hash_hex("drop", word)))
+    return hashed.select("*", F.inline(F.array(*cells))).withColumn(word, F.col("_w")).drop("_w", "_u")
 
 
 def sweep_table(pred: DataFrame, by: Sequence[str] = ("model", "condition", "severity")) -> DataFrame:

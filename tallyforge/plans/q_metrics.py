@@ -139,9 +139,12 @@ def _metric_query(name, cols):
     return run
 
 
+_metric_query("top1", ["top1"])
+_metric_query("topk_acc", ["topk"])
 _metric_query("balanced_acc", ["balanced_acc"])
 _metric_query("macro_f1", ["macro_f1"])
-_metric_query("minority_acc", ["minority_acc", "minority_macro"])
+_metric_query("minority_acc", ["minority_acc"])
+_metric_query("minority_macro", ["minority_macro"])
 
 
 @query("compute_metrics", with_blocks(rounded_sql(S.metrics_sql("pd", "model", S.MINORITY, 2), "model"), S.PRED))

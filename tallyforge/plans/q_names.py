@@ -149,6 +149,13 @@ def family_of(spark, sf):
     return d.groupBy("source", "lang", "writer", "family").agg(F.count("*").alias("n"))
 
 
+@query("writer_key", "SELECT DISTINCT 'Set2_' || source AS writer, 'Set2_' || source || '_17.JPG' AS name FROM documents")
+def writer_key(spark, sf):
+    name = F.concat(F.lit("Set2_"), F.col("source"), F.lit("_17.JPG"))
+    d = C.documents(spark, sf).select(name.alias("name")).distinct()
+    return d.select(codec.writer_key(F.col("name")).alias("writer"), "name")
+
+
 @query("drop_derived", with_blocks("SELECT doc_id, name FROM named WHERE name NOT LIKE 'aug\\_%' ESCAPE '\\'", C.NAMED))
 def drop_derived(spark, sf):
     return codec.drop_derived(C.documents(spark, sf).select("doc_id", C.item_name().alias("name")), "name")
