@@ -33,15 +33,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tallyforge/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input has fewer splits than the cluster has cores.
+def spread(df: DataFrame, scan: DataFrame) -> DataFrame:
+    """Rows of ``df`` over all cores when its ``scan`` has fewer splits than there are cores.
 
-    For heavy per-row work on a few unsplittable files; an input with enough splits is
-    returned as it is, without a shuffle.
+    For heavy per-row work on a few unsplittable files; with enough splits ``df`` is returned
+    as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
+    return df.repartition(cores) if scan.rdd.getNumPartitions() < cores else df
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

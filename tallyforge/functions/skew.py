@@ -1,4 +1,4 @@
-"""Equi-join of rows with per-key groups when one key may hold a large share of the rows."""
+"""Equi-join on a key of which a single value may hold a large share of the rows."""
 
 from __future__ import annotations
 
@@ -11,39 +11,31 @@ from tallyforge.functions.bounds import settle, small
 HOT_ROWS = 1_000_000
 
 
-def join_groups(
+def join_keyed(
     rows: DataFrame,
-    groups: DataFrame,
+    side: DataFrame,
     on: list[str],
     spread: str,
-    size: str = "n",
     how: str = "inner",
+    sizes: DataFrame | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Join ``rows`` with ``groups`` (one row per key, ``size`` = rows of that key).
+    """Join ``rows`` with ``side`` (at most one row per key).
 
-    A key with more than HOT_ROWS rows is cut into ceil(size / HOT_ROWS) parts by the hash of
-    ``spread``, and only that key's group row is repeated, once per part. The result is the
-    plain join's. The groups are settled first, so Spark knows their real size.
+    Keys with more than HOT_ROWS rows are found by one partial aggregation (or taken from
+    ``sizes``: on + n). Each is cut into ceil(n / HOT_ROWS) parts by the hash of ``spread``, and
+    only that key's side row is repeated, once per part. The result is the plain join's.
     """
     limit = HOT_ROWS if hot_rows is None else hot_rows
-    groups = settle(groups, "groups")
-    hot = groups.where(F.col(size) > limit)
+    if sizes is None:
+        sizes = rows.groupBy(*on).agg(F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / F.lit(limit)).cast("bigint").alias("_parts")
+    hot = settle(sizes.where(F.col("n") > limit).select(*on, parts), "hot-keys")
     n_hot = hot.count()
     if n_hot == 0:
-        return rows.join(groups, on, how)
-    parts = F.ceil(F.col(size) / F.lit(limit)).cast("bigint")
-    salted = rows.join(small(hot.select(*on, parts.alias("_parts")), n_hot), on, "left")
-    salted = salted.withColumn(
-        "_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")), F.lit(0).cast("bigint"))
-    ).drop("_parts")
-    copies = groups.withColumn(
-        "_salt",
-        F.explode(
-            F.sequence(
-                F.lit(0).cast("bigint"),
-                F.when(F.col(size) > limit, parts - 1).otherwise(F.lit(0).cast("bigint")),
-            )
-        ),
-    )
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+        return rows.join(side, on, how)
+    hot = small(hot, n_hot)
+    zero = F.lit(0).cast("bigint")
+    salted = rows.join(hot, on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")), zero))
+    copies = side.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(zero, F.coalesce(F.col("_parts") - 1, zero))))
+    return salted.drop("_parts").join(copies.drop("_parts"), [*on, "_salt"], how).drop("_salt")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.bounds import Classes
+from tallyforge.functions.skew import join_keyed
 
 # The cleaning rules in the order in which they are applied.
 RULES = ("unreadable", "copy", "cross_class", "within_dup", "kept")
@@ -105,10 +106,9 @@ def reconcile_manifest(m: DataFrame, candidates: DataFrame) -> DataFrame:
     by_name = candidates.groupBy("name").agg(
         F.count("*").alias("n_candidates"), F.min(F.struct("path", "md5")).alias("first")
     )
+    named = join_keyed(m.select("key", "name", "md5"), by_name, ["name"], "key", "left")
     return (
-        m.select("key", "name", "md5")
-        .join(by_name, "name", "left")
-        .join(exact, ["name", "md5"], "left")
+        join_keyed(named, exact, ["name", "md5"], "key", "left")
         .select(
             "key",
             "name",

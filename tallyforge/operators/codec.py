@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.bounds import Classes, small
+from tallyforge.functions.bounds import Classes, settle, small
+from tallyforge.functions.skew import join_keyed
 
 # Byte code 0xA0 is the code point U+0E00, and the ranges of each category.
 CODE_BASE = 0xA0
@@ -114,13 +115,14 @@ def basename(path: Column) -> Column:
 def label_from_manifest(df: DataFrame, manifest: DataFrame, path: str, file_col: str) -> DataFrame:
     """Label from a side table by base name; its label column is the first of label, code, char.
 
-    The side table is reduced to one row per name (the last by label) before the join.
+    The side table is reduced to one row per name (the last by label) before the join; a base
+    name shared by very many items is split.
     """
     label = next((c for c in ("label", "code", "char") if c in manifest.columns), None)
     if label is None:
         raise ValueError("the manifest needs a label, code or char column")
     side = manifest.groupBy(basename(F.col(file_col)).alias("_name")).agg(F.max(F.col(label).cast("string")).alias("label"))
-    return df.withColumn("_name", basename(F.col(path))).join(side, "_name", "left").drop("_name")
+    return join_keyed(df.withColumn("_name", basename(F.col(path))), side, ["_name"], path, "left").drop("_name")
 
 
 def normalised(name: Column, drop_prefix: str = r"^thai\s+character\s+") -> Column:
@@ -175,7 +177,8 @@ def universe_partition(df: DataFrame, cls: str, classes: Classes) -> DataFrame:
     strange = df.select(cls).distinct().join(known, cls, "left_anti")
     base = classes.rows or 0
     ranked = strange.select(cls, (F.dense_rank().over(Window.orderBy(cls)) - 1 + base).alias("_new"))
-    out = df.join(known, cls, "left").join(ranked, cls, "left")
+    # settled: the planner then knows how few classes these are
+    out = df.join(known, cls, "left").join(settle(ranked, "new-classes"), cls, "left")
     return out.withColumn("in_universe", F.col("_known").isNotNull()).withColumn(
         "label", F.coalesce("_known", "_new")
     ).drop("_known", "_new")

@@ -60,7 +60,7 @@ def view_average(scores: DataFrame, keys: Sequence[str], view: str, width: int)
 def best_of_views(pred: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Per item the view with the highest confidence; the first view wins ties."""
     best = F.max_by(F.struct(order, "pred", "p1", "y"), F.struct(F.col("p1"), -F.col(order)))
-    return pred.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+    return pred.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
 
 
 def guarded_view_search(pred: DataFrame, keys: Sequence[str], order: str, tau: float = 0.85, margin: float = 0.30) -> DataFrame:
@@ -70,16 +70,16 @@ def guarded_view_search(pred: DataFrame, keys: Sequence[str], order: str, tau: f
     """
     base = F.max(F.when(F.col(order) == 0, F.struct("p1", "pred", "y")))
     other = F.max_by(F.struct(order, "pred", "p1"), F.when(F.col(order) != 0, F.struct(F.col("p1"), -F.col(order))))
-    d = pred.groupBy(*keys).agg(base.alias("b"), other.alias("o"))
-    searched = F.col("b.p1") < tau
-    moved = F.coalesce(searched & (F.col("o.p1") > F.col("b.p1") + margin), F.lit(False))
+    d = pred.groupBy(*keys).agg(base.alias("_b"), other.alias("_o"))
+    searched = F.col("_b.p1") < tau
+    moved = F.coalesce(searched & (F.col("_o.p1") > F.col("_b.p1") + margin), F.lit(False))
     return d.select(
         *keys,
-        F.col("b.y").alias("y"),
+        F.col("_b.y").alias("y"),
         searched.alias("searched"),
-        F.when(moved, F.col(f"o.{order}")).otherwise(0).alias(order),
-        F.when(moved, F.col("o.pred")).otherwise(F.col("b.pred")).alias("pred"),
-        F.when(moved, F.col("o.p1")).otherwise(F.col("b.p1")).alias("p1"),
+        F.when(moved, F.col(f"_o.{order}")).otherwise(0).alias(order),
+        F.when(moved, F.col("_o.pred")).otherwise(F.col("_b.pred")).alias("pred"),
+        F.when(moved, F.col("_o.p1")).otherwise(F.col("_b.p1")).alias("p1"),
     )
 
 

@@ -97,7 +97,7 @@ def tau_sweep(
 def tau_best(sweep: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The tau with the best balanced accuracy; the first one wins ties."""
     best = F.max_by(F.struct("tau", "balanced_acc"), F.struct("balanced_acc", -F.col("tau")))
-    return sweep.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.tau", "b.balanced_acc")
+    return sweep.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.tau", "_b.balanced_acc")
 
 
 def slice_metrics(pred: DataFrame, keys: Sequence[str], slice_col: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.bounds import Classes, small
-from tallyforge.functions.skew import join_groups
+from tallyforge.functions.skew import join_keyed
 from tallyforge.operators.codec import family_of
 
 
@@ -146,6 +146,6 @@ def merge_sources(frames: Sequence[DataFrame], tags: Sequence[str], key: str) ->
     return out
 
 
-def drop_groups(df: DataFrame, groups: DataFrame, on: str, spread: str, size: str = "n") -> DataFrame:
-    """Rows whose ``on`` is not one of the groups (one row per key with its size)."""
-    return join_groups(df, groups, [on], spread, size, how="left_anti")
+def drop_groups(df: DataFrame, groups: DataFrame, on: str, spread: str) -> DataFrame:
+    """Rows whose ``on`` is not one of the groups (one row per key with its size ``n``)."""
+    return join_keyed(df, groups.select(on), [on], spread, "left_anti", sizes=groups)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.bounds import Classes, small
-from tallyforge.functions.skew import join_groups
+from tallyforge.functions.skew import join_keyed
 
 
 def dup_groups(m: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def dup_members(m: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Every row that belongs to a duplicate group, with the size of its group."""
     groups = m.where("md5 is not null").groupBy("md5").agg(F.count("*").alias("n")).where("n > 1")
     rows = m.where("md5 is not null").select("key", "class", "md5")
-    return join_groups(rows, groups, ["md5"], spread="key", hot_rows=hot_rows)
+    return join_keyed(rows, groups, ["md5"], spread="key", sizes=groups, hot_rows=hot_rows)
 
 
 def dup_summary(m: DataFrame) -> DataFrame:

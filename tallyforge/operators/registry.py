@@ -43,9 +43,9 @@ def grid_runs(exp: DataFrame, rows: DataFrame, row_col: str, col_col: str, cols:
     ``rows`` lists the row dimension; ``prefer`` orders the runs of a cell (lower first).
     """
     best = exp.withColumn("_p", prefer).groupBy(row_col, col_col).agg(
-        F.min_by(F.struct(F.col(value).alias("v"), F.col("exp_id").alias("id")), F.struct("_p", "exp_id")).alias("b")
+        F.min_by(F.struct(F.col(value).alias("v"), F.col("exp_id").alias("id")), F.struct("_p", "exp_id")).alias("_b")
     )
-    cells = best.select(row_col, F.col(col_col).cast("string").alias("_c"), F.col("b.v").alias("v"))
+    cells = best.select(row_col, F.col(col_col).cast("string").alias("_c"), F.col("_b.v").alias("v"))
     wide = cells.groupBy(row_col).pivot("_c", list(cols)).agg(F.first("v"))
     return rows.join(wide, row_col, "left")
 
@@ -64,7 +64,7 @@ def best_epoch(log: DataFrame, metric: str = "val_bal_acc", ema: str = "ema_val_
         F.inline(F.array(F.struct(F.lit("raw").alias("which"), F.lit(0).alias("o"), F.col(metric).alias("metric")), F.struct(F.lit("ema").alias("which"), F.lit(1).alias("o"), F.col(ema).alias("metric")))),
     ).where("metric is not null")
     best = F.max_by(F.struct("epoch", "which", "metric"), F.struct(F.col("metric"), -F.col("epoch"), -F.col("o")))
-    return cand.groupBy("exp_id").agg(best.alias("b")).select("exp_id", "b.*")
+    return cand.groupBy("exp_id").agg(best.alias("_b")).select("exp_id", "_b.*")
 
 
 def curves_of_best(exp: DataFrame, log: DataFrame, metric: str = "balanced_acc", also: Sequence[str] = ()) -> DataFrame:

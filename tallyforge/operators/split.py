@@ -56,11 +56,11 @@ def group_holdout_groups(
         F.min_by(
             F.struct("draw", "groups", "held", "total"),
             F.struct(F.abs(F.col("held") / F.col("total") - F.lit(target)), F.col("draw")),
-        ).alias("b")
+        ).alias("_b")
     )
     return best.select(
-        F.explode("b.groups").alias("grp"), F.col("b.draw").alias("draw"),
-        F.col("b.held").alias("held"), F.col("b.total").alias("total"),
+        F.explode("_b.groups").alias("grp"), F.col("_b.draw").alias("draw"),
+        F.col("_b.held").alias("held"), F.col("_b.total").alias("total"),
     )
 
 

@@ -57,8 +57,8 @@ def view_probe(pred: DataFrame, keys: Sequence[str], by: Sequence[str], view: st
     View 0 wins ties, then the lowest view.
     """
     best = F.max_by(F.struct(F.col(view).alias("v"), "p1"), F.struct(F.col("p1"), -F.col(view)))
-    item = pred.groupBy(*by, *keys).agg(best.alias("b"), F.max(F.when(F.col(view) == 0, F.col("p1"))).alias("up"))
-    item = item.select(*by, F.col("b.v").alias("v"), F.col("b.p1").alias("best"), "up")
+    item = pred.groupBy(*by, *keys).agg(best.alias("_b"), F.max(F.when(F.col(view) == 0, F.col("p1"))).alias("up"))
+    item = item.select(*by, F.col("_b.v").alias("v"), F.col("_b.p1").alias("best"), "up")
     # per winning view: a handful of rows
     per = item.groupBy(*by, "v").agg(
         F.count("*").alias("n"), F.sum("up").alias("up"), F.sum("best").alias("best"),

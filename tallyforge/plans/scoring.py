@@ -53,7 +53,7 @@ def model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
     def make():
         n = dim(spark, sf).rows
-        train = spread(labelled(spark, sf).where("split = 'train'").select("label", "text"))
+        train = spread(labelled(spark, sf).where("split = 'train'").select("label", "text"), C.documents(spark, sf))
         fitted = score.nb_fit(score.tokens_of(score.words_of(train, "text", "label")), n)
         counts = train_counts(spark, sf)
         prior = score.prior_vector(
@@ -80,7 +80,7 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     """Validation scores: model, item_id, y, source, n_chars, scores."""
 
     def make():
-        val = spread(_items(labelled(spark, sf).where("split = 'val'")))
+        val = spread(_items(labelled(spark, sf).where("split = 'val'")), C.documents(spark, sf))
         return settle(_score_items(spark, sf, score.words_of(val, "text", *ITEM), ITEM), "scores")
 
     return _once(spark, sf, "scores", make)
@@ -98,7 +98,7 @@ def oof_scores(spark: SparkSession, sf: str) -> DataFrame:
         cuts = settle(split.fold_cutoffs(C.documents(spark, sf), "lang", "doc_id", FOLDS, rows=d.rows), "folds")
         docs = split.range_folds(C.documents(spark, sf), "lang", "doc_id", FOLDS, rows=d.rows, cutoffs=cuts)
         docs = _items(join_class_dim(docs, "lang", d), "fold")
-        tokens = score.tokens_of(score.words_of(spread(docs), "text", *ITEM, "fold"))
+        tokens = score.tokens_of(score.words_of(spread(docs, C.documents(spark, sf)), "text", *ITEM, "fold"))
         fitted = score.nb_fit(tokens.withColumnRenamed("y", "label"), d.rows, FOLDS)
         prior = score.nb_prior(docs.withColumnRenamed("y", "label"), d.rows, FOLDS)
         return settle(score.nb_score(tokens, fitted, prior, ITEM, d.rows, folds=FOLDS), "oof")
@@ -114,7 +114,7 @@ def sweep_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Validation scores under every cell of the perturbation grid."""
 
     def make():
-        val = spread(_items(labelled(spark, sf).where("split = 'val'")))
+        val = spread(_items(labelled(spark, sf).where("split = 'val'")), C.documents(spark, sf))
         words = stress.perturbed(score.words_of(val, "text", *ITEM))
         return settle(_score_items(spark, sf, words, [*ITEM, "condition", "severity"]), "sweep")
 
@@ -135,7 +135,7 @@ def junk_pred(spark: SparkSession, sf: str) -> DataFrame:
     def make():
         b = table(spark, sf, "benchmark").select(F.lit("benchmark").alias("kind"), F.col("item_id").cast("string").alias("item"), "text")
         c = table(spark, sf, "conversations").select(F.lit("conversations").alias("kind"), F.concat_ws("/", "conv_id", "turn").alias("item"), "text")
-        words = score.words_of(spread(b.unionByName(c)), "text", "kind", "item")
+        words = score.words_of(spread(b.unionByName(c), b.unionByName(c)), "text", "kind", "item")
         return settle(_score_items(spark, sf, words, ["kind", "item"]), "junk")
 
     return score.predict(_once(spark, sf, "junk", make))
