@@ -21,6 +21,12 @@ def small(df: DataFrame, rows: int | None) -> DataFrame:
     return F.broadcast(df) if rows is not None and rows <= SMALL_ROWS else df
 
 
+def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table to every row, as a scalar subquery (no join)."""
+    row = one.select(F.struct(*[F.col(c) for c in one.columns])).scalar()
+    return df.withColumn("_one", row).select("*", *[F.col("_one")[c].alias(c) for c in one.columns]).drop("_one")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the cluster's shared folder (spark.checkpoint.dir)."""
     global _own_scratch

@@ -47,7 +47,8 @@ def hash_cutoffs(
     ``goals(total)`` gives rising goals; without ``weight`` a goal is a row count. Two narrow
     passes: bucket weights, then only the rows of the buckets in which a goal is reached, so
     the rows themselves are never shuffled and no task sorts a whole class. The result is
-    class-sized: (cls, cuts) with one entry per goal above 0, in order. ``rows`` bounds the
+    class-sized: (cls, cuts) with one entry per goal above 0, in order. ``df`` is read twice here,
+    so settle it first if it is the outcome of heavy work. ``rows`` bounds the
     number of classes, ``side`` may bring per-class columns for ``goals``.
     """
     w = F.col(weight) if weight else F.lit(1)

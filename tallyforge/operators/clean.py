@@ -73,8 +73,14 @@ def clean_index(m: DataFrame, classes: Classes) -> DataFrame:
     return kept.join(classes.side, "class").select("key", "class", "label", "group", "md5", "bytes")
 
 
-def cleaning_ledger(m: DataFrame) -> DataFrame:
-    """Rows lost to each rule (first failing rule wins), rows kept, in one pass."""
+def cleaning_ledger(m: DataFrame, classes: Classes | None = None) -> DataFrame:
+    """Rows lost to each rule (first failing rule wins), rows kept, in one pass.
+
+    With the class universe (it must hold every class of the manifest) classes are compared as
+    labels: the aggregation then has fixed-width buffers and needs no sort.
+    """
+    if classes is not None:
+        m = m.join(classes.side, "class", "left").withColumn("class", F.col("label"))
     cross = F.coalesce("cross", F.lit(False))
     one = F.when(~cross & (F.col("n_alive") > 0), 1).otherwise(0)
     sums = _per_hash(m).agg(

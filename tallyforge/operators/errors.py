@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.bounds import Classes, small
+from tallyforge.functions.bounds import Classes, attach_row, small
 from tallyforge.operators.metrics import class_metrics
 
 
@@ -52,7 +52,9 @@ def unevaluated_classes(cells: DataFrame, classes: Classes) -> DataFrame:
 def per_class_report(cells: DataFrame, keys: Sequence[str], counts: DataFrame, rows: int | None) -> DataFrame:
     """Recall, precision, n_train and n_val of every class, blind ones (n_val = 0) included."""
     dim = counts.select("class", "label", F.col("n").alias("n_train"))
-    grid = cells.select(*keys).distinct().join(small(dim, rows))
+    labels = dim.agg(F.collect_list("label").alias("labels"))
+    grid = attach_row(cells.select(*keys).distinct(), labels).select(*keys, F.explode("labels").alias("label"))
+    grid = grid.join(small(dim, rows), "label")
     per = class_metrics(cells, keys).select(*keys, "label", "n_true", "recall", "precision")
     out = grid.join(per, [*keys, "label"], "left").withColumn("n_val", F.coalesce("n_true", F.lit(0))).drop("n_true")
     return out.withColumn("blind", F.col("n_val") == 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.bounds import Classes, small
+from tallyforge.functions.bounds import Classes, attach_row
 from tallyforge.functions.skew import join_keyed
 
 
@@ -106,8 +106,7 @@ def corpus_summary(
         F.percentile(h, F.lit(0.5)).alias("med_h"),
     )
     g = gini(sizes).select(F.round("gini", 4).alias("gini"))
-    # three one-row tables side by side
-    return totals.join(small(from_classes, 1)).join(small(g, 1))
+    return attach_row(attach_row(totals, from_classes), g)
 
 
 def grouped_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -126,7 +125,7 @@ def coverage_matrix(
     per = known.groupBy(F.col(entity).alias("entity")).agg(
         F.sum("ok").alias("n_ok"), F.count_if(F.col("ok") == 0).alias("n_blank")
     )
-    per = per.join(small(total, 1))
+    per = attach_row(per, total)
     n_bad = F.col("n_classes") - F.col("n_ok")
     return per.select(
         "entity",

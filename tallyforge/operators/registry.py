@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.bounds import small
+from tallyforge.functions.bounds import attach_row, small
 
 
 def leaderboard(
@@ -53,7 +53,7 @@ def grid_runs(exp: DataFrame, rows: DataFrame, row_col: str, col_col: str, cols:
 def delta_vs_baseline(exp: DataFrame, baseline: str, metrics: Sequence[str] = ("top1", "balanced_acc")) -> DataFrame:
     """Each run's metrics minus those of one run, in points."""
     base = exp.where(F.col("exp_id") == baseline).select(*[F.col(m).alias(f"_{m}") for m in metrics]).limit(1)
-    d = exp.join(small(base, 1))
+    d = attach_row(exp, base)
     return d.select("exp_id", *[(100 * (F.col(m) - F.col(f"_{m}"))).alias(f"delta_{m}") for m in metrics])
 
 

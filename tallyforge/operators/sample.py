@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.bounds import Classes, small
+from tallyforge.functions.bounds import Classes, attach_row, small
 from tallyforge.functions.hashing import hash_hex, uniform
 from tallyforge.functions.ranking import hash_rank, take_in_hash_order
 
@@ -88,13 +88,20 @@ def class_cdf(weights: DataFrame) -> DataFrame:
     upto = Window.partitionBy().orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
     mass = F.col("n") * F.col("weight")
     d = weights.withColumn("_mass", mass)
-    d = d.withColumn("hi", F.sum("_mass").over(upto) / F.sum("_mass").over(everything))
+    share = F.sum("_mass").over(upto) / F.sum("_mass").over(everything)
+    # the last range ends at 1 whatever the rounding of the sums
+    d = d.withColumn("hi", F.when(F.col("class") == F.max("class").over(everything), 1.0).otherwise(share))
     return d.withColumn("lo", F.coalesce(F.lag("hi").over(Window.partitionBy().orderBy("class")), F.lit(0.0))).drop("_mass")
 
 
-def range_draw(draws: DataFrame, u: str, cdf: DataFrame, rows: int | None) -> DataFrame:
-    """Class whose [lo, hi) holds u. The ranges are one row per class."""
-    return draws.join(small(cdf, rows), (F.col(u) >= F.col("lo")) & (F.col(u) < F.col("hi")))
+def range_draw(draws: DataFrame, u: str, cdf: DataFrame) -> DataFrame:
+    """Adds the ``class`` whose [lo, hi) holds u, and its ``n``. The ranges follow each other, so
+    the class is found by counting upper ends; the class-sized table travels as one row."""
+    ends = cdf.agg(F.array_sort(F.collect_list(F.struct("hi", "class", "n"))).alias("_cdf"))
+    d = attach_row(draws, ends)
+    hit = F.get("_cdf", F.size(F.filter("_cdf", lambda c: c["hi"] <= F.col(u))))
+    d = d.withColumn("_hit", hit).drop("_cdf")
+    return d.select("*", F.col("_hit")["class"].alias("class"), F.col("_hit")["n"].alias("n")).drop("_hit")
 
 
 def weighted_resample(
@@ -106,7 +113,7 @@ def weighted_resample(
     h = hash_hex(seed, F.lit("draw"), F.col("id"))
     draws = spark.range(n).withColumn("_h", h)
     draws = draws.select(F.col("id").alias("draw"), uniform(F.col("_h"), 1).alias("u1"), uniform(F.col("_h"), 9).alias("u2"))
-    chosen = range_draw(draws, "u1", cdf, classes.rows).select(
+    chosen = range_draw(draws, "u1", cdf).select(
         "draw", F.col("class").alias(cls), (F.floor(F.col("u2") * F.col("n")) + 1).alias("rank")
     )
     ranked = hash_rank(df, cls, key, seed)

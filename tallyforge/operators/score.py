@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.bounds import Classes, settle, small
+from tallyforge.functions.bounds import Classes, attach_row, settle, small
 from tallyforge.functions.vectors import first_max, let, ordered, rank_of, with_softmax
 
 # Log-probabilities are kept as whole millionths, so sums are exact in any order.
@@ -124,7 +124,7 @@ def nb_score(
         *[F.struct(F.lit(m).alias("model"), F.col(f"s_{m}").alias("s"), F.col(f"k_{m}").alias("known"), F.lit(float(evidence[m])).alias("cap")) for m in models]
     )
     per = per.select(*by, F.inline(rows))
-    per = per.join(small(prior, folds), "fold") if folds else per.join(small(prior, 1))
+    per = per.join(small(prior, folds), "fold") if folds else attach_row(per, prior)
     factor = F.when(F.col("known") > F.col("cap"), F.col("cap") / F.col("known")).otherwise(1.0)
     cell = lambda x, i, f: (F.get("prior", i).cast("double") + x.cast("double") * f) / float(SCALE)
     score = let(factor, lambda f: F.transform("s", lambda x, i: cell(x, i, f)))
@@ -161,7 +161,7 @@ def prior_vector(log_priors: DataFrame) -> DataFrame:
 def logit_adjust(scores: DataFrame, log_priors: DataFrame, tau: float | Sequence[float]) -> DataFrame:
     """scores - tau * log_prior; several taus give one row per tau, in one job."""
     taus = [tau] if isinstance(tau, int | float) else list(tau)
-    d = scores.join(small(prior_vector(log_priors), 1))
+    d = attach_row(scores, prior_vector(log_priors))
     d = d.withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in taus])))
     adjusted = F.transform("scores", lambda s, i: s - F.col("tau") * F.get("log_priors", i))
     return d.withColumn("scores", adjusted).drop("log_priors")

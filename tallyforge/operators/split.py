@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.bounds import Classes, small
+from tallyforge.functions.bounds import Classes, attach_row, small
 from tallyforge.functions.hashing import hash_hex
 from tallyforge.functions.ranking import cutoff_number, hash_cutoffs, hash_rank, take_in_hash_order
 
@@ -52,7 +52,7 @@ def group_holdout_groups(
     per_draw = picked.groupBy("draw").agg(
         F.sum("n").alias("held"), F.collect_list("grp").alias("groups")
     )
-    best = per_draw.join(small(total, 1)).agg(
+    best = attach_row(per_draw, total).agg(
         F.min_by(
             F.struct("draw", "groups", "held", "total"),
             F.struct(F.abs(F.col("held") / F.col("total") - F.lit(target)), F.col("draw")),
@@ -105,7 +105,7 @@ def holdout_checks(train: DataFrame, probe: DataFrame, grp: str, cls: str, class
         .agg(F.count("*").alias("leaked_groups"))
     )
     table = classes.side.select("class").join(counts, "class", "left")
-    table = table.join(small(leaks, 1))
+    table = attach_row(table, leaks)
     n_train = F.coalesce("n_train", F.lit(0))
     n_probe = F.coalesce("n_probe", F.lit(0))
     return table.select(

@@ -7,7 +7,6 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.bounds import small
 from tallyforge.functions.hashing import hash_hex, uniform
 from tallyforge.operators.metrics import metrics_of
 
@@ -131,6 +130,7 @@ def best_under(ret: DataFrame, conditions: Sequence[str]) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_retention"), "model")))
 
 
-def sweep_cross(items: DataFrame, grid: DataFrame, cells: int | None) -> DataFrame:
-    """Every item under every grid cell; the grid is a listed, small table."""
-    return items.join(small(grid, cells))
+def sweep_cross(items: DataFrame, grid: Mapping[str, Sequence[float]] = GRID) -> DataFrame:
+    """Every item under every (condition, severity) of a listed grid."""
+    cells = [F.struct(F.lit(c).alias("condition"), F.lit(float(s)).alias("severity")) for c, sevs in grid.items() for s in sevs]
+    return items.select("*", F.inline(F.array(*cells)))

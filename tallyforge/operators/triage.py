@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.bounds import Classes, small
+from tallyforge.functions.bounds import Classes, attach_row
 from tallyforge.operators.raster import _ring, normalise_rasters, sharpness
 
 
@@ -92,7 +92,7 @@ INK_TOLERANCE = 0.12
 
 def verdict(description: DataFrame, probe: DataFrame) -> DataFrame:
     """The ordered findings on a batch as (step, finding) per probe row; both inputs are tiny."""
-    d = probe.join(small(description, 1))
+    d = attach_row(probe, description)
     lift, share = F.col("lift"), F.col("modal_share")
     height, ink = F.col("median_height"), F.col("median_ink_frac")
     rules = F.array_compact(

@@ -245,10 +245,8 @@ def perturb_sweep(spark, sf):
     with_blocks("SELECT condition, severity, count(*) AS n_items, sum(n_chars)::BIGINT AS n_chars FROM gi GROUP BY ALL", S.SWEEP),
 )
 def sweep_cross(spark, sf):
-    grid = [(c, s) for c, ss in stress.GRID.items() for s in ss]
-    g = spark.createDataFrame(grid, "condition string, severity double")
     items = S.scores(spark, sf).where("model = 'lengths'").select("item_id", "n_chars")
-    return stress.sweep_cross(items, g, len(grid)).groupBy("condition", "severity").agg(F.count("*").alias("n_items"), F.sum("n_chars").alias("n_chars"))
+    return stress.sweep_cross(items).groupBy("condition", "severity").agg(F.count("*").alias("n_items"), F.sum("n_chars").alias("n_chars"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallyforge.functions.bounds import small
 from tallyforge.operators import ensemble, metrics, sample, score
 from tallyforge.plans import corpus as C
 from tallyforge.plans import scoring as S
@@ -90,7 +91,7 @@ def predict_argmax(spark, sf):
 )
 def prediction_table(spark, sf):
     n = S.train_counts(spark, sf).select(F.col("label").alias("y"), F.col("n").alias("n_train"))
-    d = S.pred(spark, sf).join(F.broadcast(n), "y")  # one row per class of a listed universe
+    d = S.pred(spark, sf).join(small(n, S.dim(spark, sf).rows), "y")
     return d.select(
         "model", "item_id", nm(spark, sf, "y", "y_class"), nm(spark, sf, "pred", "pred_class"), nm(spark, sf, "runner_up", "runner_up"),
         "correct", *r6("p1", "margin"), *big("rank_true"), "n_train",
@@ -363,7 +364,7 @@ def eval_split(spark, sf):
     from tallyforge.operators.split import group_holdout_groups
 
     held = group_holdout_groups(C.documents(spark, sf).select("source"), "source").select(F.col("grp").alias("source"), F.lit(True).alias("held"))
-    p = S.pred(spark, sf).join(F.broadcast(held), "source", "left")  # k = 4 rows
+    p = S.pred(spark, sf).join(small(held, 4), "source", "left")
     d = metrics.eval_split(p, F.col("held"), ["model"], S.train_counts(spark, sf), S.dim(spark, sf).rows, fitted_on="strat", kind="doc", minority=S.MINORITY)
     return d.select("model", "n", "split_kind", "mismatch", *r6("top1", "balanced_acc", "macro_f1", "minority_acc"))
 

@@ -56,7 +56,7 @@ def clean_index_by_lang(spark, sf):
     ),
 )
 def cleaning_ledger(spark, sf):
-    return clean.cleaning_ledger(C.doc_manifest(spark, sf))
+    return clean.cleaning_ledger(C.doc_manifest(spark, sf), C.sources(spark, sf))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyforge.functions.bounds import Classes, scratch_path, settle
+from tallyforge.functions.bounds import Classes, scratch_path, settle, small
 from tallyforge.operators import metrics, profile, registry, score, split
 from tallyforge.plans import corpus as C
 from tallyforge.plans import scoring as S
@@ -19,7 +19,7 @@ def experiments(spark, sf):
     def make():
         held = split.group_holdout_groups(C.documents(spark, sf).select("source"), "source").select(F.col("grp").alias("source"), F.lit(True).alias("held"))
         adj = score.logit_adjust(S.scores(spark, sf), log_priors(spark, sf), _TAUS)
-        p = score.predict(adj).join(F.broadcast(held), "source", "left")  # k = 4 rows
+        p = score.predict(adj).join(small(held, 4), "source", "left")
         kinds = F.explode(F.when(F.col("held"), F.array(F.lit("strat"), F.lit("doc"))).otherwise(F.array(F.lit("strat")))).alias("split_kind")
         p = p.select("model", "tau", "y", "pred", "rank_true", kinds)
         m = metrics.metrics_of(p, ["model", "tau", "split_kind"], S.train_counts(spark, sf), S.dim(spark, sf).rows, S.MINORITY)

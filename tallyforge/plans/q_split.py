@@ -230,7 +230,7 @@ def range_draw(spark, sf):
     cdf = sample.class_cdf(sample.weight_table(sample.class_counts(d, dim, "lang"), 0.5))
     h = sample.hash_hex(42, F.lit("draw"), F.col("doc_id"))
     draws = d.select(F.col("doc_id").alias("draw"), sample.uniform(h).alias("u1"))
-    return sample.range_draw(draws, "u1", cdf, dim.rows).select("draw", "class")
+    return sample.range_draw(draws, "u1", cdf).select("draw", "class")
 
 
 @query(
