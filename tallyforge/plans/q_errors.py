@@ -172,8 +172,9 @@ def undisputed_reference(spark, sf):
 # reviewed verdicts: the second label table stands in for the reviewer
 _REVIEW = "rv AS (SELECT nc.item_id AS key, CASE WHEN l.toxic = 1 THEN 'drop' WHEN l.quality = 1 THEN 'relabel' ELSE 'keep' END AS verdict FROM nc JOIN labels l ON l.doc_id = nc.item_id)"
 _ACTIONS = """ac AS (SELECT nc.item_id AS key, coalesce(CASE WHEN rv.verdict IN ('drop', 'relabel') THEN rv.verdict END,
-         CASE WHEN y_class = 'es' AND pred_class = 'en' THEN 'relabel' WHEN y_class = 'de' AND pred_class = 'en' THEN 'drop' END) AS action, y_class AS from_class, pred_class AS to_class
-       FROM nc LEFT JOIN rv ON rv.key = nc.item_id)"""
+         CASE tp.r WHEN 1 THEN 'relabel' WHEN 2 THEN 'drop' END) AS action, nc.y_class AS from_class, nc.pred_class AS to_class
+       FROM nc LEFT JOIN rv ON rv.key = nc.item_id
+       LEFT JOIN (SELECT y, pred, row_number() OVER (ORDER BY n DESC, y, pred) AS r FROM (SELECT y, pred, count(*) AS n FROM nc GROUP BY ALL)) tp ON tp.y = nc.y AND tp.pred = nc.pred)"""
 
 
 def _actions(spark, sf):
@@ -184,7 +185,11 @@ def _actions(spark, sf):
         F.col("doc_id").alias("key"), F.when(F.col("toxic") == 1, "drop").when(F.col("quality") == 1, "relabel").otherwise("keep").alias("verdict")
     )
     reviewed = lab.join(cand.select("key"), "key", "left_semi")
-    return overlay.plan_fixes(cand, S.dim(spark, sf), reviewed, relabel=["es>en"], drop=["de>en"])
+    # the reviewer reads the pair table and confirms the first pair, then gives up on the second
+    top = noise.noise_pairs(cand).orderBy(F.desc("n"), "y", "pred").limit(2).collect()
+    names = S.dim(spark, sf).require_names()
+    pairs = [f"{names[r.y]}>{names[r.pred]}" for r in top]
+    return overlay.plan_fixes(cand, S.dim(spark, sf), reviewed, relabel=pairs[:1], drop=pairs[1:])
 
 
 @query("plan_fixes", with_blocks("SELECT * FROM ac WHERE action IS NOT NULL", NOISE, _REVIEW, _ACTIONS))

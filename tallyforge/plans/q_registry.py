@@ -158,16 +158,19 @@ def tau_grid(spark, sf):
 
 # --- epoch logs: one run per event type, one epoch per day --------------------
 LOG = """
-lg AS MATERIALIZED (SELECT event_type AS exp_id, day(ts)::BIGINT AS epoch, round(avg(value), 4) AS train_loss, round(avg((value >= 10)::INT), 4) AS val_top1, round(avg((value >= 20)::INT), 4) AS val_bal_acc,
-       CASE WHEN event_type < 'p' THEN round(avg((value >= 19)::INT), 4) END AS ema_val_bal_acc FROM events GROUP BY event_type, day(ts))
+lg AS MATERIALIZED (SELECT event_type AS exp_id, day(ts)::BIGINT AS epoch, floor(sum(round(value * 100)::BIGINT)::DOUBLE * 100 / count(*)) / 10000 AS train_loss,
+       floor(avg((value >= 10)::INT) * 10000) / 10000 AS val_top1, floor(avg((value >= 20)::INT) * 10000) / 10000 AS val_bal_acc,
+       CASE WHEN event_type < 'p' THEN floor(avg((value >= 19)::INT) * 10000) / 10000 END AS ema_val_bal_acc FROM events GROUP BY event_type, day(ts))
 """
 
 
 def epoch_rows(spark, sf):
     ev = table(spark, sf, "events")
-    share = lambda t: F.round(F.avg((F.col("value") >= t).cast("int")), 4)
+    # cut to 4 digits from whole numbers, so the order of addition does not matter
+    share = lambda t: F.floor(F.avg((F.col("value") >= t).cast("int")) * 10000) / 10000
+    cents = F.sum(F.round(F.col("value") * 100).cast("bigint")).cast("double")
     d = ev.groupBy(F.col("event_type").alias("exp_id"), F.dayofmonth("ts").alias("epoch")).agg(
-        F.round(F.avg("value"), 4).alias("train_loss"), share(10).alias("val_top1"), share(20).alias("val_bal_acc"), share(19).alias("ema_val_bal_acc")
+        (F.floor(cents * 100 / F.count("*")) / 10000).alias("train_loss"), share(10).alias("val_top1"), share(20).alias("val_bal_acc"), share(19).alias("ema_val_bal_acc")
     )
     return d.withColumn("ema_val_bal_acc", F.when(F.col("exp_id") < "p", F.col("ema_val_bal_acc")))
 
