@@ -24,7 +24,7 @@ VOWELS = "aeiouyàâäáæèéêëíìîïóòôöœúùûü"
 
 def words_of(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """One row per word of the whole text (lower case); an item without words keeps one NULL row."""
-    return df.select(*keep, F.explode_outer(F.expr(rf"regexp_extract_all(lower(`{text}`), '(\\p{{L}}+)', 1)")).alias("w"))
+    return df.select(*keep, F.explode_outer(F.expr(rf"regexp_extract_all(lower(`{text}`), '\\p{{L}}+', 0)")).alias("w"))
 
 
 # Feature models: what a word tells the scorer, as a number.
