@@ -20,21 +20,18 @@ CATEGORY_RANGES = (
     ("vowel", 0x0E40, 0x0E45),
     ("tone_mark", 0x0E46, 0x0E4E),
 )
-# The 72 byte codes of the class universe, as inclusive ranges.
-CODE_RANGES = (
-    (161, 164), (167, 171), (173, 173), (175, 197), (199, 207), (209, 210),
-    (212, 217), (224, 234), (236, 236), (240, 249),
+# The 72 byte codes of the class universe.
+CORPUS_CODES = (
+    161, 162, 163, 164, 167, 168, 169, 170, 171, 173, 175, 176, 177, 178, 179, 180, 181, 182,
+    183, 184, 185, 186, 187, 188, 189, 190, 191, 192, 193, 194, 195, 196, 197, 199, 200, 201,
+    202, 203, 204, 205, 206, 207, 209, 210, 212, 213, 214, 215, 216, 217, 224, 225, 226, 227,
+    228, 229, 230, 231, 232, 233, 234, 236, 240, 241, 242, 243, 244, 245, 246, 247, 248, 249,
 )
 # Fixed value: prefix, document number, subset, line and index of a corpus file name.
 NAME_PATTERN = r"(?i)^(?:Copy of )?(be|bc|bl|ce)_(\d{3})(sg|tg)_(\d+)_(\d+)\.jpg$"
 COPY_PREFIX = "Copy of "
 
 
-def corpus_codes() -> list[int]:
-    """The 72 class codes."""
-    return [c for lo, hi in CODE_RANGES for c in range(lo, hi + 1)]
-
-
 def char_of(code: Column) -> Column:
     """Character of a byte code (code points below 65536)."""
     point = code.cast("bigint") - CODE_BASE + POINT_BASE

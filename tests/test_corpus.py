@@ -45,7 +45,7 @@ def test_gini(spark, sizes, want):
 
 
 def test_codes_round_trip_over_the_whole_universe(spark):
-    codes = codec.corpus_codes()
+    codes = list(codec.CORPUS_CODES)
     assert len(codes) == 72
     d = codec.class_dim(spark.createDataFrame([(c,) for c in codes], "code int"))
     got = d.withColumn("back", codec.code_of(F.col("char"))).orderBy("code").collect()
