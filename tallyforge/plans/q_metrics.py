@@ -17,6 +17,11 @@ def big(*cols):
     return [F.col(c).cast("bigint").alias(c) for c in cols]
 
 
+def cut4(col):
+    # exact scores lie on decimal ties, where engines round differently; cutting is the same everywhere
+    return (F.floor(F.col(col) * 10000) / 10000).alias(col)
+
+
 def nm(spark, sf, col, alias):
     return score.named(F.col(col), S.dim(spark, sf)).alias(alias)
 
@@ -28,15 +33,15 @@ def rounded_sql(inner: str, keys: str, cols: str = ",".join(MET), rest: str = "n
     return f"SELECT {keys}, {rest}, " + ", ".join(f"round({c}, 6) AS {c}" for c in cols.split(",")) + f" FROM ({inner})"
 
 
-@query("batch_score", with_blocks("SELECT model, item_id, y_class, class, round(score, 5) AS score FROM sc", S.SCORES))
+@query("batch_score", with_blocks("SELECT model, item_id, y_class, class, floor(score * 10000) / 10000 AS score FROM sc", S.SCORES))
 def batch_score(spark, sf):
     long = score.to_long(S.scores(spark, sf), "scores", "score", "model", "item_id", "y")
-    return long.select("model", "item_id", nm(spark, sf, "y", "y_class"), nm(spark, sf, "label", "class"), F.round("score", 5).alias("score"))
+    return long.select("model", "item_id", nm(spark, sf, "y", "y_class"), nm(spark, sf, "label", "class"), cut4("score"))
 
 
 @query(
     "batch_score_python",
-    with_blocks("SELECT item_id, model, round(max(score), 5) AS best FROM sc GROUP BY ALL", S.SCORES),
+    with_blocks("SELECT item_id, model, floor(max(score) * 10000) / 10000 AS best FROM sc GROUP BY ALL", S.SCORES),
 )
 def batch_score_python(spark, sf):
     def make():
@@ -50,7 +55,7 @@ def batch_score_python(spark, sf):
 
     d = S.scores(spark, sf).select("item_id", "model", "scores")
     out = score.batch_score(d, make, "item_id bigint, model string, best double")
-    return out.withColumn("best", F.round("best", 5))
+    return out.withColumn("best", cut4("best"))
 
 
 @query("softmax", with_blocks("SELECT model, item_id, class, round(p, 6) AS prob FROM pdb", S.PRED))
