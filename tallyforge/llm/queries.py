@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import neardup
+from tallyforge.llm import common, langid, neardup
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -30,3 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = neardup.near_dup_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", neardup.fingerprint_hex(groups.fp).alias("fingerprint"), "component_id")
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = common.id_part(F.col("doc_id"), 5) == 0
+    net = langid.train(docs.where(~held_out), F.col("doc_id"), F.col("text"), F.col("lang"))
+    done = langid.identify(docs.select("doc_id", "text"), net, keep=["doc_id"], score="score")
+    return done.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
