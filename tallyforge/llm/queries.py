@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import common, langid, neardup
+from tallyforge.llm import brown, common, langid, neardup
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -40,3 +40,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = langid.train(docs.where(~held_out), F.col("doc_id"), F.col("text"), F.col("lang"))
     done = langid.identify(docs.select("doc_id", "text"), net, keep=["doc_id"], score="score")
     return done.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_brown_class_scores")
+def op9_brown_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = common.id_part(F.col("doc_id"), 10) == 0
+    model, vocab = brown.fit(brown.training_texts(docs, ~held_out))
+    done = brown.score(docs, model, vocab)
+    return done.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
