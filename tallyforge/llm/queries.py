@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import brown, common, langid, neardup
+from tallyforge.llm import brown, common, langid, neardup, phrases
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -49,3 +49,8 @@ def op9_brown_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, vocab = brown.fit(brown.training_texts(docs, ~held_out))
     done = brown.score(docs, model, vocab)
     return done.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+@query("op10_repeated_phrases")
+def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.digests(table(spark, sf_dir, "documents"))
