@@ -142,7 +142,9 @@ def training_rows(labelled: DataFrame, key: Column, text: Column, lang: Column,
     sample is a fixed size for any table and no language is gathered or sorted.
     """
     d = labelled.select(key.alias("key"), text.cast("binary").alias("text"), lang.alias("lang")).where("lang is not null and text is not null")
-    share = d.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share"))
+    # one row per language: the net holds a column for each of them on the driver anyway
+    counts = d.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share")).collect()
+    share = F.broadcast(labelled.sparkSession.createDataFrame([(r.lang, r.share) for r in counts], "lang string, share double"))
     u = F.conv(F.substring(F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
     taken = d.join(share, "lang").where(u < F.col("share"))
     room = F.greatest(F.octet_length("text") - WINDOW, F.lit(0))

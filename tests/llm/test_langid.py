@@ -22,7 +22,9 @@ def test_held_out_accuracy(spark, net):
 
 
 def test_odd_rows_and_clashing_columns(spark, net):
-    rows = [(1, None, "a"), (2, "", "b"), (3, "12 + 5 \n", "c"), (4, "the of and " * 30, "d"), (4, "the of and " * 30, "d"), (None, "der die und nicht " * 9000, "e")]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 400")
+    en, de = (docs.where(f"lang = '{x}'").orderBy("doc_id").first().text for x in ("en", "de"))
+    rows = [(1, None, "a"), (2, "", "b"), (3, "12 + 5 \n", "c"), (4, en, "d"), (4, en, "d"), (None, de * 300, "e")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, lang_pred string")
     got = sorted((r.doc_id or 0, r.lang_pred, r.lang_score) for r in langid.identify(d, net).collect())
     assert [x[1] for x in got] == ["de", "und", "und", "und", "en", "en"] and got[1][2] == 0
