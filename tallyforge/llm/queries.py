@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import brown, common, hostrules, langid, neardup, phrases
+from tallyforge.llm import brown, common, hostrules, htmlmain, langid, neardup, phrases
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -60,3 +60,8 @@ def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = hostrules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op7_html_extraction")
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(table(spark, sf_dir, "pages"))
