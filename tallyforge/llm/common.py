@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyforge.functions.bounds import settle
 
@@ -71,3 +74,34 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             break
         state = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def packed(df: DataFrame, columns: list[str], *inputs: Column) -> tuple[DataFrame, StructType]:
+    """``df`` as (_row: struct of ``columns``, _0, _1 ...): rows travel whole through a batch function, so
+    input columns of any name can neither clash with its own nor need a join afterwards.
+    """
+    own = df.select(*columns).schema
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), *[x.alias(f"_{i}") for i, x in enumerate(inputs)]), own
+
+
+#: Odd multipliers for the places of a phrase.
+PLACES = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(32)], dtype=np.uint64)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), dtype="<u8")
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` words, from the hashes of the words."""
+    n = max(len(h) - size + 1, 0)
+    g = h[:n] * PLACES[0]
+    for i in range(1, size):
+        g += h[i : i + n] * PLACES[i]
+    return mixed(g)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tallyforge.llm.common import rows_of
+from tallyforge.llm.common import packed, rows_of
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -182,13 +182,12 @@ def identify(df: DataFrame, net: ByteNet | None, text_col: str = "text", pred: s
     """``df`` (or its columns ``keep``) with the predicted language and its probability."""
     text = F.col(text_col)
     columns = [c for c in (df.columns if keep is None else keep) if c not in (pred, score)]
-    own = df.select(*columns).schema
     if net is None:
         return df.select(*columns, F.lit(UNKNOWN).alias(pred), F.lit(0.0).alias(score))
     known = F.coalesce(text.rlike("\\p{L}"), F.lit(False))
-    packed = df.select(F.struct(*columns).alias("_row"), text.cast("binary").alias("_text"), known.alias("_known"))
+    rows, own = packed(df, columns, text.cast("binary"), known)
     out = StructType([StructField("_row", own), StructField("_pred", StringType()), StructField("_score", DoubleType())])
-    done = packed.mapInArrow(_predict(net), out)
+    done = rows.mapInArrow(_predict(net), out)
     return done.select(*[F.col("_row")[c].alias(c) for c in columns], F.col("_pred").alias(pred), F.col("_score").alias(score))
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.bounds import settle
-from tallyforge.llm.common import rows_of, words_of
+from tallyforge.llm.common import gram_hashes, rows_of, word_hashes, words_of
 
 WINDOW = 35
 PHRASE = 12
@@ -47,8 +47,6 @@ LONGEST = 64
 # Segments that share one automaton.
 BLOCK = 4096
 HOT = 5_000
-#: Odd multipliers for the places of a phrase.
-PLACES = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(PHRASE)], dtype=np.uint64)
 
 
 def _slide(x: np.ndarray, size: int, op) -> np.ndarray:
@@ -65,14 +63,7 @@ def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
     """(hash of every phrase, anchor of every window); None for a text below WINDOW words."""
     if len(words) < WINDOW:
         return None
-    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), dtype="<u8")
-    n = len(h) - PHRASE + 1
-    g = h[:n] * PLACES[0]
-    for i in range(1, PHRASE):
-        g += h[i : i + n] * PLACES[i]
-    g ^= g >> np.uint64(31)
-    g *= np.uint64(0xD6E8FEB86659FD93)
-    g ^= g >> np.uint64(32)
+    g = gram_hashes(word_hashes(words), PHRASE)
     return g, _slide(g, WINDOW - PHRASE + 1, np.minimum)
 
 

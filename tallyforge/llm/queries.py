@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import brown, common, hostrules, htmlmain, langid, neardup, phrases
+from tallyforge.llm import brown, common, decontaminate, hostrules, htmlmain, langid, neardup, phrases
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -65,3 +65,9 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_html_extraction")
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op1_benchmark_decontamination")
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.mark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return marked.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.item_id", "x.similarity", "x.start_word", "x.n_words")
