@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import brown, common, decontaminate, hostrules, htmlmain, langid, neardup, phrases
+from tallyforge.llm import brown, common, decontaminate, hostrules, htmlmain, langid, mixing, neardup, phrases, sharding
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -71,3 +71,76 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate.mark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return marked.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.item_id", "x.similarity", "x.start_word", "x.n_words")
+
+
+def mix_options() -> dict:
+    """The tree of the mix (a domain by the number of the source, then language and source), its weights and its budget."""
+    crawl = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1).isin([str(i) for i in range(10)])
+    return {
+        "levels": {"domain": F.when(crawl, "crawl").otherwise("curated"), "lang": F.col("lang"), "source": F.col("source")},
+        "weights": {
+            "domain": F.when(F.col("domain") == "crawl", 0.6).otherwise(0.4),
+            "lang": F.when(F.col("lang") == "en", 0.5).when(F.col("lang").isin("de", "fr"), 0.2).otherwise(0.1),
+            "source": F.lit(1.0),
+        },
+        "budget": F.floor(F.col("total") * 0.8),
+        "max_epochs": 2,
+        "seed": 42,
+    }
+
+
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang, source, coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    CASE WHEN regexp_matches(coalesce(source, ''), '(^|[^0-9])[0-9]$') THEN 'crawl' ELSE 'curated' END AS domain,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS tokens
+  FROM documents
+), leaf AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, (2 * sum(tokens))::BIGINT AS supply FROM d GROUP BY ALL),
+dom0 AS (
+  SELECT domain, sum(supply) AS supply, CASE WHEN domain = 'crawl' THEN 0.6 ELSE 0.4 END::DOUBLE AS weight,
+    (SELECT least(floor(sum(tokens) * 0.8::DOUBLE), sum(supply)) FROM leaf) AS budget FROM leaf GROUP BY domain
+), dom AS (SELECT domain, budget_of AS budget FROM (%DOM%)),
+lang0 AS (
+  SELECT domain, lang, sum(supply) AS supply, CASE WHEN lang = 'en' THEN 0.5 WHEN lang IN ('de', 'fr') THEN 0.2 ELSE 0.1 END::DOUBLE AS weight, budget
+  FROM leaf JOIN dom USING (domain) GROUP BY domain, lang, budget
+), lan AS (SELECT domain, lang, budget_of AS budget FROM (%LANG%)),
+src0 AS (
+  SELECT l.domain, l.lang, l.source, l.supply, 1.0::DOUBLE AS weight, lan.budget
+  FROM leaf l JOIN lan ON l.domain = lan.domain AND l.lang IS NOT DISTINCT FROM lan.lang
+), src AS (SELECT domain, lang, source, budget_of AS budget FROM (%SRC%)),
+plan AS (
+  SELECT l.domain, l.lang, l.source, CASE WHEN tokens > 0 THEN floor(budget / tokens) ELSE 0 END::INTEGER AS full_epochs,
+    budget - CASE WHEN tokens > 0 THEN floor(budget / tokens) ELSE 0 END * tokens AS rest
+  FROM leaf l JOIN src s ON l.domain = s.domain AND l.lang IS NOT DISTINCT FROM s.lang AND l.source IS NOT DISTINCT FROM s.source
+), run AS (
+  SELECT d.*, full_epochs, rest, coalesce(sum(tokens) OVER (PARTITION BY d.domain, d.lang, d.source
+    ORDER BY md5('42:' || full_epochs || ':' || id), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN plan p ON d.domain = p.domain AND d.lang IS NOT DISTINCT FROM p.lang AND d.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, domain, lang, source, tokens, (full_epochs + CASE WHEN before < rest THEN 1 ELSE 0 END)::BIGINT AS epochs FROM run
+"""
+
+
+def _fill_sql(nodes: str, parent: str) -> str:
+    """Water filling of one level as windows: a child is filled if its supply / weight is below the level at its place."""
+    part = f"PARTITION BY {parent}" if parent else ""
+    upto = f"OVER ({part} ORDER BY supply / weight RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP)"
+    return f"""
+    SELECT *, CASE WHEN level IS NULL THEN supply ELSE least(supply, floor(round(weight * level, 6))) END AS budget_of FROM (
+      SELECT *, arg_min(here, supply / weight) FILTER (WHERE supply / weight > here) OVER ({part}) AS level FROM (
+        SELECT *, (budget - coalesce(sum(supply) {upto}, 0)) / (sum(weight) OVER ({part}) - coalesce(sum(weight) {upto}, 0)) AS here FROM {nodes}))"""
+
+
+for _mark, _nodes, _parent in (("%DOM%", "dom0", ""), ("%LANG%", "lang0", "domain"), ("%SRC%", "src0", "domain, lang")):
+    MIX_SQL = MIX_SQL.replace(_mark, _fill_sql(_nodes, _parent))
+
+
+@query("op6_source_mixing", MIX_SQL)
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"], **mix_options())
+    return mixed.select("doc_id", "domain", "lang", "source", "tokens", "epochs")
+
+
+@query("op8_sampled_splitter_shards")
+def op8_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_records(table(spark, sf_dir, "documents"), keep=["doc_id"])
