@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import brown, common, decontaminate, hostrules, htmlmain, langid, mixing, neardup, phrases, sharding
+from tallyforge.llm import brown, common, decontaminate, hostrules, htmlmain, langid, mixing, neardup, phrases, pii, sharding
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -144,3 +144,8 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_sampled_splitter_shards")
 def op8_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+@query("op3_pii_surrogates")
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), key="tallyforge-surrogates-1")
