@@ -105,3 +105,24 @@ def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
     for i in range(1, size):
         g += h[i : i + n] * PLACES[i]
     return mixed(g)
+
+
+def _same(id_col: str, text_col: str) -> Column:
+    return F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_th"))
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, one of each group (doc_id, th, root): the one with the smallest id (NULL ids last).
+
+    Of fully repeated rows (same id, same text) one stays.
+    """
+    groups = settle(groups, "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best")
+    best = groups.groupBy("root").agg(first).select(F.col("best.doc_id").alias("_id"), F.col("best.th").alias("_th"))
+    repeated = groups.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.count("*").alias("_times"))
+    keep = best.join(repeated.where("_times > 1").select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), F.lit(True).alias("_again")), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left")
+    keep = settle(keep.select("_id", "_th", F.coalesce("_again", F.lit(False)).alias("_again")), "kept")
+    single = docs.join(keep.where("NOT _again").drop("_again"), _same(id_col, text_col), "left_semi")
+    if keep.where("_again").isEmpty():
+        return single
+    return single.unionByName(docs.join(keep.where("_again").drop("_again"), _same(id_col, text_col), "left_semi").dropDuplicates([id_col, text_col]))

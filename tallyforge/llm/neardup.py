@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.bounds import settle
-from tallyforge.llm.common import LOWER, components, rows_of, words_of
+from tallyforge.llm.common import LOWER, components, keep_one, rows_of, words_of
 
 RADIUS = 3
 SHINGLE = 3
@@ -69,43 +69,51 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return d.mapInArrow(_fingerprint_batches(size), "doc_id bigint, th bigint, fp bigint")
 
 
-def planes_of(fps: np.ndarray) -> np.ndarray:
-    """64 x ceil(n / 64) words: row j holds bit j of every fingerprint, 64 to a word."""
-    pad = -len(fps) % 64
-    padded = np.concatenate([fps.view(np.uint64), np.zeros(pad, np.uint64)])
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+def planes_of(prints: np.ndarray) -> np.ndarray:
+    """Bit planes of n prints of k words each: 64 k x ceil(n / 64) words, row j holds bit j of all prints, 64 to a word."""
+    n, k = prints.shape
+    padded = np.concatenate([prints, np.zeros((-n % 64, k), np.uint64)])
+    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8 * k), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def close_pairs(queries: np.ndarray, stored: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, stored) within RADIUS bits, by bit-sliced counting.
+def close_pairs(queries: np.ndarray, stored: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (query, stored) within ``radius`` (2 or more) bits, by bit-sliced counting.
 
-    Counters c0, c1 hold the number of differing bits modulo 4 for 64 pairs a word, ``over`` the
-    pairs that have passed 3. Two planes are added at a time: a half adder makes their sum and carry.
+    The counters of 64 pairs are one word per binary digit. They start so that they overflow when a
+    pair has passed the radius. Two planes are added at a time: a half adder makes their sum and
+    carry, the carry ripples up, and what overflows is marked in ``over``. Words in which all 64 pairs
+    are marked leave the further planes.
     """
     planes = planes_of(stored)
     width = planes.shape[1]
-    asked = queries.view(np.uint64)
     # word (q, w) of the flat layout: query q against the stored words w
-    q = np.repeat(np.arange(len(asked)), width)
-    w = np.tile(np.arange(width), len(asked))
-    c0 = np.zeros(len(q), np.uint64)
-    c1, over = c0.copy(), c0.copy()
-    for j in range(0, 64, 2):
-        mine = asked[q]
-        a = planes[j][w] ^ (np.uint64(0) - ((mine >> np.uint64(j)) & np.uint64(1)))
-        b = planes[j + 1][w] ^ (np.uint64(0) - ((mine >> np.uint64(j + 1)) & np.uint64(1)))
-        total, carry = a ^ b, a & b
-        up = c0 & total
-        c0 ^= total
-        # carry and up are never both set with total: carry needs a = b = 1, then total = 0
-        add = carry | up
-        over |= c1 & add
-        c1 ^= add
-        if j in (14, 22, 30, 46):
+    q = np.repeat(np.arange(len(queries)), width)
+    w = np.tile(np.arange(width), len(queries))
+    digits = radius.bit_length()
+    start = (1 << digits) - 1 - radius
+    c = [np.full(len(q), ONES if start >> d & 1 else 0, np.uint64) for d in range(digits)]
+    over = np.zeros(len(q), np.uint64)
+    one = np.uint64(1)
+    for j in range(0, len(planes), 2):
+        mine = queries[q, j // 64]
+        a = planes[j][w] ^ (np.uint64(0) - ((mine >> np.uint64(j % 64)) & one))
+        b = planes[j + 1][w] ^ (np.uint64(0) - ((mine >> np.uint64(j % 64 + 1)) & one))
+        total = a ^ b
+        up = c[0] & total
+        c[0] ^= total
+        # the carry and ``up`` exclude each other: a carry needs a = b = 1, and then total is 0
+        up |= a & b
+        for d in range(1, digits):
+            here = c[d]
+            c[d] = here ^ up
+            up &= here
+        over |= up
+        if j % 8 == 6 and j >= 2 * radius + 8:
             live = over != ONES
-            if not live.all():
-                q, w, c0, c1, over = q[live], w[live], c0[live], c1[live], over[live]
+            if 4 * np.count_nonzero(live) < 3 * len(q):
+                q, w, over = q[live], w[live], over[live]
+                c = [x[live] for x in c]
             if not len(q):
                 break
     live = over != ONES
@@ -116,9 +124,9 @@ def close_pairs(queries: np.ndarray, stored: np.ndarray) -> tuple[np.ndarray, np
     return left[ok], right[ok]
 
 
-def near_lanes(x: np.ndarray) -> np.ndarray:
-    """Which XOR words have at most RADIUS bits: the same counters, one lane per word."""
-    _, right = close_pairs(np.zeros(1, np.uint64), x)
+def near_lanes(x: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Which XORs of two prints have at most ``radius`` bits: the same counters, one lane per pair."""
+    _, right = close_pairs(np.zeros((1, x.shape[1]), np.uint64), x, radius)
     out = np.zeros(len(x), bool)
     out[right] = True
     return out
@@ -163,7 +171,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = np.flatnonzero(place + d < rest)
             for at in range(0, len(i), LANES):
                 own = i[at : at + LANES]
-                near = own[near_lanes(fp[own] ^ fp[own + d])]
+                near = own[near_lanes((fp[own] ^ fp[own + d]).view(np.uint64)[:, None])]
                 if len(near):
                     yield out(fp[near], fp[near + d])
         for k in np.flatnonzero((size > 1) & ~little):
@@ -173,7 +181,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 one, two = fp[s][side[s] == a[start[k]]], fp[s][side[s] == b[start[k]]]
             if not len(one) or not len(two):
                 continue
-            found = [(at + l, r) for at in range(0, len(one), 256) for l, r in [close_pairs(one[at : at + 256], two)]]
+            asked, stored = one.view(np.uint64)[:, None], two.view(np.uint64)[:, None]
+            found = [(at + l, r) for at in range(0, len(one), 256) for l, r in [close_pairs(asked[at : at + 256], stored)]]
             l, r = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
             if one is two or a[start[k]] == b[start[k]]:
                 u, v = forest(one, l, r)
@@ -244,21 +253,5 @@ def fingerprint_hex(fp: Column) -> Column:
 
 
 def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, one of each group: the one with the smallest id (NULL ids last).
-
-    Of fully repeated rows (same id, same text) one stays.
-    """
-    groups = settle(near_dup_groups(docs, id_col, text_col), "simhash-groups")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
-    best = groups.groupBy("root").agg(first.alias("best"), F.count("*").alias("n"))
-    keep = best.select(F.col("best.doc_id").alias("_id"), F.col("best.th").alias("_th")).distinct()
-    rows = docs.join(keep, F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_th")), "left_semi")
-    # identical rows: only ids that come more than once need a second look
-    again = groups.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    again = settle(again, "simhash-again")
-    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_th"))
-    if again.isEmpty():
-        return rows
-    single = rows.join(again, same, "left_anti")
-    repeated = rows.join(again, same, "left_semi").dropDuplicates([id_col, text_col])
-    return single.unionByName(repeated)
+    """The rows of ``docs``, one of each group (see ``common.keep_one``)."""
+    return keep_one(docs, near_dup_groups(docs, id_col, text_col).select("doc_id", "th", "root"), id_col, text_col)

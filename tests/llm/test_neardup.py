@@ -82,12 +82,15 @@ def test_drop_keeps_one_row_of_each_group(spark):
 
 
 @pytest.mark.parametrize("n", [1, 5, 64, 300])
-def test_bit_sliced_pairs(n):
+@pytest.mark.parametrize("words,radius,most", [(1, 3, 7), (2, 32, 60), (1, 5, 9)])
+def test_bit_sliced_pairs(n, words, radius, most):
     rng = np.random.default_rng(n)
-    base = rng.integers(0, 2**63, n, dtype=np.uint64)
-    flip = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 7), replace=False)) for _ in range(n)], dtype=np.uint64)
-    stored = np.concatenate([base, base ^ flip]).view(np.int64)
-    left, right = neardup.close_pairs(stored, stored)
-    u = stored.view(np.uint64)
-    want = {(i, j) for i in range(len(u)) for j in range(len(u)) if int(u[i] ^ u[j]).bit_count() <= 3}
-    assert set(zip(left.tolist(), right.tolist(), strict=True)) == want
+    base = rng.integers(0, 2**63, (n, words), dtype=np.uint64)
+    near = base.copy()
+    for row in near:
+        for bit in rng.choice(64 * words, rng.integers(0, most), replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    stored = np.concatenate([base, near])
+    left, right = neardup.close_pairs(stored, stored, radius)
+    far = np.bitwise_count(stored[:, None, :] ^ stored[None, :, :]).sum(axis=2)
+    assert set(zip(left.tolist(), right.tolist(), strict=True)) == set(zip(*[x.tolist() for x in np.nonzero(far <= radius)], strict=True))
