@@ -32,7 +32,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     global _own_scratch
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        # only tests and local runs have no shared folder
+        # a folder of this machine will do only where all tasks run on it
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if _own_scratch is None:
             _own_scratch = tempfile.mkdtemp(prefix="tallyforge-")
         root = _own_scratch
@@ -40,13 +42,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame, scan: DataFrame) -> DataFrame:
-    """Rows of ``df`` over all cores when its ``scan`` has fewer splits than there are cores.
+    """Rows of ``df`` over all cores when its ``scan`` has fewer files than there are cores.
 
-    For heavy per-row work on a few unsplittable files; with enough splits ``df`` is returned
-    as it is, without a shuffle.
+    For heavy per-row work on a few unsplittable files; with enough files ``df`` is returned as it is,
+    without a shuffle. Only the file list is looked at; no job runs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if scan.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(scan.inputFiles()) < cores else df
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -1,134 +1,171 @@
-"""Score tables: a naive-Bayes text scorer as joins and sums, model hooks, prediction columns.
+"""Score tables: a naive-Bayes text scorer, model hooks, prediction columns.
 
 A score table has one row per (model, item) with ``scores``, an array<double> in label order.
-Everything that looks at one item is then row-local; only aggregates over items shuffle.
+Everything that looks at one item is row-local, scoring included; only aggregates over items shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyforge.functions.bounds import Classes, attach_row, settle, small
+from tallyforge.functions.bounds import Classes, attach_row, small
 from tallyforge.functions.vectors import first_max, let, ordered, rank_of, with_softmax
 
 # Log-probabilities are kept as whole millionths, so sums are exact in any order.
 SCALE = 1_000_000
-MAX_LENGTH = 12
-MAX_VOWELS = 9
 # Fixed value: letters counted as vowels.
 VOWELS = "aeiouyàâäáæèéêëíìîïóòôöœúùûü"
 
 
 def words_of(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """One row per word of the whole text (lower case); an item without words keeps one NULL row."""
-    return df.select(*keep, F.explode_outer(F.expr(rf"regexp_extract_all(lower(`{text}`), '\\p{{L}}+', 0)")).alias("w"))
+    """``keep`` and ``words``: all words of the whole text in lower case (a missing text has none)."""
+    found = F.expr(rf"regexp_extract_all(lower(`{text}`), '\\p{{L}}+', 0)")
+    return df.select(*keep, F.coalesce(found, F.array().cast("array<string>")).alias("words"))
 
 
 # Feature models: what a word tells the scorer, as a number.
 FEATURES: dict[str, Callable[[Column], Column]] = {
-    "lengths": lambda w: F.least(F.length(w), F.lit(MAX_LENGTH)),
+    "lengths": lambda w: F.length(w),
     "finals": lambda w: F.ascii(F.substring(w, -1, 1)),
-    "vowels": lambda w: F.least(F.length(w) - F.length(F.translate(w, VOWELS, "")), F.lit(MAX_VOWELS)),
+    "vowels": lambda w: F.length(w) - F.length(F.translate(w, VOWELS, "")),
 }
-# How many tokens' worth of evidence a model may use (longer texts are averaged down to it).
-EVIDENCE = {"lengths": 16.0, "finals": 2.0, "vowels": 16.0}
 TOKEN = "tok_"
 
 
-def tokens_of(words: DataFrame, word: str = "w", models: Sequence[str] = tuple(FEATURES)) -> DataFrame:
-    """One row per word with one token column per model (NULL for a missing word)."""
-    # least() skips NULL, so a missing word is kept NULL explicitly
-    token = lambda m: F.when(F.col(word).isNotNull(), FEATURES[m](F.col(word)).cast("bigint"))
-    return words.select("*", *[token(m).alias(TOKEN + m) for m in models]).drop(word)
+def tokens_of(words: DataFrame, models: Sequence[str] = tuple(FEATURES)) -> DataFrame:
+    """``words`` replaced by one array of tokens per model (a word that is NULL gives none)."""
+
+    def array(m: str) -> Column:
+        return F.transform(F.filter("words", lambda w: w.isNotNull()), lambda w: FEATURES[m](w).cast("bigint"))
+
+    return words.select("*", *[array(m).alias(TOKEN + m) for m in models]).drop("words")
 
 
 def _models_in(tokens: DataFrame) -> list[str]:
     return [c[len(TOKEN):] for c in tokens.columns if c.startswith(TOKEN)]
 
 
-def _class_sums(label: str, n: int, value: Column, keep: Column | None = None) -> Column:
-    hit = lambda i: (F.col(label) == i) if keep is None else ((F.col(label) == i) & keep)
-    return F.array(*[F.coalesce(F.sum(F.when(hit(i), value)), F.lit(0)).cast("bigint") for i in range(n)])
+@dataclass(frozen=True)
+class NaiveBayes:
+    """Fitted models: (model, fold) -> sorted tokens and their log-probabilities (tokens x classes) in millionths.
+
+    ``prior`` has the class log-priors by fold. Without folds the fold is 0. A model has one row per
+    distinct token (word lengths, letters, vowel counts), small enough to be held by every task.
+    """
+
+    tables: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]
+    prior: dict[int, np.ndarray]
+
+
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of a list column and the number of each row's."""
+    n = np.diff(column.offsets.to_numpy())
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), n.astype(np.int64)
+
+
+def _count_tokens(n_models: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            label, fold = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for m in range(n_models):
+                token, n = _values(b.column(2 + m))
+                rows = np.stack([np.repeat(label, n), np.repeat(fold, n), token])
+                keys, count = np.unique(rows, axis=1, return_counts=True)
+                cols = [np.full(len(count), m), *keys, count]
+                yield pa.record_batch([pa.array(c.astype(np.int64)) for c in cols], names=["m", "label", "fold", "token", "n"])
 
+    return run
 
-def nb_fit(tokens: DataFrame, n_classes: int, folds: int = 0) -> DataFrame:
-    """Laplace-smoothed log-probabilities (model, token, lps) from token columns and label[, fold].
 
-    Words are counted once per combination of their tokens (few fixed-width keys, collapsed
-    before the shuffle); the counts of each model come from those. With ``folds`` = k all k
-    out-of-fold models come from the same pass (counts outside the fold) and rows carry
-    ``fold``. Settled, so the size check for broadcasting sees real bytes.
+def _log_share(n: np.ndarray) -> np.ndarray:
+    return np.round(np.log(np.maximum(n, 1) / max(n.sum(), 1)) * SCALE).astype(np.int64)
+
+
+def nb_fit(tokens: DataFrame, n_classes: int, folds: int = 0) -> NaiveBayes:
+    """Laplace-smoothed log-probabilities from token arrays and label[, fold]: an explicit step that runs two jobs.
+
+    Each task counts its rows' tokens before the shuffle. With ``folds`` = k all k out-of-fold models
+    (counts outside the fold) come from the same pass.
     """
     models = _models_in(tokens)
-    extra = ["fold"] if folds else []
-    joint = tokens.groupBy(*[TOKEN + m for m in models], "label", *extra).agg(F.count("*").alias("n"))
-    pairs = F.array(*[F.struct(F.lit(m).alias("model"), F.col(TOKEN + m).alias("token")) for m in models])
-    counts = joint.select("label", *extra, "n", F.inline(pairs)).where("token is not null")
-    one = F.col("n")
-    if folds:
-        parts = F.array(
-            *[F.struct(F.lit(f).alias("fold"), _class_sums("label", n_classes, one, F.col("fold") != f).alias("n")) for f in range(folds)]
-        )
-        wide = counts.groupBy("model", "token").agg(parts.alias("parts")).select("model", "token", F.inline("parts"))
-        wide = wide.where(F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x) > 0)
-    else:
-        wide = counts.groupBy("model", "token").agg(_class_sums("label", n_classes, one).alias("n"))
-    keys = ["model", *extra]
-    totals = wide.groupBy(*keys).agg(
-        F.count("*").alias("v"), F.array(*[F.sum(F.get("n", F.lit(i))) for i in range(n_classes)]).alias("t")
-    )
-    lps = F.transform(
-        "n", lambda x, i: F.round(F.log((x + 1).cast("double") / (F.get("t", i) + F.col("v"))) * SCALE).cast("bigint")
-    )
-    return settle(wide.join(totals, keys).select(*keys, "token", lps.alias("lps")), "nb-model")
-
-
-def nb_prior(items: DataFrame, n_classes: int, folds: int = 0) -> DataFrame:
-    """Class log-priors in millionths: one row, or one per fold (items outside the fold)."""
-    one = F.lit(1)
-    if folds:
-        parts = F.array(*[F.struct(F.lit(f).alias("fold"), _class_sums("label", n_classes, one, F.col("fold") != f).alias("n")) for f in range(folds)])
-        wide = items.agg(parts.alias("parts")).select(F.inline("parts"))
-    else:
-        wide = items.agg(_class_sums("label", n_classes, one).alias("n"))
-    total = lambda n: F.aggregate(n, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    log_share = lambda x, t: F.round(F.log(F.greatest(x, F.lit(1)).cast("double") / t) * SCALE).cast("bigint")
-    lps = let(F.col("n"), lambda n: let(total(n), lambda t: F.transform(n, lambda x: log_share(x, t))))
-    return wide.select(*(["fold"] if folds else []), lps.alias("prior"))
-
-
-def nb_score(
-    tokens: DataFrame,
-    model: DataFrame,
-    prior: DataFrame,
-    keys: Sequence[str],
-    n_classes: int,
-    evidence: Mapping[str, float] = EVIDENCE,
-    folds: int = 0,
-) -> DataFrame:
-    """Score vectors per (keys, model), with ``known`` = tokens the model knew. Words meet the
-    models map-side and are summed before the one shuffle: one row of class sums per item."""
+    fold = F.col("fold").cast("bigint") if folds else F.lit(0).cast("bigint")
+    d = tokens.where("label is not null").select(F.col("label").cast("bigint").alias("label"), fold.alias("fold"), *[TOKEN + m for m in models])
+    counts = d.mapInArrow(_count_tokens(len(models)), "m bigint, label bigint, fold bigint, token bigint, n bigint")
+    rows = np.array(counts.groupBy("m", "label", "fold", "token").agg(F.sum("n").alias("n")).collect(), dtype=np.int64).reshape(-1, 5)
+    tables = {}
+    for i, m in enumerate(models):
+        own = rows[rows[:, 0] == i]
+        for f in range(max(folds, 1)):
+            part = own[own[:, 2] != f] if folds else own
+            names, place = np.unique(part[:, 3], return_inverse=True)
+            n = np.zeros((len(names), n_classes), np.int64)
+            np.add.at(n, (place, part[:, 1]), part[:, 4])
+            tables[m, f] = names, np.round(np.log((n + 1) / (n.sum(axis=0) + len(names))) * SCALE).astype(np.int64)
+    return NaiveBayes(tables, nb_prior(d, n_classes, folds))
+
+
+def nb_prior(items: DataFrame, n_classes: int, folds: int = 0) -> dict[int, np.ndarray]:
+    """Class log-priors in millionths by fold (items outside the fold; fold 0 without folds)."""
+    fold = F.col("fold").cast("bigint") if folds else F.lit(0).cast("bigint")
+    rows = items.where("label is not null").groupBy("label", fold.alias("fold")).agg(F.count("*").alias("n")).collect()
+    n = np.zeros((max(folds, 1), n_classes), np.int64)
+    for r in rows:
+        n[r.fold, r.label] += r.n
+    return {f: _log_share(n.sum(axis=0) - n[f]) if folds else _log_share(n[0]) for f in range(len(n))}
+
+
+def _score_batches(model: NaiveBayes, models: Sequence[str], with_fold: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fold = b.column(1).to_numpy().astype(np.int64)
+            folds = np.unique(fold)
+            for k, m in enumerate(models):
+                token, n = _values(b.column(2 + k))
+                ends = np.cumsum(n)
+                of_token = np.repeat(fold, n)
+                width = len(next(iter(model.prior.values())))
+                value = np.zeros((len(token) + 1, width), np.int64)
+                seen = np.zeros(len(token) + 1, np.int64)
+                for f in folds:
+                    names, lps = model.tables[m, int(f)]
+                    at = np.flatnonzero(of_token == f)
+                    place = np.searchsorted(names, token[at])
+                    known = place < len(names)
+                    known[known] = names[place[known]] == token[at[known]]
+                    value[at[known] + 1] = lps[place[known]]
+                    seen[at[known] + 1] = 1
+                value, seen = np.cumsum(value, axis=0), np.cumsum(seen)
+                prior = np.stack([model.prior[int(f)] for f in fold]) if len(fold) else np.zeros((0, width), np.int64)
+                score = (prior.astype(float) + (value[ends] - value[ends - n]).astype(float)) / SCALE
+                scores = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * width), pa.array(score.ravel()))
+                name = pa.array([m] * len(n), pa.string())
+                cols = [b.column(0), name, *([b.column(1)] if with_fold else []), scores, pa.array(seen[ends] - seen[ends - n])]
+                yield pa.record_batch(cols, names=["_row", "model", *(["fold"] if with_fold else []), "scores", "known"])
+
+    return run
+
+
+def nb_score(tokens: DataFrame, model: NaiveBayes, keys: Sequence[str], folds: int = 0) -> DataFrame:
+    """(keys, model[, fold], scores, known) per row and model; ``known`` = tokens the model knew. No shuffle.
+
+    All words of a text count alike: a score is the prior plus the sum over all its tokens.
+    """
     models = _models_in(tokens)
-    extra = ["fold"] if folds else []
-    d = tokens
-    for m in models:
-        side = model.where(F.col("model") == m).select(F.col("token").alias(TOKEN + m), *extra, F.col("lps").alias(f"lps_{m}"))
-        d = d.join(side, [TOKEN + m, *extra], "left")
-    sums = lambda m: F.array(*[F.coalesce(F.sum(F.get(f"lps_{m}", F.lit(i))), F.lit(0)) for i in range(n_classes)])
-    by = [*keys, *extra]
-    per = d.groupBy(*by).agg(*[sums(m).alias(f"s_{m}") for m in models], *[F.count(f"lps_{m}").alias(f"k_{m}") for m in models])
-    rows = F.array(
-        *[F.struct(F.lit(m).alias("model"), F.col(f"s_{m}").alias("s"), F.col(f"k_{m}").alias("known"), F.lit(float(evidence[m])).alias("cap")) for m in models]
-    )
-    per = per.select(*by, F.inline(rows))
-    per = per.join(small(prior, folds), "fold") if folds else attach_row(per, prior)
-    factor = F.when(F.col("known") > F.col("cap"), F.col("cap") / F.col("known")).otherwise(1.0)
-    cell = lambda x, i, f: (F.get("prior", i).cast("double") + x.cast("double") * f) / float(SCALE)
-    score = let(factor, lambda f: F.transform("s", lambda x, i: cell(x, i, f)))
-    return per.select(*keys, "model", *extra, score.alias("scores"), "known")
+    fold = F.col("fold").cast("bigint") if folds else F.lit(0).cast("bigint")
+    packed = tokens.select(F.struct(*keys).alias("_row"), fold.alias("_fold"), *[TOKEN + m for m in models])
+    fields = [T.StructField("_row", packed.schema["_row"].dataType), T.StructField("model", T.StringType())]
+    fields += [T.StructField("fold", T.LongType())] if folds else []
+    fields += [T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("known", T.LongType())]
+    done = packed.mapInArrow(_score_batches(model, models, bool(folds)), T.StructType(fields))
+    extra = [F.col("fold").cast(tokens.schema["fold"].dataType).alias("fold")] if folds else []
+    return done.select(*[F.col("_row")[k].alias(k) for k in keys], "model", *extra, "scores", "known")
 
 
 def batch_score(df: DataFrame, make_fn: Callable[[], Callable], schema: str) -> DataFrame:

@@ -29,15 +29,13 @@ GRID: dict[str, tuple[float, ...]] = {
 }
 
 
-def perturbed(words: DataFrame, word: str = "w", grid: Mapping[str, Sequence[float]] = GRID, registry: Mapping = PERTURBATIONS) -> DataFrame:
-    """Every word under every (condition, severity): one pass for the whole grid."""
-    cells = [
-        F.struct(F.lit(c).alias("condition"), F.lit(float(s)).alias("severity"), registry[c](F.col(word), F.col("_u"), s).alias("_w"))
-        for c, sevs in grid.items()
-        for s in sevs
-    ]
-    hashed = words.withColumn("_u", uniform(hash_hex("drop", word)))
-    return hashed.select("*", F.inline(F.array(*cells))).withColumn(word, F.col("_w")).drop("_w", "_u")
+def perturbed(words: DataFrame, grid: Mapping[str, Sequence[float]] = GRID, registry: Mapping = PERTURBATIONS) -> DataFrame:
+    """Every item under every (condition, severity), its ``words`` perturbed in place: one row per item and cell."""
+    hashed = F.transform("words", lambda w: F.struct(w.alias("w"), uniform(hash_hex("drop", w)).alias("u")))
+    d = words.withColumn("_hashed", hashed)
+    changed = lambda c, s: F.transform("_hashed", lambda x: registry[c](x["w"], x["u"], s))
+    cells = [F.struct(F.lit(c).alias("condition"), F.lit(float(s)).alias("severity"), changed(c, s).alias("_words")) for c, sevs in grid.items() for s in sevs]
+    return d.select("*", F.inline(F.array(*cells))).withColumn("words", F.col("_words")).drop("_words", "_hashed")
 
 
 def sweep_table(pred: DataFrame, by: Sequence[str] = ("model", "condition", "severity")) -> DataFrame:

@@ -48,25 +48,18 @@ def train_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _once(spark, sf, "train_counts", make)
 
 
-def model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The fitted scorer: token table and prior."""
+def model(spark: SparkSession, sf: str) -> score.NaiveBayes:
+    """The fitted scorer."""
 
     def make():
-        n = dim(spark, sf).rows
         train = spread(labelled(spark, sf).where("split = 'train'").select("label", "text"), C.documents(spark, sf))
-        fitted = score.nb_fit(score.tokens_of(score.words_of(train, "text", "label")), n)
-        counts = train_counts(spark, sf)
-        prior = score.prior_vector(
-            counts.select("label", F.round(F.log(F.greatest("n", F.lit(1)).cast("double") / F.lit(counts.agg(F.sum("n")).first()[0])) * score.SCALE).cast("bigint").alias("log_prior"))
-        ).withColumnRenamed("log_priors", "prior")
-        return fitted, prior
+        return score.nb_fit(score.tokens_of(score.words_of(train, "text", "label")), dim(spark, sf).rows)
 
     return _once(spark, sf, "model", make)
 
 
 def _score_items(spark, sf, words, keys):
-    fitted, prior = model(spark, sf)
-    return score.nb_score(score.tokens_of(words), fitted, prior, keys, dim(spark, sf).rows)
+    return score.nb_score(score.tokens_of(words), model(spark, sf), keys)
 
 
 ITEM = ["item_id", "y", "source", "n_chars"]
@@ -100,8 +93,7 @@ def oof_scores(spark: SparkSession, sf: str) -> DataFrame:
         docs = _items(join_class_dim(docs, "lang", d), "fold")
         tokens = score.tokens_of(score.words_of(spread(docs, C.documents(spark, sf)), "text", *ITEM, "fold"))
         fitted = score.nb_fit(tokens.withColumnRenamed("y", "label"), d.rows, FOLDS)
-        prior = score.nb_prior(docs.withColumnRenamed("y", "label"), d.rows, FOLDS)
-        return settle(score.nb_score(tokens, fitted, prior, ITEM, d.rows, folds=FOLDS), "oof")
+        return settle(score.nb_score(tokens, fitted, ITEM, folds=FOLDS), "oof")
 
     return _once(spark, sf, "oof", make)
 
@@ -150,15 +142,15 @@ def views_pred(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # the same tables for the oracles
 # ---------------------------------------------------------------------------
-MODELS_SQL = "(VALUES ('lengths', 16.0::DOUBLE), ('finals', 2.0::DOUBLE), ('vowels', 16.0::DOUBLE)) mm(model, ev)"
+MODELS_SQL = "(VALUES ('lengths'), ('finals'), ('vowels')) mm(model)"
 DIM = "dim AS (SELECT lang AS class, row_number() OVER (ORDER BY lang) - 1 AS label FROM (SELECT DISTINCT lang FROM documents))"
 
 
 def tokens_sql(src: str, keys: str, word: str = "w") -> str:
     return f"""SELECT {keys}, model, token, count(*) AS k FROM (
-      SELECT {keys}, 'lengths' AS model, least(length({word}), 12)::VARCHAR AS token FROM {src} WHERE {word} IS NOT NULL
+      SELECT {keys}, 'lengths' AS model, length({word})::VARCHAR AS token FROM {src} WHERE {word} IS NOT NULL
       UNION ALL SELECT {keys}, 'finals', right({word}, 1) FROM {src} WHERE {word} IS NOT NULL
-      UNION ALL SELECT {keys}, 'vowels', least(length(regexp_replace({word}, '[^aeiouyàâäáæèéêëíìîïóòôöœúùûü]', '', 'g')), 9)::VARCHAR FROM {src} WHERE {word} IS NOT NULL)
+      UNION ALL SELECT {keys}, 'vowels', length(regexp_replace({word}, '[^aeiouyàâäáæèéêëíìîïóòôöœúùûü]', '', 'g'))::VARCHAR FROM {src} WHERE {word} IS NOT NULL)
     GROUP BY ALL"""
 
 
@@ -187,7 +179,7 @@ def vectors_sql(items: str, toks: str, keys: str, out: str, nb_on: str = "USING
     on = " AND ".join(f"i.{k.strip()} = s.{k.strip()}" for k in keys.split(","))
     qualified = ", ".join(f"t.{k.strip()}" for k in keys.split(","))
     return f"""{out} AS MATERIALIZED (
-  SELECT i.*, pri.class, pri.label, (pri.lp::DOUBLE + coalesce(s.s, 0)::DOUBLE * CASE WHEN coalesce(s.n, 0) > ev THEN ev / s.n::DOUBLE ELSE 1.0::DOUBLE END) / 1000000::DOUBLE AS score, coalesce(s.n, 0) AS known
+  SELECT i.*, pri.class, pri.label, (pri.lp::DOUBLE + coalesce(s.s, 0)::DOUBLE) / 1000000::DOUBLE AS score, coalesce(s.n, 0) AS known
   FROM (SELECT * FROM {items} CROSS JOIN {MODELS_SQL}) i JOIN {pri} pri ON {pri_on}
   LEFT JOIN (SELECT {qualified}, model, label, sum(k * lp)::BIGINT AS s, sum(k)::BIGINT AS n FROM {toks} t JOIN {nb} {nb_on} GROUP BY ALL) s
     ON {on} AND i.model = s.model AND pri.label = s.label)"""

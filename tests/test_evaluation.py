@@ -82,29 +82,29 @@ def test_auroc_with_ties_against_brute_force(spark):
 
 def test_scorer_against_plain_python(spark):
     train = [("a", "bb ccc"), ("a", "b ccc"), ("b", "dddd eeee f")]
-    test = [(1, "b zzzz"), (2, "12 !"), (3, "ddd ccc dddd")]
+    test = [(1, "b zzzz"), (2, "12 !"), (3, "ddd ccc dddd"), (4, "bb ccc " * 500), (5, None)]
     t = spark.createDataFrame([(0 if c == "a" else 1, x) for c, x in train], "label int, text string")
     v = spark.createDataFrame(test, "item_id int, text string")
     words = score.words_of(t, "text", "label")
     m = score.nb_fit(score.tokens_of(words, models=["lengths"]), 2)
-    q = score.nb_score(score.tokens_of(score.words_of(v, "text", "item_id"), models=["lengths"]), m, score.nb_prior(t, 2), ["item_id"], 2, {"lengths": 2.0})
+    q = score.nb_score(score.tokens_of(score.words_of(v, "text", "item_id"), models=["lengths"]), m, ["item_id"])
+    assert not any(x in q._jdf.queryExecution().toString() for x in ("Exchange", "Generate", "Join"))
     n = {c: Counter(len(w) for k, x in train if k == c for w in x.split()) for c in "ab"}
     vocab = set(n["a"]) | set(n["b"])
     milli = lambda x: round(math.log(x) * 1e6)
     got = {r.item_id: (r.scores, r.known) for r in q.collect()}
     for i, text in test:
-        toks = [len(w) for w in text.split() if w.isalpha() and len(w) in vocab]
-        f = min(1.0, 2 / len(toks)) if toks else 1.0
+        toks = [len(w) for w in (text or "").split() if w.isalpha() and len(w) in vocab]
         for j, c in enumerate("ab"):
             lp = sum(milli((n[c][k] + 1) / (sum(n[c].values()) + len(vocab))) for k in toks)
-            assert got[i][0][j] == pytest.approx((milli((2, 1)[j] / 3) + lp * f) / 1e6, abs=1e-9)
+            assert got[i][0][j] == pytest.approx((milli((2, 1)[j] / 3) + lp) / 1e6, abs=1e-9)
         assert got[i][1] == len(toks)
 
 
 def test_out_of_fold_models_do_not_see_their_fold(spark):
     d = spark.createDataFrame([(0, 0, "aa"), (1, 0, "bbb"), (0, 1, "aa"), (1, 1, "bbb"), (1, 2, "zzzzzz")], "label int, fold int, text string")
-    m = score.nb_fit(score.tokens_of(score.words_of(d, "text", "label", "fold"), models=["lengths"]), 2, 3).collect()
-    assert {(r.fold, r.token) for r in m} == {(0, 2), (0, 3), (0, 6), (1, 2), (1, 3), (1, 6), (2, 2), (2, 3)}
+    m = score.nb_fit(score.tokens_of(score.words_of(d, "text", "label", "fold"), models=["lengths"]), 2, 3)
+    assert {(f, int(t)) for (_, f), (names, _) in m.tables.items() for t in names} == {(0, 2), (0, 3), (0, 6), (1, 2), (1, 3), (1, 6), (2, 2), (2, 3)}
 
 
 def test_members_must_agree_on_the_label(spark):
