@@ -101,9 +101,10 @@ def tau_best(sweep: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def slice_metrics(pred: DataFrame, keys: Sequence[str], slice_col: str) -> DataFrame:
-    """n, classes, top-1, balanced accuracy and worst class recall, overall ('all') and per slice."""
-    sliced = pred.withColumn("slice", F.explode(F.array(F.lit("all"), F.col(slice_col))))
-    by = [*keys, "slice"]
+    """n, classes, top-1, balanced accuracy and worst class recall, per slice and overall (is_total, slice 'all')."""
+    both = F.array(F.struct(F.lit(True).alias("is_total"), F.lit("all").alias("slice")), F.struct(F.lit(False).alias("is_total"), F.col(slice_col).cast("string").alias("slice")))
+    sliced = pred.select("*", F.inline(both))
+    by = [*keys, "is_total", "slice"]
     return class_metrics(confusion(sliced, by), by).groupBy(*by).agg(
         F.sum("n_true").alias("n"),
         F.count_if(F.col("n_true") > 0).alias("n_classes"),

@@ -47,8 +47,16 @@ def change_list(diff: DataFrame) -> DataFrame:
 
 
 def overlay_changes(df: DataFrame, changes: DataFrame, key: str, cls: str, classes: Classes) -> DataFrame:
-    """Drops removed, moved rows with their new class and label; the input is not touched."""
-    side = changes.select(F.col("key").alias(key), F.col("new_class").alias("_new"), F.col("action").alias("_action"))
+    """Drops removed, moved rows with their new class and label; the input is not touched.
+
+    A key may be listed again with the same change; different changes of one key fail the job, so
+    the list can never multiply rows.
+    """
+    one = F.struct(F.col("new_class").alias("_new"), F.col("action").alias("_action"))
+    per = changes.groupBy(F.col("key").alias(key)).agg(F.min(one).alias("_c"), F.max(one).alias("_last"))
+    clash = F.raise_error(F.concat(F.lit("several changes of "), F.col(key).cast("string"))).cast("string")
+    action = F.when(F.col("_c").eqNullSafe(F.col("_last")), F.col("_c._action")).otherwise(clash)
+    side = per.select(key, F.col("_c._new").alias("_new"), action.alias("_action"))
     out = df.join(side, key, "left").where(F.coalesce("_action", F.lit("")) != "drop")
     out = out.withColumn(cls, F.coalesce(F.when(F.col("_action") == "move", F.col("_new")), cls))
     out = out.drop("_new", "_action", "label")
@@ -73,10 +81,12 @@ def plan_fixes(
     drop: Sequence[str] = (),
     min_conf: float = 0.70,
 ) -> DataFrame:
-    """Actions (key, action, from_class, to_class) on noise candidates; the first action wins.
+    """Actions (key, action, from_class, to_class) on noise candidates, one per key: the first one.
 
-    Order: reviewed rows (key, verdict), relabel pairs, drop pairs. A reviewed key that is no
-    candidate, or a pair without candidates, fails the job.
+    Order: reviewed rows (key, verdict[, pos: their order]), relabel pairs, drop pairs, each in the
+    order given; among candidates of one rank the surest. Of several verdicts without ``pos`` the least
+    in the alphabet counts. A reviewed key that is no candidate, or a pair without candidates, fails
+    the job.
     """
     spark = candidates.sparkSession
     names = set(classes.require_names())
@@ -84,25 +94,23 @@ def plan_fixes(
     for a, b, _, _ in rows:
         if a not in names or b not in names:
             raise ValueError(f"{a}>{b} names a class outside the universe")
-    cand = candidates.where(F.col("p_pred") >= min_conf).select("key", "y_class", "pred_class")
+    cand = candidates.where(F.col("p_pred") >= min_conf).select("key", "y_class", "pred_class", "p_pred")
     listed = spark.createDataFrame(rows, "y_class string, pred_class string, action string, priority int")
-    pairs = listed.groupBy("y_class", "pred_class").agg(F.min_by("action", "priority").alias("pair_action"))
+    pairs = listed.groupBy("y_class", "pred_class").agg(F.min_by("action", "priority").alias("pair_action"), F.min("priority").alias("rank"))
     picked = cand.join(small(pairs, len(rows)), ["y_class", "pred_class"], "left")
     unmet = listed.join(cand.select("y_class", "pred_class").distinct(), ["y_class", "pred_class"], "left_anti")
     stop = unmet.select(F.concat_ws(">", "y_class", "pred_class").alias("what"))
     if reviewed is not None:
         verdict = F.lower(F.trim("verdict"))
-        rev = reviewed.where(verdict.isin("relabel", "drop")).groupBy("key").agg(F.min(verdict).alias("verdict"))
+        place = F.struct(F.col("pos") if "pos" in reviewed.columns else F.lit(0), verdict)
+        rev = reviewed.where(verdict.isin("relabel", "drop")).groupBy("key").agg(F.min_by(verdict, place).alias("verdict"))
         picked = picked.join(rev, "key", "left")
         stop = stop.unionByName(rev.join(cand, "key", "left_anti").select(F.col("key").cast("string").alias("what")))
     else:
         picked = picked.withColumn("verdict", F.lit(None).cast("string"))
-    actions = picked.select(
-        "key",
-        F.coalesce("verdict", "pair_action").alias("action"),
-        F.col("y_class").alias("from_class"),
-        F.col("pred_class").alias("to_class"),
-    ).where("action is not null")
+    act = F.struct(F.coalesce("verdict", "pair_action").alias("action"), F.col("y_class").alias("from_class"), F.col("pred_class").alias("to_class"))
+    order = F.struct(F.coalesce("rank", F.lit(len(rows) + 1)), -F.col("p_pred"), "pred_class", "y_class")
+    actions = picked.where("coalesce(verdict, pair_action) is not null").groupBy("key").agg(F.min_by(act, order).alias("a")).select("key", "a.*")
     failed = stop.select(F.raise_error(F.concat(F.lit("no candidate for "), F.col("what"))).cast("string").alias("action"))
     key_type = candidates.schema["key"].dataType
     failed = failed.select(

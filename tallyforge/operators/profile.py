@@ -118,12 +118,16 @@ def grouped_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 def coverage_matrix(
     df: DataFrame, entity: str, cls: str, ok: Column, classes: Classes, max_missing: int = 6
 ) -> DataFrame:
-    """Per entity: classes it covers, classes present but bad, classes missing, and a flag."""
+    """Per entity: classes it covers, classes present but bad, classes missing, and a flag.
+
+    An entity without any class of the universe covers none of them and misses all.
+    """
     per_cell = df.groupBy(entity, cls).agg(F.max(ok.cast("int")).alias("ok"))
-    known = per_cell.join(classes.side.select(F.col("class").alias(cls)), cls, "left_semi")
+    listed = classes.side.select(F.col("class").alias(cls), F.lit(True).alias("_known"))
+    known = per_cell.join(listed, cls, "left").withColumn("ok", F.when(F.col("_known"), F.coalesce("ok", F.lit(0))))
     total = classes.side.agg(F.count("*").alias("n_classes"))
     per = known.groupBy(F.col(entity).alias("entity")).agg(
-        F.sum("ok").alias("n_ok"), F.count_if(F.col("ok") == 0).alias("n_blank")
+        F.coalesce(F.sum("ok"), F.lit(0)).alias("n_ok"), F.count_if(F.col("ok") == 0).alias("n_blank")
     )
     per = attach_row(per, total)
     n_bad = F.col("n_classes") - F.col("n_ok")
@@ -200,21 +204,25 @@ def leakage_report(train: DataFrame, val: DataFrame, kind: str, grp: list[str])
 
 
 def audit_overlap(a: DataFrame, b: DataFrame, on: str, cls: str) -> DataFrame:
-    """How much of b is in a by ``on``: shared, new, relabelled; and what a lost."""
-    sides = a.select(on, F.col(cls).alias("ca"), F.lit(None).cast("string").alias("cb")).unionByName(
-        b.select(on, F.lit(None).cast("string").alias("ca"), F.col(cls).alias("cb"))
-    )
-    per = sides.groupBy(on).agg(
-        F.count("ca").alias("na"), F.count("cb").alias("nb"), F.min("ca").alias("ca"), F.min("cb").alias("cb")
-    )
-    zero = F.lit(0)
+    """How much of b is in a by ``on``: shared, new, relabelled (a row of b whose class no row of a with
+    that content has); and what a lost. Rows without content are counted apart, as null_a and null_b.
+    """
+    one, none = F.lit(1), F.lit(0)
+    sides = a.select(on, F.col(cls).alias("c"), one.alias("na"), none.alias("nb")).unionByName(b.select(on, F.col(cls).alias("c"), none.alias("na"), one.alias("nb")))
+    cells = sides.groupBy(on, "c").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    other = F.sum(F.when(F.col("na") == 0, F.col("nb")).otherwise(none)).alias("other")
+    per = cells.groupBy(on).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), other)
+    known = F.col(on).isNotNull()
+    total = lambda cond, n: F.coalesce(F.sum(F.when(cond, F.col(n))), F.lit(0).cast("bigint"))
     return per.agg(
-        F.sum("na").alias("n_a"),
-        F.sum("nb").alias("n_b"),
-        F.sum(F.when(F.col("na") > 0, F.col("nb")).otherwise(zero)).alias("n_shared"),
-        F.sum(F.when(F.col("na") == 0, F.col("nb")).otherwise(zero)).alias("n_new"),
-        F.sum(F.when(F.col("ca") != F.col("cb"), F.col("nb")).otherwise(zero)).alias("n_moved"),
-        F.sum(F.when(F.col("nb") == 0, F.col("na")).otherwise(zero)).alias("n_dropped"),
+        total(F.lit(True), "na").alias("n_a"),
+        total(F.lit(True), "nb").alias("n_b"),
+        total(known & (F.col("na") > 0), "nb").alias("n_shared"),
+        total(known & (F.col("na") == 0), "nb").alias("n_new"),
+        total(known & (F.col("na") > 0), "other").alias("n_moved"),
+        total(known & (F.col("nb") == 0), "na").alias("n_dropped"),
+        total(~known, "na").alias("null_a"),
+        total(~known, "nb").alias("null_b"),
     )
 
 

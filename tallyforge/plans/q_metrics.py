@@ -325,15 +325,15 @@ def guarded_view_search(spark, sf):
 @query(
     "slice_metrics",
     with_blocks(
-        """SELECT model, slice, sum(n)::BIGINT AS n, count(*) AS n_classes, round(sum(n * rec) / sum(n), 6) AS top1, round(avg(rec), 6) AS balanced_acc, round(min(rec), 6) AS worst_recall FROM c GROUP BY ALL""",
+        """SELECT model, is_total, slice, sum(n)::BIGINT AS n, count(*) AS n_classes, round(sum(n * rec) / sum(n), 6) AS top1, round(avg(rec), 6) AS balanced_acc, round(min(rec), 6) AS worst_recall FROM c GROUP BY ALL""",
         S.PRED,
-        """s AS (SELECT model, 'all' AS slice, y, pred FROM pd UNION ALL SELECT model, source, y, pred FROM pd),
-           c AS (SELECT model, slice, y, count(*) AS n, avg((y = pred)::INT) AS rec FROM s GROUP BY ALL)""",
+        """s AS (SELECT model, true AS is_total, 'all' AS slice, y, pred FROM pd UNION ALL SELECT model, false, source, y, pred FROM pd),
+           c AS (SELECT model, is_total, slice, y, count(*) AS n, avg((y = pred)::INT) AS rec FROM s GROUP BY ALL)""",
     ),
 )
 def slice_metrics(spark, sf):
     d = metrics.slice_metrics(S.pred(spark, sf), ["model"], "source")
-    return d.select("model", "slice", "n", "n_classes", *r6("top1", "balanced_acc", "worst_recall"))
+    return d.select("model", "is_total", "slice", "n", "n_classes", *r6("top1", "balanced_acc", "worst_recall"))
 
 
 @query(

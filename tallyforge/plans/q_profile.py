@@ -249,12 +249,13 @@ def leakage_report(spark, sf):
 @query(
     "audit_overlap",
     with_blocks(
-        """SELECT sum(na)::BIGINT AS n_a, sum(nb)::BIGINT AS n_b, coalesce(sum(nb) FILTER (na > 0), 0)::BIGINT AS n_shared,
-                  coalesce(sum(nb) FILTER (na = 0), 0)::BIGINT AS n_new, coalesce(sum(nb) FILTER (ca <> cb), 0)::BIGINT AS n_moved,
-                  coalesce(sum(na) FILTER (nb = 0), 0)::BIGINT AS n_dropped
-           FROM (SELECT coalesce(a.h, b.h) AS h, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb, ca, cb
-                 FROM (SELECT md5(text) AS h, count(*) AS na, min(lang) AS ca FROM documents GROUP BY 1) a
-                 FULL JOIN (SELECT md5(text) AS h, count(*) AS nb, min(lang) AS cb FROM relabelled GROUP BY 1) b ON a.h = b.h)""",
+        """SELECT coalesce(sum(na), 0)::BIGINT AS n_a, coalesce(sum(nb), 0)::BIGINT AS n_b, coalesce(sum(nb) FILTER (h IS NOT NULL AND na > 0), 0)::BIGINT AS n_shared,
+                  coalesce(sum(nb) FILTER (h IS NOT NULL AND na = 0), 0)::BIGINT AS n_new, coalesce(sum(other) FILTER (h IS NOT NULL AND na > 0), 0)::BIGINT AS n_moved,
+                  coalesce(sum(na) FILTER (h IS NOT NULL AND nb = 0), 0)::BIGINT AS n_dropped,
+                  coalesce(sum(na) FILTER (h IS NULL), 0)::BIGINT AS null_a, coalesce(sum(nb) FILTER (h IS NULL), 0)::BIGINT AS null_b
+           FROM (SELECT h, sum(na) AS na, sum(nb) AS nb, coalesce(sum(nb) FILTER (na = 0), 0) AS other FROM (
+                   SELECT h, lang, sum(a) AS na, sum(b) AS nb FROM (SELECT md5(text) AS h, lang, 1 AS a, 0 AS b FROM documents
+                     UNION ALL SELECT md5(text), lang, 0, 1 FROM relabelled) GROUP BY ALL) GROUP BY h)""",
         C.RELABELLED,
     ),
 )

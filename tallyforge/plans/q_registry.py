@@ -226,19 +226,18 @@ def read_experiments(spark, sf):
 
 @query(
     "scan_manifest",
-    """SELECT lang AS class, count(DISTINCT source) AS n_files, sum(n)::BIGINT AS n_lines FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) WHERE lang IN ('de', 'en', 'fr') GROUP BY lang""",
+    """SELECT lang AS class, lang IN ('de', 'en', 'fr') AS known, true AS listed, sum(strlen(text) + 1)::BIGINT AS n_bytes FROM documents GROUP BY lang""",
 )
 def scan_manifest(spark, sf):
     path = scratch_path(spark, "tree")
-    # one file per (class folder, source): the sources of a class share its folder
-    d = C.documents(spark, sf).select("lang", "source", F.regexp_replace("text", r"[\r\n]", " ").alias("value"))
-    for lang in ("de", "en", "es", "fr"):
-        d.where(F.col("lang") == lang).repartition(32, "source").select("value").write.text(f"{path}/{lang}")
-    kept, skipped = files.scan_files(spark, path, ".txt", Classes.of(spark, ["de", "en", "fr"]))
-    lines = F.size(F.split(F.decode("content", "UTF-8"), "\n")) - 1
-    n = kept.groupBy("class").agg(F.count("*").alias("parts"), F.sum(lines).alias("n_lines"))
-    have = C.documents(spark, sf).groupBy(F.col("lang").alias("class")).agg(F.count_distinct("source").alias("n_files"))
-    return n.join(have, "class").select("class", "n_files", "n_lines")
+    # one write, one folder per class; "es" is no class of the universe
+    d = C.documents(spark, sf).select("lang", F.regexp_replace("text", r"[\r\n]", " ").alias("value"), "source")
+    d.repartition(32, "source").drop("source").write.partitionBy("lang").text(path)
+    kept, skipped = files.scan_files(spark, path, ".txt", Classes.of(spark, ["lang=de", "lang=en", "lang=fr"]))
+    listed = kept.groupBy("class").agg(F.count_distinct("path").alias("n_paths"), F.sum("bytes").alias("n_bytes"))
+    other = skipped.where("reason = 'class'").groupBy("class").agg(F.count_distinct("path").alias("n_paths"), F.sum("bytes").alias("n_bytes"))
+    both = listed.withColumn("known", F.lit(True)).unionByName(other.withColumn("known", F.lit(False)))
+    return both.select(F.regexp_replace("class", "lang=", "").alias("class"), "known", (F.col("n_paths") > 0).alias("listed"), "n_bytes")
 
 
 @query(

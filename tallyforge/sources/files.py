@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import csv
+import io
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +16,7 @@ from tallyforge.functions.bounds import Classes
 # Fields of a run record that carry metrics.
 METRIC_FIELDS = ("top1", "top5", "balanced_acc", "macro_f1", "minority_acc")
 TAU_STRUCT = "struct<top1:double,balanced_acc:double,macro_f1:double,minority_acc:double>"
+# The layout of a run record and of an epoch log.
 CFG_SCHEMA = (
     "struct<model:string,img_size:int,mode:string,channel_mode:string,aug:string,loss:string,sampler:string,mixup:double,"
     "cutmix:double,extra_mode:string,extra_train_index:string,split_kind:string,subset_frac:double,seed:int>"
@@ -38,42 +42,60 @@ EXPERIMENT_DEFAULTS: dict[str, object] = {
 TEXT_FIELDS = ("exp_id", "model", "mode", "channel_mode", "aug", "loss", "sampler", "extra", "split_kind", "device")
 
 
-def scan_files(spark: SparkSession, root: str, extension: str, classes: Classes) -> tuple[DataFrame, DataFrame]:
+def scan_files(spark: SparkSession, root: str, extension: str, classes: Classes, with_hash: bool = False) -> tuple[DataFrame, DataFrame]:
     """(kept, skipped) files below ``root``: the parent folder names the class.
 
-    Kept: a class of the universe, no hidden name, the right extension. Both have path, class,
-    name, bytes; kept also has the content and its md5.
+    Kept: a class of the universe and the right extension; path, class, name, bytes and, ``with_hash``,
+    the md5 of the content (files of 2 GiB and more cannot be hashed this way). Only then contents
+    are read. Skipped has every other file with its ``reason``, class or extension. Hidden files
+    (names that begin with a dot or an underscore) are not listed at all.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     parts = F.split("path", "/")
-    f = files.select(
-        "path", F.element_at(parts, -2).alias("class"), F.element_at(parts, -1).alias("name"), F.col("length").alias("bytes"), "content"
-    ).where(~F.col("name").startswith("."))
-    known = f.join(classes.side.select("class"), "class", "left_semi")
-    fits = F.lower("name").endswith(extension.lower())
-    kept = known.where(fits).withColumn("md5", F.md5("content"))
-    return kept, known.where(~fits).drop("content")
+    columns = [F.md5("content").alias("md5")] if with_hash else []
+    f = files.select("path", F.element_at(parts, -2).alias("class"), F.element_at(parts, -1).alias("name"), F.col("length").alias("bytes"), *columns)
+    known = f.join(classes.side.select("class", F.lit(True).alias("_known")), "class", "left")
+    reason = F.when(F.col("_known").isNull(), "class").when(~F.lower("name").endswith(extension.lower()), "extension")
+    told = known.withColumn("reason", reason).drop("_known")
+    return told.where("reason is null").drop("reason"), told.where("reason is not null").drop("md5")
 
 
-def collect_runs(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False) -> DataFrame:
-    """Run records as one flat table, best balanced accuracy first; unreadable records are left out.
+def collect_runs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Run records as one flat table, best balanced accuracy first; unreadable ones are in ``rejected_runs``."""
+    return flatten_runs(read_runs(spark, path)).orderBy(F.desc("balanced_acc"), "exp_id")
+
+
+def _parsed_runs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(path, text, run) of every record: a file is one record in any layout, or one record per line."""
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(F.regexp_replace(x, "\r", ""))), lambda x: x != "")
+    brace = lambda x, end: x.startswith("{") & x.endswith(end)
+    # a file of records one to a line has them on their lines; a damaged line among them is a record too
+    by_line = (F.size(lines) > 1) & F.exists(lines, lambda x: brace(x, "}"))
+    texts = F.when(by_line, lines).otherwise(F.array("value"))
+    rows = whole.select(F.col("_metadata.file_path").alias("path"), F.explode(texts).alias("text")).where(F.trim("text") != "")
+    parsed = F.from_json("text", RUN_SCHEMA + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return rows.withColumn("run", parsed)
+
+
+_GOOD = "run is not null and run._bad is null and run.exp_id is not null and run.cfg is not null"
 
-    ``multi_line``: one pretty-printed record per file instead of one record per line.
-    """
-    return flatten_runs(read_runs(spark, path, multi_line)).orderBy(F.desc("balanced_acc"), "exp_id")
 
+def read_runs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """The nested run records, pretty-printed or one per line."""
+    return _parsed_runs(spark, path).where(_GOOD).select("run.*").drop("_bad")
 
-def read_runs(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False) -> DataFrame:
-    """The nested run records; a record that does not parse, or has no id or configuration, is left out."""
-    reader = spark.read.schema(RUN_SCHEMA + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
-    runs = reader.option("multiLine", multi_line).option("recursiveFileLookup", "true").json(path)
-    return runs.where(F.col("_bad").isNull() & F.col("exp_id").isNotNull() & F.col("cfg").isNotNull()).drop("_bad")
+
+def rejected_runs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(path, text) of what does not parse or has no id or configuration."""
+    return _parsed_runs(spark, path).where(f"not coalesce({_GOOD}, false)").select("path", "text")
 
 
 def flatten_runs(runs: DataFrame) -> DataFrame:
-    """One row per run with the best tau of its sweep (the first on ties)."""
+    """One row per run with the best tau of its sweep (the first on ties; NULL if none has a value)."""
+    # a tau without a value is no candidate
     entries = F.array_sort(
-        F.transform(F.map_entries("tau_sweep"), lambda e: F.struct((-e["value"]["balanced_acc"]).alias("neg"), e["key"].cast("double").alias("tau")))
+        F.transform(F.filter(F.map_entries("tau_sweep"), lambda e: e["value"]["balanced_acc"].isNotNull()), lambda e: F.struct((-e["value"]["balanced_acc"]).alias("neg"), e["key"].cast("double").alias("tau")))
     )
     best = F.get(entries, F.lit(0))
     cfg = [F.col(f"cfg.{c}").alias(c) for c in ("model", "img_size", "mode", "channel_mode", "aug", "loss", "sampler", "mixup", "cutmix")]
@@ -103,27 +125,37 @@ def epoch_logs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return raw.select(F.regexp_replace(exp, "^exp_id=", "").alias("exp_id"), F.col("epoch").try_cast("int").alias("epoch"), *numbers)
 
 
+def _csv_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (path, content) of CSV files to (path, row): the cells by the names of the file's own header."""
+    kind = pa.map_(pa.string(), pa.string())
+    for b in batches:
+        for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            lines = csv.reader(io.StringIO((content or b"").decode("utf-8-sig", "replace"), newline=""))
+            head = [x.strip() for x in next(lines, [])]
+            rows = [[(k, v) for k, v in dict(zip(head, line, strict=False)).items() if v != ""] for line in lines if line]
+            yield pa.record_batch([pa.array([path] * len(rows), pa.string()), pa.array(rows, kind)], names=["_file", "_row"])
+
+
 def _csv_by_name(spark: SparkSession, path: str | Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Columns of CSV files with headers, by name, as text; missing ones are NULL."""
-    reader = spark.read.option("header", True).option("recursiveFileLookup", True).option("enforceSchema", False)
-    raw = reader.csv(path)  # header only: every column stays text
-    have = set(raw.columns)
-    return raw.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast("string").alias(c) for c in fields], F.col("_metadata.file_path").alias("_file"))
+    """Columns of CSV files by the name in each file's own header, as text, with ``_file``; missing ones are NULL.
+
+    Files may differ in columns and their order. A file is read by one task; logs and result tables are
+    small, a file of 2 GiB or more fails.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    rows = raw.select("path", "content").mapInArrow(_csv_rows, "_file string, _row map<string,string>")
+    return rows.select(*[F.col("_row")[c].alias(c) for c in fields], "_file")
 
 
 def load_experiments(spark: SparkSession, path: str | Sequence[str], defaults: Mapping[str, object] = EXPERIMENT_DEFAULTS) -> DataFrame:
-    """Experiment table: missing columns get their default, numbers are coerced, the split kind
-    follows the id suffix (_doc, _T4) where there is one."""
-    reader = spark.read.option("header", True).option("recursiveFileLookup", True)
-    raw = reader.csv(path)
-    have = set(raw.columns)
+    """Experiment table of one or more files: columns by name, missing values get their default, numbers
+    are coerced (bad ones are NULL), the split kind follows the id suffix (_doc, _T4) where there is one."""
+    raw = _csv_by_name(spark, path, list(defaults))
     cols = []
     for name, default in defaults.items():
         kind = "string" if name in TEXT_FIELDS else "double"
-        if name not in have:
-            cols.append(F.lit(default).cast(kind).alias(name))
-        else:
-            cols.append((F.col(f"`{name}`") if kind == "string" else _number(F.col(f"`{name}`"))).alias(name))
+        value = F.col(name) if kind == "string" else _number(F.col(name))
+        cols.append(F.when(F.col(name).isNull(), F.lit(default).cast(kind)).otherwise(value).alias(name))
     return with_split_kind(raw.select(*cols))
 
 

@@ -151,6 +151,22 @@ def test_first_action_wins(spark, cand):
     assert {r.key: r.cls for r in overlay.apply_fixes(corpus, acts, "key", "cls", dim).collect()} == {2: "b", 3: "b", 4: "a", 5: "a"}
 
 
+def test_one_action_per_key_and_changes_never_multiply_rows(spark):
+    rows = [(1, "a", "b", 0.9), (1, "a", "c", 0.8), (2, "a", "c", 0.9)]
+    twice = spark.createDataFrame(rows, "key int, y_class string, pred_class string, p_pred double")
+    dim = Classes.of(spark, ["a", "b", "c"])
+    got = overlay.plan_fixes(twice, dim, relabel=["a>c", "a>b"]).collect()
+    assert {(r.key, r.to_class) for r in got} == {(1, "c"), (2, "c")} and len(got) == 2
+    rev = spark.createDataFrame([(1, "relabel", 1), (1, "drop", 2)], "key int, verdict string, pos int")
+    assert [(r.key, r.action) for r in overlay.plan_fixes(twice, dim, rev).collect()] == [(1, "relabel")]
+    corpus = spark.createDataFrame([(1, "a"), (2, "a")], "key int, cls string")
+    assert overlay.apply_fixes(corpus, overlay.plan_fixes(twice, dim, relabel=["a>c", "a>b"]), "key", "cls", dim).count() == 2
+    listed = spark.createDataFrame([(1, "b", "move"), (1, "b", "move")], "key int, new_class string, action string")
+    assert overlay.overlay_changes(corpus, listed, "key", "cls", dim).count() == 2
+    with pytest.raises(Exception, match="several changes of 1"):
+        overlay.overlay_changes(corpus, listed.unionByName(spark.createDataFrame([(1, "c", "move")], listed.schema)), "key", "cls", dim).collect()
+
+
 def test_fix_plans_reject_what_has_no_candidate(spark, cand):
     dim = Classes.of(spark, ["a", "b", "c"])
     with pytest.raises(Exception, match="no candidate for a>c"):
@@ -196,6 +212,19 @@ def test_merge_keeps_all_rows_and_columns(spark):
     assert d.count() == 12 and set(d.columns) == {"key", "p", "q", "origin"} and d.select("key").distinct().count() == 12
 
 
+def test_entity_without_a_known_class_is_flagged(spark):
+    d = spark.createDataFrame([("e", "a", 1), ("f", "zz", 1)], "e string, c string, v int")
+    got = {r.entity: (r.n_ok, r.n_bad, r.flagged) for r in profile.coverage_matrix(d, "e", "c", F.col("v") > 0, Classes.of(spark, ["a", "b"]), max_missing=1).collect()}
+    assert got == {"e": (1, 1, False), "f": (0, 2, True)}
+
+
+def test_audit_counts_rows_without_content_apart(spark):
+    a = spark.createDataFrame([(None, "x"), ("h", "x"), ("h", "y")], "h string, c string")
+    b = spark.createDataFrame([(None, "y"), (None, "y"), ("h", "y"), ("h", "z")], "h string, c string")
+    r = profile.audit_overlap(a, b, "h", "c").first()
+    assert (r.n_a, r.n_b, r.n_shared, r.n_new, r.n_moved, r.n_dropped, r.null_a, r.null_b) == (3, 4, 2, 0, 1, 0, 1, 2)
+
+
 def test_audit_of_two_versions(spark):
     a = spark.createDataFrame([("h1", "x"), ("h2", "x"), ("h2", "x"), ("h3", "y")], "h string, c string")
     b = spark.createDataFrame([("h1", "y"), ("h2", "x"), ("h4", "y")], "h string, c string")

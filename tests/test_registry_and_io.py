@@ -27,10 +27,18 @@ def test_runs_are_collected_and_bad_files_left_out(spark, tmp_path):
         d = tmp_path / f"run{i}"
         d.mkdir()
         (d / "metrics.json").write_text(text)
-    got = files.collect_runs(spark, str(tmp_path), multi_line=True).collect()
+    got = files.collect_runs(spark, str(tmp_path)).collect()
     assert [r.exp_id for r in got] == ["b", "a"]
     assert (got[0].tau_best, got[0].tau_best_bal, got[0].extra, got[0].params_M) == (0.25, 0.6, "fill", 11.23)
-    assert registry.tau_grid(files.read_runs(spark, str(tmp_path), True)).count() == 6
+    assert registry.tau_grid(files.read_runs(spark, str(tmp_path))).count() == 6
+    assert sorted(r.text for r in files.rejected_runs(spark, str(tmp_path)).collect()) == ["{not json", "{}"]
+    # records one to a line, and a tau without a value
+    odd = record("c", 0.9)
+    odd["tau_sweep"]["1.0"] = {"top1": 0.1}
+    (tmp_path / "lines.json").write_text(json.dumps(odd) + "\n" + json.dumps(record("d", 0.1)) + "\nbroken\n")
+    got = {r.exp_id: r for r in files.collect_runs(spark, str(tmp_path)).collect()}
+    assert sorted(got) == ["a", "b", "c", "d"] and (got["c"].tau_best, got["c"].tau_best_bal) == (0.25, 0.6)
+    assert files.rejected_runs(spark, str(tmp_path)).count() == 3
 
 
 def test_epoch_logs_coerce_and_allow_missing_columns(spark, tmp_path):
@@ -41,6 +49,19 @@ def test_epoch_logs_coerce_and_allow_missing_columns(spark, tmp_path):
     assert [(r.exp_id, r.epoch, r.lr, r.val_bal_acc, r.ema_val_bal_acc) for r in got] == [("run_x", 1, None, 0.5, None), ("run_x", 2, 0.01, 0.6, None)]
 
 
+def test_files_with_other_headers_are_read_by_name(spark, tmp_path):
+    for name, text in (("r1", "epoch,val_bal_acc,val_top1\n1,0.5,0.7\n"), ("r2", "val_top1,lr,epoch,ema_val_bal_acc,val_bal_acc\n0.8,0.1,1,0.9,0.6\n0.81,0.1,2,,0.61\n"), ("r3", "")):
+        (tmp_path / "logs" / name).mkdir(parents=True)
+        (tmp_path / "logs" / name / "log.csv").write_text(text)
+    got = {(r.exp_id, r.epoch): (r.val_top1, r.val_bal_acc, r.ema_val_bal_acc) for r in files.epoch_logs(spark, str(tmp_path / "logs")).collect()}
+    assert got == {("r1", 1): (0.7, 0.5, None), ("r2", 1): (0.8, 0.6, 0.9), ("r2", 2): (0.81, 0.61, None)}
+    (tmp_path / "exp").mkdir()
+    (tmp_path / "exp" / "a.csv").write_text("exp_id,model,top1\na,m,0.9\n")
+    (tmp_path / "exp" / "b.csv").write_text('exp_id,top1,model\n"b,1",0.7,n\n')
+    got = {r.exp_id: (r.model, r.top1) for r in files.load_experiments(spark, str(tmp_path / "exp")).collect()}
+    assert got == {"a": ("m", 0.9), "b,1": ("n", 0.7)}
+
+
 def test_experiments_get_defaults_and_split_kinds(spark, tmp_path):
     (tmp_path / "e.csv").write_text("exp_id,top1,split_kind\na_doc,0.9,\nb_T4,bad,doc\nc,0.5,doc\n")
     got = {r.exp_id: r for r in files.load_experiments(spark, str(tmp_path)).collect()}
@@ -68,7 +89,10 @@ def test_file_scan(spark, tmp_path):
         (tmp_path / folder).mkdir(exist_ok=True)
         (tmp_path / folder / name).write_text(folder + name)
     kept, skipped = files.scan_files(spark, str(tmp_path), ".txt", Classes.of(spark, ["a", "b"]))
-    assert sorted(r.name for r in kept.collect()) == ["1.txt", "2.TXT"] and [r.name for r in skipped.collect()] == ["x.bin"]
+    assert sorted(r.name for r in kept.collect()) == ["1.txt", "2.TXT"]
+    assert sorted((r.name, r.reason) for r in skipped.collect()) == [("1.txt", "class"), ("x.bin", "extension")]
+    hashed, _ = files.scan_files(spark, str(tmp_path), ".txt", Classes.of(spark, ["a", "b"]), with_hash=True)
+    assert hashed.where("length(md5) = 32").count() == 2
 
 
 def test_splits_with_a_leak_are_not_written(spark, tmp_path):
@@ -89,8 +113,9 @@ def test_reports(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "m")).collect()] == ["| k | n |", "|---|---|", "| a | 1 |", "| b | 2 |"]
     with pytest.raises(ValueError):
         sinks.write_report(d, str(tmp_path / "x"), "xls", ["k"])
-    with pytest.raises(ValueError, match="at most"):
-        sinks.write_report(d, str(tmp_path / "y"), "csv", ["k"], max_rows=1)
+    many = spark.range(30_000).selectExpr("30000 - id as k", "id as n")
+    sinks.write_report(many, str(tmp_path / "y"), "csv", ["k"])
+    assert [int(r.k) for r in spark.read.option("header", True).csv(str(tmp_path / "y")).orderBy(F.input_file_name(), F.monotonically_increasing_id()).collect()] == list(range(1, 30_001))
 
 
 def test_stream_of_items(spark, tmp_path):
