@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A side is hinted for broadcast only when its row count is known and at most this.
@@ -62,13 +62,28 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dense_labels(names: DataFrame, col: str) -> DataFrame:
+    """``names`` (one row per value of ``col``) with ``label`` = rank of the value from 0.
+
+    The values are range-partitioned; a label is the number of values in the ranges before plus
+    the place in the own range, so no task sees all of them.
+    """
+    ranges = settle(names.repartitionByRange(col).withColumn("_p", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("_p").agg(F.count("*").alias("_n"))
+    # one row per range
+    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    start = counts.select("_p", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(col)) - 1
+    return ranges.withColumn("_place", place).join(start, "_p").withColumn("label", (F.col("_start") + F.col("_place")).cast("int")).drop("_p", "_place", "_start")
+
+
 @dataclass(frozen=True)
 class Classes:
     """The class universe: ``df`` has (class, label); label = rank of the class name.
 
     ``names`` is set when the universe is known to be small; ``rows`` is then a proven bound
-    for every table that has one row per class. A universe above SMALL_ROWS stays a lazy
-    DataFrame without dense labels and is joined without hints.
+    for every table that has one row per class. A universe above SMALL_ROWS is a written table with
+    the same dense labels and is joined without hints.
     """
 
     df: DataFrame
@@ -93,7 +108,7 @@ class Classes:
         df = spark.createDataFrame(
             [(c, i) for i, c in enumerate(ordered)], "class string, label int"
         )
-        return Classes(df, ordered if len(ordered) <= SMALL_ROWS else None)
+        return Classes(df, ordered)  # a listed universe is as small as the list
 
     @staticmethod
     def from_column(df: DataFrame, col: str) -> Classes:
@@ -101,4 +116,4 @@ class Classes:
         head = found.limit(SMALL_ROWS + 1).collect()
         if len(head) <= SMALL_ROWS:
             return Classes.of(df.sparkSession, [r[0] for r in head])
-        return Classes(found.withColumn("label", F.lit(None).cast("int")), None)
+        return Classes(dense_labels(found, "class"), None)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.bounds import small
+from tallyforge.functions.bounds import attach_row, small
 from tallyforge.functions.hashing import hash_hex
 
 # Leading md5 digits that name a bucket: bucket order is hash order, and a class of n rows
@@ -86,7 +86,7 @@ def cutoff_number(df: DataFrame, cls: str, key: str, cutoffs: DataFrame, seed: o
 
 def take_in_hash_order(
     df: DataFrame,
-    cls: str,
+    cls: str | None,
     key: str,
     target: Callable[[Column], Column],
     seed: object = 42,
@@ -98,8 +98,14 @@ def take_in_hash_order(
 ) -> DataFrame:
     """Mark, per class, rows in hash order while the weight of earlier rows is below the target.
 
-    With no weight this takes the first ``target(n)`` rows of each class.
+    With no weight this takes the first ``target(n)`` rows of each class. Without ``cls`` all rows are one
+    class, whose cut-off reaches the rows as a scalar.
     """
+    if cls is None:
+        cuts = hash_cutoffs(df.withColumn("_all", F.lit(1)), "_all", key, lambda n: [target(n)], seed, weight, 1)
+        d = attach_row(df.withColumn("_h", hash_hex(seed, key)), cuts.select("cuts"))
+        here = F.struct(F.col("_h").alias("_h"), F.col(key).alias("_key"))
+        return d.withColumn(out, F.coalesce(F.size(F.filter("cuts", lambda c: c < here)) == 0, F.lit(False))).drop("_h", "cuts")
     if cutoffs is None:
         cutoffs = hash_cutoffs(df, cls, key, lambda n: [target(n)], seed, weight, rows, side)
     marked = cutoff_number(df, cls, key, cutoffs, seed, rows, out)

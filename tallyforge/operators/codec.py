@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.bounds import Classes, settle, small
+from tallyforge.functions.bounds import Classes, attach_row, dense_labels, settle, small
 from tallyforge.functions.skew import join_keyed
 
 # Byte code 0xA0 is the code point U+0E00, and the ranges of each category.
@@ -171,9 +171,9 @@ def universe_partition(df: DataFrame, cls: str, classes: Classes) -> DataFrame:
     """Adds ``in_universe`` and a dense ``label``: classes outside follow after the last known label."""
     known = classes.side.select(F.col("class").alias(cls), F.col("label").alias("_known"))
     # one row per unknown class, ranked after the known ones
-    strange = df.select(cls).distinct().join(known, cls, "left_anti")
-    base = classes.rows or 0
-    ranked = strange.select(cls, (F.dense_rank().over(Window.orderBy(cls)) - 1 + base).alias("_new"))
+    strange = df.select(cls).where(F.col(cls).isNotNull()).distinct().join(known, cls, "left_anti")
+    base = classes.df.agg(F.coalesce(F.max("label") + 1, F.lit(0)).alias("_base"))
+    ranked = attach_row(dense_labels(strange, cls), base).select(cls, (F.col("label") + F.col("_base")).alias("_new"))
     # settled: the planner then knows how few classes these are
     out = df.join(known, cls, "left").join(settle(ranked, "new-classes"), cls, "left")
     return out.withColumn("in_universe", F.col("_known").isNotNull()).withColumn(

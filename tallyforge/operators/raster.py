@@ -64,8 +64,7 @@ def class_pixels(profile: DataFrame, cls: str) -> DataFrame:
 def intensity_hist(df: DataFrame, key: str, sample: int | None = None, seed: int = 0) -> DataFrame:
     """Counts per grey level, over all images or a seeded sample of them."""
     if sample is not None:
-        one = df.withColumn("_all", F.lit(1))
-        df = take_in_hash_order(one, "_all", key, lambda _: F.lit(sample), seed, rows=1).where("taken")
+        df = take_in_hash_order(df, None, key, lambda _: F.lit(sample), seed).where("taken")
     return df.select(F.explode("pixels").alias("level")).groupBy("level").agg(F.count("*").alias("n"))
 
 

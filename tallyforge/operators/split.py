@@ -77,33 +77,26 @@ def group_holdout_split(
 
 
 def group_fraction_holdout(
-    df: DataFrame, kind: str, grp: str, frac: float = 0.15, seed: int = 42, kinds: int | None = None
+    df: DataFrame, kind: str | None, grp: str, frac: float = 0.15, seed: int = 42, kinds: int | None = None
 ) -> DataFrame:
-    """Groups of each kind in hash order, taken whole until ``frac`` of the kind's rows is held.
+    """Groups of each kind (None: all are one kind) in hash order, taken whole until ``frac`` of the kind's rows is held.
 
     Returns one row per group with its size and ``held``.
     """
-    sizes = df.groupBy(kind, grp).agg(F.count("*").alias("n"))
+    sizes = df.groupBy(*([kind] if kind else []), grp).agg(F.count("*").alias("n"))
     return take_in_hash_order(
         sizes, kind, grp, lambda total: F.lit(frac) * total, seed, weight="n", rows=kinds, out="held"
     )
 
 
-def holdout_checks(train: DataFrame, probe: DataFrame, grp: str, cls: str, classes: Classes, thin: int = 30) -> DataFrame:
-    """Per class: rows on both sides and a status; plus the number of groups on both sides.
+def holdout_checks(df: DataFrame, held: str, grp: str, cls: str, classes: Classes, thin: int = 30) -> DataFrame:
+    """Per class: rows on both sides of ``held`` and a status; plus the number of groups on both sides.
 
     status: probe_only (untrainable), absent (no probe row), thin (< thin probe rows), ok.
     """
-    both = train.select(cls, F.lit(1).alias("t"), F.lit(0).alias("p")).unionByName(
-        probe.select(cls, F.lit(0).alias("t"), F.lit(1).alias("p"))
-    )
-    counts = both.groupBy(F.col(cls).alias("class")).agg(
-        F.sum("t").alias("n_train"), F.sum("p").alias("n_probe")
-    )
-    leaks = (
-        train.select(grp).distinct().join(probe.select(grp).distinct(), grp, "left_semi")
-        .agg(F.count("*").alias("leaked_groups"))
-    )
+    counts = df.groupBy(F.col(cls).alias("class")).agg(F.count_if(~F.col(held)).alias("n_train"), F.count_if(F.col(held)).alias("n_probe"))
+    sides = df.groupBy(grp).agg(F.max(held).alias("p"), F.max(~F.col(held)).alias("t"))
+    leaks = sides.agg(F.count_if(F.col("p") & F.col("t")).alias("leaked_groups"))
     table = classes.side.select("class").join(counts, "class", "left")
     table = attach_row(table, leaks)
     n_train = F.coalesce("n_train", F.lit(0))

@@ -46,17 +46,14 @@ def categorise(spark, sf):
 @query(
     "parse_name",
     r"""WITH u AS (SELECT page_id, regexp_extract(url, '^(https?)://(?:www\.|m\.|blog\.)?([^/]+)/([a-z]{2})/(\d+)', ['scheme', 'host', 'lang', 'num']) AS g, url FROM pages)
-        SELECT page_id, nullif(g.scheme, '') AS prefix, try_cast(nullif(g.num, '') AS BIGINT) AS doc_no, nullif(g.lang, '') AS subset,
-               CASE WHEN g.scheme <> '' THEN g.host || '_' || g.lang END AS grp, g.scheme <> '' AS parsed FROM u""",
+        SELECT page_id, nullif(g.scheme, '') AS prefix, try_cast(nullif(g.num, '') AS INTEGER) AS doc_no, nullif(g.lang, '') AS subset,
+               CASE WHEN g.scheme <> '' THEN g.scheme || '_' || g.num END AS grp, g.scheme <> '' AS parsed FROM u""",
 )
 def parse_name(spark, sf):
-    pattern = r"^(https?)://(?:www\.|m\.|blog\.)?([^/]+)/([a-z]{2})/(\d+)"
-    url = F.col("url")
-    part = lambda i: F.nullif(F.regexp_extract(url, pattern, i), F.lit(""))
-    return table(spark, sf, "pages").select(
-        "page_id", part(1).alias("prefix"), part(4).try_cast("bigint").alias("doc_no"), part(3).alias("subset"),
-        F.when(url.rlike(pattern), F.concat_ws("_", part(2), part(3))).alias("grp"), url.rlike(pattern).alias("parsed"),
-    )
+    # the operator's parts by place: prefix, number (seen ahead), subset, and no line or index
+    pattern = r"^(https?)://(?=[^/]+/[a-z]{2}/(\d+))(?:www\.|m\.|blog\.)?[^/]+/([a-z]{2})/\d+()()"
+    parts = table(spark, sf, "pages").select("page_id", *codec.parse_name(F.col("url"), pattern))
+    return parts.select("page_id", "prefix", F.col("doc_id").alias("doc_no"), "subset", F.col("group").alias("grp"), "parsed")
 
 
 @query(

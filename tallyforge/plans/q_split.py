@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallyforge.functions.bounds import settle
 from tallyforge.operators import sample, split
 from tallyforge.plans import corpus as C
 from tallyforge.plans.base import query, table, with_blocks
@@ -70,11 +71,11 @@ def group_fraction_holdout_docs(spark, sf):
     ),
 )
 def holdout_checks(spark, sf):
-    ev = table(spark, sf, "events").select("event_type", "user_id").withColumn("kind", F.lit("all"))
-    held = split.group_fraction_holdout(ev, "kind", "user_id", kinds=1).where("held").select("user_id")
-    train, probe = ev.join(held, "user_id", "left_anti"), ev.join(held, "user_id", "left_semi")
+    ev = table(spark, sf, "events").select("event_type", "user_id")
+    # one row per user, settled: the marking of the events is then the only pass that meets them
+    users = settle(split.group_fraction_holdout(ev, None, "user_id").select("user_id", "held"), "held-users")
     classes = split.Classes.from_column(ev, "event_type")
-    return split.holdout_checks(train, probe, "user_id", "event_type", classes, thin=280)
+    return split.holdout_checks(ev.join(users, "user_id"), "held", "user_id", "event_type", classes, thin=280)
 
 
 @query("kfold", with_blocks("SELECT doc_id, lang, (r - 1) % 5 AS fold FROM rk", _RANKED))

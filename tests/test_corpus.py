@@ -115,6 +115,14 @@ def test_a_universe_beyond_the_bound_is_not_broadcast(spark, monkeypatch):
         big.require_names()
     hint = lambda x: "ResolvedHint" in x._jdf.queryExecution().analyzed().toString()
     assert not hint(big.side) and hint(bounds.small(d, 2)) and not hint(bounds.small(d, 3))
+    # labels are the same dense ranks, and unknown classes follow them
+    assert {r["class"]: r.label for r in big.df.collect()} == {"a": 0, "b": 1, "c": 2}
+    more = spark.createDataFrame([(c,) for c in ("b", "z", "q", None)], "c string")
+    got = {r.c: (r.in_universe, r.label) for r in codec.universe_partition(more, "c", big).collect()}
+    assert got == {"b": (True, 1), "q": (False, 3), "z": (False, 4), None: (False, None)}
+    many = spark.range(1000).selectExpr("cast(id as string) as name")
+    ranked = {r.name: r.label for r in bounds.dense_labels(many, "name").collect()}
+    assert ranked == {n: i for i, n in enumerate(sorted(str(i) for i in range(1000)))}
 
 
 def test_reconcile(spark):
