@@ -38,6 +38,7 @@ SIMILARITY = 0.8
 RADIUS = 32
 PRINT_BITS = 128
 RECALL = 0.97
+MIN_BITS = 18
 PART = 1024
 SMALL_CELL = 24
 
@@ -72,11 +73,13 @@ def table_plan(prints: int, similarity: float = SIMILARITY, recall: float = RECA
     """(sampled bits, tables) for a number of distinct prints.
 
     The cosine of two equally large sets is 2 J / (1 + J); a bit differs with the angle's share of a
-    half turn. Half as many tables again make up for distances above the expected one.
+    half turn. So many tables are taken that a pair at the similarity agrees in one of them with the
+    chance ``recall``; for closer pairs the chance is higher. MIN_BITS keep keys small in any corpus;
+    from there on each doubling of the prints adds a bit.
     """
-    bits = min(48, max(12, math.ceil(math.log2(max(prints, 2)))))
+    bits = min(48, max(MIN_BITS, math.ceil(math.log2(max(prints, 2)))))
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return bits, math.ceil(1.5 * math.log(1 / (1 - recall)) / (1 - differ) ** bits)
+    return bits, math.ceil(math.log(1 / (1 - recall)) / (1 - differ) ** bits)
 
 
 def _table_keys(bits: int, tables: int):
