@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.bounds import settle
+from tallyforge.functions.bounds import attach_row, settle
 from tallyforge.functions.ranking import cutoff_number, hash_cutoffs
 from tallyforge.llm.common import word_array
 
@@ -68,7 +68,7 @@ def water_level(children: DataFrame, parent: list[str]) -> DataFrame:
 def deal(nodes: DataFrame, parent: list[str]) -> DataFrame:
     """``nodes`` (supply, weight, budget of the parent) with their own budget in whole tokens."""
     level = water_level(nodes, parent)
-    joined = _join_null_safe(nodes, level, parent, "left")
+    joined = _join_null_safe(nodes, level, parent, "left") if parent else attach_row(nodes, level)
     share = F.coalesce(F.col("weight") * F.col("level"), F.col("supply").cast("double"))
     own = F.least(F.col("supply"), F.floor(F.round(share, 6)))
     return joined.withColumn("budget", F.when(F.col("weight") > 0, own).otherwise(0).cast("bigint")).drop("level")
@@ -82,13 +82,12 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: dict[str, Column
     """
     leaves = settle(leaves.withColumn("supply", F.col("tokens") * max_epochs), "leaves")
     root = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"), F.coalesce(F.sum("supply"), F.lit(0)).alias("supply"))
-    above, path = root.select(F.least(budget.cast("bigint"), "supply").alias("budget")), ["_root"]
-    above = above.withColumn("_root", F.lit(0))
+    above, path = root.select(F.least(budget.cast("bigint"), "supply").alias("budget")), []
     for depth, name in enumerate(levels):
         keys = levels[: depth + 1]
-        nodes = leaves.groupBy(*keys).agg(F.sum("supply").alias("supply")).withColumn("_root", F.lit(0)).withColumn("weight", weights[name].cast("double"))
-        nodes = _join_null_safe(nodes, above.select(*path, "budget"), path)
-        above, path = settle(deal(nodes, path), "budgets"), ["_root", *keys]
+        nodes = leaves.groupBy(*keys).agg(F.sum("supply").alias("supply")).withColumn("weight", weights[name].cast("double"))
+        nodes = _join_null_safe(nodes, above.select(*path, "budget"), path) if path else attach_row(nodes, above)
+        above, path = settle(deal(nodes, path), "budgets"), keys
     return _join_null_safe(leaves, above.select(*levels, "budget"), levels)
 
 
