@@ -191,11 +191,13 @@ def identify(df: DataFrame, net: ByteNet | None, text_col: str = "text", pred: s
     return done.select(*[F.col("_row")[c].alias(c) for c in columns], F.col("_pred").alias(pred), F.col("_score").alias(score))
 
 
-def known_language(docs: DataFrame, net: ByteNet | None, text_col: str = "text", least: float = 0.4) -> DataFrame:
+def known_language(docs: DataFrame, net: ByteNet | None, text_col: str = "text", least: float | None = None) -> DataFrame:
     """The rows whose language is known: predicted with a probability of at least ``least``.
 
-    Texts without any letter go; so do those the net cannot tell (with four languages a guess
-    has 0.25).
+    Texts without any letter go; so do those the net cannot tell. Without ``least`` that is a probability
+    below 1.2 times that of a guess (0.3 with four languages): short texts are often unsure between
+    two languages, and are kept.
     """
     marked = identify(docs, net, text_col, "_lang_pred", "_lang_score")
-    return marked.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*docs.columns)
+    bound = least if least is not None else min(1.2 / max(len(net.langs) if net else 1, 1), 0.99)
+    return marked.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= bound)).select(*docs.columns)
