@@ -245,7 +245,9 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = own.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = settle(named, "simhash-named")
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.select("fp", "root"), "fp").join(groups, "root").select("doc_id", "th", "fp", "root", "component_id")
+    # groups meet distinct fingerprints, not rows: a group with a third of all rows is small here
+    labelled = named.join(groups, "root").select("fp", "root", "component_id")
+    return prints.join(labelled, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:
