@@ -224,7 +224,7 @@ def soft_targets(spark, sf):
     with_blocks(
         """SELECT model, count(*) AS n, round(avg(ce), 6) AS ce, round(avg(0.9::DOUBLE * ce + 0.1::DOUBLE * mall), 6) AS ce_smooth, round(sum(w * ce) / sum(w), 6) AS ce_weighted,
                   round(avg(pow(1 - exp(-ce), 2) * ce), 6) AS focal, round(avg(cb * pow(1 - exp(-ce), 2) * ce), 6) AS cb_focal
-           FROM (SELECT model, item_id, -ln(max(p) FILTER (label = y)) AS ce, avg(-ln(p)) AS mall, any_value(y) AS y FROM pdb GROUP BY ALL) JOIN lw ON lw.label = y GROUP BY model""",
+           FROM (SELECT model, item_id, max(score) + ln(sum(e)) - max(score) FILTER (label = y) AS ce, max(score) + ln(sum(e)) - avg(score) AS mall, any_value(y) AS y FROM pdb GROUP BY ALL) JOIN lw ON lw.label = y GROUP BY model""",
         S.PRED,
         """lw AS (SELECT label, pow(n, -0.5::DOUBLE) / (SELECT avg(pow(n, -0.5::DOUBLE)) FROM tc) AS w,
                   ((1 - 0.999::DOUBLE) / (1 - pow(0.999::DOUBLE, n))) / (SELECT avg((1 - 0.999::DOUBLE) / (1 - pow(0.999::DOUBLE, n))) FROM tc) AS cb FROM tc)""",
