@@ -189,7 +189,7 @@ def class_support(spark, sf):
     return profile.class_support(part, "p_brand", "p_type", F.col("p_size") >= 45, Classes.from_column(part, "p_type"))
 
 
-_SRC = ["src0", "src1", "src2", "src3"]
+_SRC = [f"src{i}" for i in range(20)]
 
 
 @query(
