@@ -5,11 +5,12 @@ shingles differ in about 15 % of the bits, too many for exact blocks, so this fo
 128 bits and the usual tables of sampled bits:
 
 1. *Tables.* A table keys each distinct print by ``bits`` sampled positions. ``bits`` grows with the
-   logarithm of the number of prints, so keys hold a few prints each at any size, and the number of
-   tables follows from the chance that two prints at the similarity agree in all of them.
+   logarithm of the number of prints, so keys hold a few prints each at any size. There are so many
+   tables that a pair at the similarity meets with the chance RECALL, taken over the whole binomial
+   spread of its distance. Sets of few shingles differ in more bits and get more tables.
 2. *Compare.* Prints of a key are compared with vertical bit planes and carry-save counters
-   (``neardup.close_pairs``) within RADIUS bits, three deviations above the distance expected at the
-   similarity. Of the pairs of a cell, the minimum spanning forest by distance is kept: it connects
+   (``neardup.close_pairs``) within RADIUS bits, three deviations above the distance expected for the
+   worst set sizes (4 of 5 shingles shared). Of the pairs of a cell, the minimum spanning forest by distance is kept: it connects
    what is connected at any lower distance, so no cell gives more edges than it has prints.
 3. *Verify.* Each edge is verified on the two texts: the Jaccard similarity of their shingle sets.
 4. Verified edges are linked to groups.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,13 @@ from tallyforge.llm.neardup import close_pairs, near_lanes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 32
+RADIUS = 37
 PRINT_BITS = 128
 RECALL = 0.97
-MIN_BITS = 18
+MIN_BITS = 12
+KEY_BITS = 4
+# Sets of at most so many shingles count as short.
+SHORT = 32
 PART = 1024
 SMALL_CELL = 24
 
@@ -64,33 +69,95 @@ def print_of(grams: np.ndarray) -> tuple[int, int]:
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in rows_of(batches):
-        both = [print_of(shingle_set(t)) for t in b.column(2).to_pylist()]
+        sets = [shingle_set(t) for t in b.column(2).to_pylist()]
+        both = [print_of(x) for x in sets]
         cols = [pa.array([x[k] for x in both], pa.int64()) for k in (0, 1)]
-        yield pa.record_batch([b.column(0), b.column(1), *cols], names=["doc_id", "th", "a", "b"])
+        cols.append(pa.array([len(x) <= SHORT for x in sets], pa.bool_()))
+        yield pa.record_batch([b.column(0), b.column(1), *cols], names=["doc_id", "th", "a", "b", "short"])
+
+
+def differing(one: int, two: int, both: int) -> float:
+    """The chance that a bit of the prints differs, for sets of ``one`` and ``two`` shingles that share ``both``."""
+
+    def chances(n: int) -> np.ndarray:
+        return np.array([math.comb(n, k) for k in range(n + 1)], float) / 2.0**n
+
+    shared = np.arange(both + 1)
+    first, second = ((2 * (shared[:, None] + np.arange(n - both + 1)) > n) @ chances(n - both) for n in (one, two))
+    return float(chances(both) @ (first * (1 - second) + second * (1 - first)))
+
+
+@lru_cache
+def worst_differing(similarity: float, short: bool) -> float:
+    """The largest chance of a differing bit among pairs of short (or other) sets at the similarity or above.
+
+    The cosine of two equally large sets is 2 J / (1 + J); a bit differs with the angle's share of a
+    half turn. That is the limit of large sets; up to 4 x SHORT shingles all sizes are tried.
+    """
+    found = [math.acos(2 * similarity / (1 + similarity)) / math.pi]
+    for two in range(1, SHORT + 1) if short else range(SHORT + 1, 4 * SHORT + 1):
+        for one in range(math.ceil(similarity * two), two + 1):
+            both = math.ceil(similarity * (one + two) / (1 + similarity) - 1e-9)
+            if both <= one:
+                found.append(differing(one, two, both))
+    return max(found)
+
+
+def meeting(differ: float, bits: int, tables: int) -> float:
+    """The chance that two prints are within RADIUS and agree in all sampled bits of a table, over the spread of their distance."""
+    out = 0.0
+    for d in range(RADIUS + 1):
+        agree = math.comb(PRINT_BITS - d, bits) / math.comb(PRINT_BITS, bits)
+        out += math.comb(PRINT_BITS, d) * differ**d * (1 - differ) ** (PRINT_BITS - d) * (1 - (1 - agree) ** tables)
+    return out
 
 
 def table_plan(prints: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
-    """(sampled bits, tables) for a number of distinct prints.
+    """(sampled bits, tables) for a number of distinct prints by the expected distance alone.
 
     The cosine of two equally large sets is 2 J / (1 + J); a bit differs with the angle's share of a
-    half turn. So many tables are taken that a pair at the similarity agrees in one of them with the
-    chance ``recall``; for closer pairs the chance is higher. MIN_BITS keep keys small in any corpus;
-    from there on each doubling of the prints adds a bit.
+    half turn. Half as many tables again make up for distances above the expected one; ``spread_plan``
+    counts with these distances.
     """
     bits = min(48, max(MIN_BITS, math.ceil(math.log2(max(prints, 2)))))
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return bits, math.ceil(math.log(1 / (1 - recall)) / (1 - differ) ** bits)
+    return bits, math.ceil(1.5 * math.log(1 / (1 - recall)) / (1 - differ) ** bits)
+
 
+def spread_plan(prints: int, similarity: float = SIMILARITY, recall: float = RECALL, short: bool = False) -> tuple[int, int]:
+    """(sampled bits, tables): the least tables by which a pair at the similarity meets with the chance ``recall``.
 
-def _table_keys(bits: int, tables: int):
-    places = np.stack([np.random.default_rng(t).choice(PRINT_BITS, bits, replace=False) for t in range(tables)])
+    KEY_BITS bits less than those of ``table_plan`` are sampled: keys hold about 16 prints, and pairs
+    above the expected distance need far fewer tables. Short sets take part in further tables; a pair
+    of a short and another set meets in the tables of the other.
+    """
+    bits = max(MIN_BITS, table_plan(prints, similarity)[0] - KEY_BITS)
+    differ = worst_differing(similarity, short)
+    if meeting(differ, bits, 1 << 40) < recall:
+        raise ValueError(f"RADIUS {RADIUS} is too small for similarity {similarity} and recall {recall}")
+    low, high = 0, 1
+    while meeting(differ, bits, high) < recall:
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if meeting(differ, bits, middle) >= recall else (middle, high)
+    return bits, high
+
+
+def _table_keys(bits: int, tables: int, short_tables: int):
+    places = np.stack([np.random.default_rng(t).choice(PRINT_BITS, bits, replace=False) for t in range(max(tables, short_tables))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.int64(1) << np.arange(bits, dtype=np.int64)
         for b in rows_of(batches, 4096):
             a, c = b.column(0).to_numpy(), b.column(1).to_numpy()
             own = np.unpackbits(np.stack([a, c], axis=1).view(np.uint8).reshape(len(a), 16), axis=1, bitorder="little")
-            for t in range(tables):
+            short = b.column(2).to_numpy(zero_copy_only=False)
+            for t in range(len(places)):
+                if t == tables:
+                    a, c, own = a[short], c[short], own[short]
+                    if not len(a):
+                        break
                 value = own[:, places[t]] @ weights
                 # the number of the table is mixed in, so that a key names both
                 key = mixed(value.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(t + 1)).view(np.int64)
@@ -182,9 +249,11 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from cells(*held)
 
 
-def candidate_edges(prints: DataFrame, n: int, part: int = PART) -> DataFrame:
-    """(a1, b1, a2, b2) from distinct prints (a, b); keys above ``part`` prints are cut into parts that meet in pairs."""
-    keyed = prints.select("a", "b").mapInArrow(_table_keys(*table_plan(n)), "key bigint, a bigint, b bigint")
+def candidate_edges(prints: DataFrame, n: int, part: int = PART, similarity: float = SIMILARITY) -> DataFrame:
+    """(a1, b1, a2, b2) from distinct prints (a, b, short); keys above ``part`` prints are cut into parts that meet in pairs."""
+    bits, tables = spread_plan(n, similarity)
+    plan = _table_keys(bits, tables, spread_plan(n, similarity, short=True)[1])
+    keyed = prints.select("a", "b", "short").mapInArrow(plan, "key bigint, a bigint, b bigint")
     large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > part).select("key", F.ceil(F.col("n") / F.lit(part)).cast("int").alias("p"))
     large = settle(large, "large-keys")
     side = F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("p")).cast("int"), F.lit(0)).alias("side")
@@ -212,10 +281,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, th, root) per row of ``docs``: th is a hash of the text, root names the group."""
     text = F.col(text_col)
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
-    rows = settle(d.mapInArrow(_prints, "doc_id bigint, th bigint, a bigint, b bigint"), "prints")
-    own = settle(rows.groupBy("a", "b").agg(F.min("th").alias("node")), "distinct-prints")
+    rows = settle(d.mapInArrow(_prints, "doc_id bigint, th bigint, a bigint, b bigint, short boolean"), "prints")
+    own = settle(rows.groupBy("a", "b").agg(F.min("th").alias("node"), F.max("short").alias("short")), "distinct-prints")
     n = own.count()
-    found = candidate_edges(own, n, part)
+    found = candidate_edges(own, n, part, similarity)
     ends = own.select(F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("node").alias("u"))
     others = own.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("node").alias("v"))
     edges = settle(found.join(ends, ["a1", "b1"]).join(others, ["a2", "b2"]).select("u", "v").where("u <> v"), "candidate-edges")

@@ -57,8 +57,8 @@ def test_groups_equal_brute_force(spark, part):
     found = {tuple(sorted(map(repr, g))) for g in by.values()}
     want = {tuple(sorted(repr(rows[i][0]) for i in g)) for g in brute(rows)}
     # recall at the very threshold is below one; all groups of clearly similar texts are found, and no other
-    clear = {tuple(sorted(repr(rows[i][0]) for i in g)) for g in brute(rows, 0.88)}
-    assert len(want & found) >= 0.95 * len(want)
+    clear = {tuple(sorted(repr(rows[i][0]) for i in g)) for g in brute(rows, 0.85)}
+    assert len(want & found) >= 0.97 * len(want)
     owner = {x: w for w in want for x in w if x != "None"}
     assert all(len({owner[x] for x in g if x in owner}) <= 1 for g in found)
     assert all(any(set(c) <= set(g) for g in found) for c in clear)
@@ -98,3 +98,20 @@ def test_table_plan_grows_slowly():
     bits, tables = similar.table_plan(1 << 18)
     more_bits, more = similar.table_plan(1 << 24)
     assert (bits, more_bits) == (18, 24) and tables < more < 3.5 * tables
+
+
+@pytest.mark.parametrize("prints", [100, 1 << 18, 1 << 24])
+def test_tables_reach_the_recall_over_the_whole_spread(prints):
+    rng = np.random.default_rng(7)
+    # shared shingles, those of one only, those of the other only: all at 0.8
+    for shared, left, right in [(4, 0, 1), (8, 1, 1), (48, 6, 6), (200, 25, 25), (800, 100, 100)]:
+        short = shared + right <= similar.SHORT
+        bits, tables = similar.spread_plan(prints, short=short)
+        met = []
+        for _ in range(400):
+            g = rng.integers(0, 1 << 63, shared + left + right, dtype=np.int64).view(np.uint64)
+            one, two = (np.array(similar.print_of(x), np.int64).view(np.uint64) for x in (g[: shared + left], np.r_[g[:shared], g[shared + left :]]))
+            far = int(np.bitwise_count(one ^ two).sum())
+            agree = np.prod([(similar.PRINT_BITS - far - i) / (similar.PRINT_BITS - i) for i in range(bits)])
+            met.append((far <= similar.RADIUS) * (1 - (1 - agree) ** tables))
+        assert np.mean(met) >= similar.RECALL - 0.02
