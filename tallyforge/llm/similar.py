@@ -14,6 +14,10 @@ shingles differ in about 15 % of the bits, too many for exact blocks, so this fo
    what is connected at any lower distance, so no cell gives more edges than it has prints.
 3. *Verify.* Each edge is verified on the two texts: the Jaccard similarity of their shingle sets.
 4. Verified edges are linked to groups.
+5. *Left out.* The forest knows distances, not similarities, so where a large cell left pairs out, the
+   texts its forest connects are a cluster. Groups of one cluster that step 4 left apart are compared
+   text by text, exactly, in blocks of about BLOCK texts; only pairs within the largest group of the
+   cluster, which is one group already, need no block.
 
 Defined results: texts are compared in lower case (A-Z); fewer than five words are one shingle, no word
 is an empty set, and all texts without a word are one group; NULL counts as empty; NULL ids and
@@ -46,6 +50,7 @@ KEY_BITS = 4
 SHORT = 32
 PART = 1024
 SMALL_CELL = 24
+BLOCK = 256
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -196,11 +201,14 @@ def spanning_forest(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndar
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, x, y, side, a, b) sorted by (key, x, y): the spanning forest of each cell's close pairs."""
+    """Rows (key, x, y, side, a, b) sorted by (key, x, y): the spanning forest of each cell's close pairs.
 
-    def out(p: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    ``cut`` tells that the cell has close pairs that are not in its forest.
+    """
+
+    def out(p: np.ndarray, i: np.ndarray, j: np.ndarray, cut: bool = False) -> pa.RecordBatch:
         cols = [p[i, 0], p[i, 1], p[j, 0], p[j, 1]]
-        return pa.record_batch([pa.array(c.view(np.int64)) for c in cols], names=["a1", "b1", "a2", "b2"])
+        return pa.record_batch([*[pa.array(c.view(np.int64)) for c in cols], pa.array(np.full(len(i), cut))], names=["a1", "b1", "a2", "b2", "cut"])
 
     def cells(key: np.ndarray, x: np.ndarray, y: np.ndarray, side: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
@@ -230,7 +238,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(left):
                 far = np.bitwise_count(own[left] ^ own[right]).sum(axis=1)
                 e = spanning_forest(len(own), left, right, far)
-                yield out(own, left[e], right[e])
+                yield out(own, left[e], right[e], len(e) < len(left))
 
     held = None
     for batch in batches:
@@ -250,7 +258,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_edges(prints: DataFrame, n: int, part: int = PART, similarity: float = SIMILARITY) -> DataFrame:
-    """(a1, b1, a2, b2) from distinct prints (a, b, short); keys above ``part`` prints are cut into parts that meet in pairs."""
+    """(a1, b1, a2, b2, cut) from distinct prints (a, b, short); keys above ``part`` prints are cut into parts that meet in pairs."""
     bits, tables = spread_plan(n, similarity)
     plan = _table_keys(bits, tables, spread_plan(n, similarity, short=True)[1])
     keyed = prints.select("a", "b", "short").mapInArrow(plan, "key bigint, a bigint, b bigint")
@@ -261,7 +269,8 @@ def candidate_edges(prints: DataFrame, n: int, part: int = PART, similarity: flo
     placed = keyed.join(large, "key", "left").select("key", "a", "b", side, "p").select("key", "a", "b", "side", other)
     cells = placed.select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "a", "b")
     dealt = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return dealt.mapInArrow(_edges, "a1 bigint, b1 bigint, a2 bigint, b2 bigint").distinct()
+    found = dealt.mapInArrow(_edges, "a1 bigint, b1 bigint, a2 bigint, b2 bigint, cut boolean")
+    return found.groupBy("a1", "b1", "a2", "b2").agg(F.max("cut").alias("cut"))
 
 
 def _verify(similarity: float):
@@ -277,6 +286,86 @@ def _verify(similarity: float):
     return run
 
 
+def _alike(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of ``one`` x ``two`` (positions of ``sets``) have the similarity, by products of 0/1 matrices of the shared shingles."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, gram, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[gram] > 1
+    name = np.cumsum(times > 1) - 1
+    owner, gram = owner[shared], name[gram[shared]]
+    order = np.argsort(gram, kind="stable")
+    owner, gram = owner[order], gram[order]
+    both = np.zeros((len(one), len(two)))
+    for at in range(0, int(gram[-1]) + 1 if len(gram) else 0, 4096):
+        s = slice(*np.searchsorted(gram, [at, at + 4096]))
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[owner[s], gram[s] - at] = 1
+        both += has[one] @ has[two].T
+    return both >= similarity * (sizes[one][:, None] + sizes[two][None, :] - both)
+
+
+def _blocks(similarity: float):
+    """Rows (cluster, x, y, side, root, text) sorted by (cluster, x, y): links (u, v) between the roots of similar texts."""
+
+    def links(side: list[int], root: list[int], text: list[bytes | None], x: int, y: int) -> pa.RecordBatch:
+        side, root = np.array(side), np.array(root, np.int64)
+        one, two = np.flatnonzero(side == x), np.flatnonzero(side == y)
+        u = v = np.zeros(0, np.int64)
+        if len(one) and len(two):
+            l, r = np.nonzero(_alike([shingle_set(t) for t in text], one, two, similarity))
+            u, v = root[one[l]], root[two[r]]
+            names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+            e = spanning_forest(len(names), at[: len(u)], at[len(u) :], np.zeros(len(u), np.int64))
+            u, v = u[e], v[e]
+        return pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [], [])
+        for b in rows_of(batches, 512):
+            for *cell, side, root, text in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
+                if cell != now:
+                    if now:
+                        yield links(*held, *now[1:])
+                    now, held = cell, ([], [], [])
+                for have, new in zip(held, (side, root, text), strict=True):
+                    have.append(new)
+        if now:
+            yield links(*held, *now[1:])
+
+    return run
+
+
+def left_out_links(edges: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, block: int | None = None) -> DataFrame | None:
+    """Links (u, v) between groups that candidate cells left apart: (node, root) are the groups so far; None if there are none.
+
+    In a cluster the texts outside its largest group are cut into parts that meet each other and all
+    parts of the largest group, so a task holds two parts at a time.
+    """
+    cut = edges.where("cut").select("u", "v")
+    if cut.isEmpty():
+        return None
+    part = F.lit(block or BLOCK)
+    clusters = components(cut, "clusters").withColumnRenamed("root", "cluster")
+    # a root may have no row of its own
+    clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("node"), "cluster")).distinct()
+    members = settle(clusters.join(roots, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root")), "cluster-members")
+    sizes = members.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("groups")).where("groups > 1")
+    p, q = (F.ceil(n / part).cast("int") for n in (F.col("n") - F.col("main.n"), F.col("main.n")))
+    sizes = settle(sizes.select("cluster", F.col("main.root").alias("main"), p.alias("p"), q.alias("q")), "cluster-sizes")
+    if sizes.isEmpty():
+        return None
+    is_main = F.col("root") == F.col("main")
+    spot = F.xxhash64("node")
+    side = F.when(is_main, F.col("p") + F.pmod(spot, F.col("q"))).otherwise(F.pmod(spot, F.col("p"))).cast("int")
+    last = F.when(is_main, F.col("p")).otherwise(F.col("p") + F.col("q")) - 1
+    placed = members.join(sizes, "cluster").select("cluster", "node", "root", side.alias("side"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    cells = placed.join(texts.withColumnRenamed("th", "node"), "node").select("cluster", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "root", "text")
+    dealt = cells.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+    return settle(dealt.mapInArrow(_blocks(similarity), "u bigint, v bigint").where("u <> v"), "left-out-links")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, part: int = PART) -> DataFrame:
     """(doc_id, th, root) per row of ``docs``: th is a hash of the text, root names the group."""
     text = F.col(text_col)
@@ -287,13 +376,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = candidate_edges(own, n, part, similarity)
     ends = own.select(F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("node").alias("u"))
     others = own.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("node").alias("v"))
-    edges = settle(found.join(ends, ["a1", "b1"]).join(others, ["a2", "b2"]).select("u", "v").where("u <> v"), "candidate-edges")
+    edges = settle(found.join(ends, ["a1", "b1"]).join(others, ["a2", "b2"]).select("u", "v", "cut").where("u <> v"), "candidate-edges")
     # texts of the ends, one per text hash
     nodes = edges.select(F.col("u").alias("th")).unionByName(edges.select(F.col("v").alias("th"))).distinct()
     texts = settle(d.select("th", "text").join(nodes, "th", "left_semi").dropDuplicates(["th"]), "edge-texts")
     pairs = edges.join(texts.select(F.col("th").alias("u"), F.col("text").alias("one")), "u").join(texts.select(F.col("th").alias("v"), F.col("text").alias("two")), "v")
     verified = pairs.select("u", "v", "one", "two").mapInArrow(_verify(similarity), "u bigint, v bigint")
-    roots = components(verified, "similar-links").withColumnRenamed("root", "r")
+    roots = components(verified, "similar-links")
+    more = left_out_links(edges, roots, texts, similarity)
+    if more is not None:
+        of = roots.select("node", F.col("root").alias("v")).where("node <> v").withColumnRenamed("node", "u")
+        roots = components(of.unionByName(more), "similar-links")
+    roots = roots.withColumnRenamed("root", "r")
     named = own.join(roots, own["node"] == roots["node"], "left").select("a", "b", F.coalesce("r", own["node"]).alias("root"))
     return rows.join(named, ["a", "b"]).select("doc_id", "th", "root")
 

@@ -115,3 +115,45 @@ def test_tables_reach_the_recall_over_the_whole_spread(prints):
             agree = np.prod([(similar.PRINT_BITS - far - i) / (similar.PRINT_BITS - i) for i in range(bits)])
             met.append((far <= similar.RADIUS) * (1 - (1 - agree) ** tables))
         assert np.mean(met) >= similar.RECALL - 0.02
+
+
+def test_pairs_that_the_forest_of_a_large_cell_left_out_are_linked(spark):
+    """Texts of one large cell whose forest edges are turned down: near copies of one text, two and two alike."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for k in range(60):
+        own = list(base)
+        for at in rng.choice(400, 10, replace=False):
+            own[at] = f"k{k}"
+        rows.append((2 * k, " ".join(own)))
+        for at in rng.choice(400, 8, replace=False):
+            own[at] = f"n{k}"
+        rows.append((2 * k + 1, " ".join(own)))
+    got = similar.similar_groups(spark.createDataFrame(rows, SCHEMA)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.root, set()).add(r.doc_id)
+    want = {frozenset(rows[i][0] for i in g) for g in brute(rows)}
+    assert {frozenset(g) for g in by.values()} == want
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_left_out_links(spark, block):
+    # a-b and b-c are the forest and turned down (0.78); a-c (0.81) was left out
+    common = [f"w{i}" for i in range(300)]
+    a, b, c = list(common), list(common), list(common)
+    for k in range(4):
+        a[20 + 60 * k] = "x"
+        b[40 + 60 * k] = "y"
+        b[10 + 60 * k] = "z"
+        c[22 + 60 * k] = "v"
+    texts = [" ".join(t) for t in (a, b, c)]
+    assert jaccard(texts[0], texts[1]) < 0.8 and jaccard(texts[1], texts[2]) < 0.8 <= jaccard(texts[0], texts[2])
+    near = [(1, texts[0].encode()), (2, texts[1].encode()), (3, texts[2].encode()), (4, b"far away from all others"), (5, b"")]
+    edges = spark.createDataFrame([(1, 2, True), (2, 3, True), (2, 4, True), (4, 5, False)], "u bigint, v bigint, cut boolean")
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    got = similar.left_out_links(edges, roots, spark.createDataFrame(near, "th bigint, text binary"), 0.8, block)
+    assert {frozenset(r) for r in got.collect()} == {frozenset((1, 3))}
+    joined = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1)], "node bigint, root bigint")
+    assert similar.left_out_links(edges, joined, spark.createDataFrame(near, "th bigint, text binary"), 0.8, block) is None
