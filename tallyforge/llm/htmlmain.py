@@ -18,8 +18,8 @@ blocks are joined by one space in page order. Inline tags join their text to the
 
 Defined results: a NULL or empty page gives an empty text; so does one without an article text. A
 NULL url, or one without a host, has no template and is read by step 4 alone, as is a page of a
-host with fewer than MIN_PAGES pages. Repeated rows give repeated results; an empty table gives an
-empty result. Only the three named columns are read.
+host with fewer than MIN_PAGES different pages. Repeated rows give repeated results and count once
+for the template; an empty table gives an empty result. Only the three named columns are read.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from tallyforge.functions.bounds import settle
 from tallyforge.llm.common import rows_of
 
 # A class belongs to the template if at least this share of a host's pages has it, and the host
-# has at least MIN_PAGES pages.
+# has at least MIN_PAGES pages; copies of one page count as one.
 TEMPLATE_SHARE = 0.5
 MIN_PAGES = 3
 # Text inside an article is the site's only if nearly all of many pages have it.
@@ -182,14 +182,20 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, n, template): pages (host, html) condensed to the classes most pages of a host share.
+    """(host, n, template): pages (host, html) condensed to the classes most different pages of a host share.
+
+    Copies are found by hashes alone; only pages that have copies are dealt by page, to keep one of each.
 
     template has (token, class, support) in the order of the tokens' mean places. Sums of two
     32-bit halves of page hashes, weighted by the number of occurrences, stand for the vectors.
     """
     d = pages.where("host is not null").select("host", F.xxhash64("html").alias("page"), "html")
-    counts = d.groupBy("host").agg(F.count("*").alias("n"))
-    seen = d.mapInArrow(_count, "host string, token bigint, page bigint, times bigint, place bigint")
+    copies = settle(d.groupBy("host", "page").agg(F.count("*").alias("copies")), "page-copies")
+    counts = copies.groupBy("host").agg(F.count("*").alias("n"))
+    repeated = settle(copies.where("copies > 1").select("host", "page"), "repeated-pages")
+    single, once = d.join(repeated, ["host", "page"], "left_anti"), d.join(repeated, ["host", "page"], "left_semi").dropDuplicates(["host", "page"])
+    kind = "host string, token bigint, page bigint, times bigint, place bigint"
+    seen = single.mapInArrow(_count, kind).unionByName(once.mapInArrow(_count, kind))
     part = lambda s: F.sum(F.shiftrightunsigned(F.xxhash64("page", "times", F.lit(s)), 32))
     vectors = seen.groupBy("host", "token").agg(part(0).alias("a"), part(1).alias("b"), F.count("*").alias("support"), F.avg("place").alias("place"))
     common = vectors.join(counts, "host").where((F.col("support") >= TEMPLATE_SHARE * F.col("n")) & (F.col("n") >= MIN_PAGES))

@@ -61,6 +61,24 @@ def test_one_article_on_all_pages_of_a_small_host_stays(spark):
     assert set(run(spark, rows).values()) == {"the same story"}
 
 
+@pytest.mark.parametrize("copies", [3, 20])
+@pytest.mark.parametrize("frame", ["<div>{}</div>", "<nav>m</nav><article>{}</article>"])
+def test_copies_of_a_page_are_no_template(spark, copies, frame):
+    page = frame.format("<p>the same story</p><p>told twice</p>")
+    rows = [(i, f"http://only.org/{i}", page) for i in range(copies)]
+    rows += [(100 + i, f"http://most.org/{i}", page) for i in range(copies)]
+    rows += [(200 + i, f"http://most.org/other{i}", frame.format(f"<p>story {i}</p>")) for i in range(copies // 9 + 1)]
+    got = run(spark, rows)
+    assert {got[i] for i in got if i < 200} == {"the same story told twice"}
+    assert all(got[i] == f"story {i - 200}" for i in got if i >= 200)
+
+
+def test_template_counts_each_different_page_once(spark):
+    rows = [(i, f"http://h.org/{i}", f"<div><p>Our site</p></div><div><p>story {i}</p></div>") for i in range(5)]
+    got = run(spark, rows + [(10 + i, f"http://h.org/c{i}", rows[0][2]) for i in range(20)])
+    assert got == {**{i: f"story {i}" for i in range(5)}, **{10 + i: "story 0" for i in range(20)}}
+
+
 def test_classes_need_one_order():
     class T:
         def __init__(self, key):
