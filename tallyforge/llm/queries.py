@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import brown, common, decontaminate, hostrules, htmlmain, langid, mixing, neardup, phrases, pii, sharding
+from tallyforge.llm import brown, centroids, common, decontaminate, hostrules, htmlmain, langid, mixing, neardup, phrases, pii, runs, sharding, tokens
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -149,3 +149,38 @@ def op8_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_pii_surrogates")
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), key="tallyforge-surrogates-1")
+
+
+@query("op11_centroid_clusters", centroids.CLUSTER_SQL)
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    marked = runs.mark_runs(docs, runs.with_planted_runs(F.col("doc_id"), F.col("text")), keep=["doc_id"])
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    best = marked.select("*", runs.longest(F.col("runs")).alias("best"))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+#: The vocabulary whose tokens op13 counts.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@query("op13_token_counts")
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), F.col("text"), public_tokenizers.path(TOKENIZER), keep=["doc_id"])
