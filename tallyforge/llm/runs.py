@@ -31,13 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from tallyforge.llm.common import packed, rows_of, word_array, words_of
 
 LEAST = 6
 TIMES = 4
-RUN = "struct<start:bigint,length:bigint,period:bigint>"
+RUN = StructType().add("start", LongType()).add("length", LongType()).add("period", LongType())
 
 
 def _numbered(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -142,7 +142,7 @@ def mark_runs(docs: DataFrame, text: Column, keep: list[str] | None = None) -> D
     """``keep`` (all) columns of ``docs`` with ``runs`` (array of start, length, period) and ``collapsed``, the text without repeats."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("runs", "collapsed")]
     rows, own = packed(docs, keep, text.cast("binary"))
-    done = rows.mapInArrow(_find, StructType().add("_row", own).add("runs", f"array<{RUN}>").add("collapsed", "binary"))
+    done = rows.mapInArrow(_find, StructType().add("_row", own).add("runs", ArrayType(RUN)).add("collapsed", BinaryType()))
     return done.select(*[F.col("_row")[c].alias(c) for c in keep], "runs", F.decode("collapsed", "UTF-8").alias("collapsed"))
 
 

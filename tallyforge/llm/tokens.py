@@ -31,7 +31,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 from tallyforge.llm.common import packed, rows_of
 
@@ -153,5 +153,5 @@ def count_tokens(docs: DataFrame, text: Column, path: str, keep: list[str] | Non
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     whole = F.coalesce(text, F.lit(""))
     rows, own = packed(docs, keep, whole, F.octet_length(whole).cast("bigint"))
-    done = rows.mapInArrow(_count(path, block), StructType().add("_row", own).add("n_bytes", "bigint").add("n_tokens", "bigint"))
+    done = rows.mapInArrow(_count(path, block), StructType().add("_row", own).add("n_bytes", LongType()).add("n_tokens", LongType()))
     return done.select(*[F.col("_row")[c].alias(c) for c in keep], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
