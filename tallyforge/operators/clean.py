@@ -95,10 +95,16 @@ def cleaning_ledger(m: DataFrame, classes: Classes | None = None) -> DataFrame:
     return rows
 
 
+def existence_marks(idx: DataFrame, listing: DataFrame, key: str, on: str, out: str = "present") -> DataFrame:
+    """Every row of an index with ``out``: whether the listing has its key. One join, one scan per side; a NULL key is absent."""
+    have = listing.select(F.col(on).alias(key)).where(F.col(key).isNotNull()).distinct().withColumn(out, F.lit(True))
+    return idx.join(have, key, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+
+
 def existence_filter(idx: DataFrame, listing: DataFrame, key: str, on: str) -> tuple[DataFrame, DataFrame]:
-    """(present, absent) rows of an index against a listing of stored items."""
-    have = listing.select(F.col(on).alias(key))
-    return idx.join(have, key, "left_semi"), idx.join(have, key, "left_anti")
+    """(present, absent) rows of an index against a listing of stored items; ``existence_marks`` gives both in one pass."""
+    marked = existence_marks(idx, listing, key, on, "_present")
+    return marked.where("_present").drop("_present"), marked.where("not _present").drop("_present")
 
 
 def reconcile_manifest(m: DataFrame, candidates: DataFrame) -> DataFrame:

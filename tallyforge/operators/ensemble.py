@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.bounds import small
+from tallyforge.functions.bounds import attach_row, small
 from tallyforge.functions.vectors import mean_vector, with_softmax
 from tallyforge.operators.metrics import metrics_of
+from tallyforge.operators.score import prior_vector
 
 
 def mean_over(df: DataFrame, keys: Sequence[str], member: str, vector: str, width: int, out: str | None = None) -> DataFrame:
@@ -37,19 +37,58 @@ def ensemble(scores: DataFrame, keys: Sequence[str], how: str, width: int) -> Da
     return d.withColumn("scores", F.transform("probs", lambda p: F.log(p + F.lit(1e-9)))).drop("probs")
 
 
-def subset_members(spark, models: Sequence[str]) -> tuple[DataFrame, int]:
-    """(subset, model) rows for every subset of at least two models, and their number."""
-    rows = []
-    for size in range(2, len(models) + 1):
-        for s in combinations(sorted(models), size):
-            rows += [("+".join(s), m) for m in s]
-    return spark.createDataFrame(rows, "subset string, model string"), len(rows)
+def subset_lattice(scores: DataFrame, models: Sequence[str], keys: Sequence[str], vectors: Sequence[str]) -> DataFrame:
+    """(keys, y, subset, n_members, a mean per vector) for every subset of two or more of ``models``.
+
+    An item's vectors meet once, in one row: the lattice of subsets grows there, a model at a time, each new
+    subset's sum being one addition away from a smaller one. So score rows are shuffled once, by item, for any
+    number of models, and subsets appear after the exchange. An item takes part in the subsets whose
+    members have all scored it. Sums add members in the order of their names.
+    """
+    names = F.array(*[F.lit(m) for m in sorted(set(models))])
+    of = F.struct("model", *vectors)
+    aggs = [F.array_sort(F.collect_list(of)).alias("_m")]
+    if "y" in scores.columns:
+        same = F.min("y") == F.max("y")
+        aggs.append(F.when(same, F.min("y")).otherwise(F.raise_error(F.lit("members disagree on y"))).cast("int").alias("y"))
+    items = scores.where(F.array_contains(names, F.col("model"))).groupBy(*keys).agg(*aggs)
+    none = F.struct(F.lit("").alias("subset"), F.lit(0).alias("n_members"), *[F.array().cast("array<double>").alias(v) for v in vectors])
+
+    def joined(s: Column, m: Column) -> Column:
+        first = s["n_members"] == 0
+        name = F.when(first, m["model"]).otherwise(F.concat(s["subset"], F.lit("+"), m["model"]))
+        sums = [F.when(first, m[v]).otherwise(F.zip_with(s[v], m[v], lambda a, b: a + b)).alias(v) for v in vectors]
+        return F.struct(name.alias("subset"), (s["n_members"] + 1).alias("n_members"), *sums)
+
+    lattice = F.aggregate("_m", F.array(none), lambda have, m: F.concat(have, F.transform(have, lambda s: joined(s, m))))
+    rows = items.select(*keys, *[c for c in ("y",) if c in scores.columns], F.inline(F.filter(lattice, lambda s: s["n_members"] > 1)))
+    return rows.withColumns({v: F.transform(v, lambda x: x / F.col("n_members")) for v in vectors})
+
+
+def _log_vote(v: str) -> Column:
+    return F.transform(v, lambda p: F.log(p + F.lit(1e-9)))
 
 
 def ensemble_subsets(scores: DataFrame, models: Sequence[str], keys: Sequence[str], how: str, width: int) -> DataFrame:
     """Ensembles of every subset of two or more models, keyed by ``subset``."""
-    members, n = subset_members(scores.sparkSession, models)
-    return ensemble(scores.join(small(members, n), "model"), ["subset", *keys], how, width)
+    if how == "logit":
+        return subset_lattice(scores, models, keys, ["scores"])
+    if how != "soft":
+        raise ValueError(f"how is 'soft' or 'logit', got {how!r}")
+    d = subset_lattice(with_softmax(scores), models, keys, ["probs"])
+    return d.withColumn("scores", _log_vote("probs")).drop("probs")
+
+
+def subset_sweep(scores: DataFrame, models: Sequence[str], keys: Sequence[str], log_priors: DataFrame, taus: Sequence[float] = (0, 0.25, 0.5, 0.75)) -> DataFrame:
+    """(keys, y, subset, n_members, how, tau, scores): every subset as a soft vote at each tau of the prior adjustment, and
+    as mean scores (logit, tau 0). Votes and taus spread from the item's one row, behind its one exchange.
+    """
+    both = attach_row(subset_lattice(with_softmax(scores), models, keys, ["probs", "scores"]), prior_vector(log_priors))
+    both = both.withColumn("_soft", _log_vote("probs"))
+    row = lambda how, tau, v: F.struct(F.lit(how).alias("how"), F.lit(float(tau)).alias("tau"), v.alias("scores"))
+    adjusted = lambda tau: F.transform("_soft", lambda s, i: s - F.lit(float(tau)) * F.get("log_priors", i))
+    forms = F.array(*[row("soft", t, adjusted(t)) for t in taus], row("logit", 0, F.col("scores")))
+    return both.select(*[c for c in both.columns if c not in ("probs", "scores", "_soft", "log_priors")], F.inline(forms))
 
 
 def view_average(scores: DataFrame, keys: Sequence[str], view: str, width: int) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tallyforge.functions.bounds import Classes, small
+from tallyforge.functions.bounds import Classes, settle, small
 from tallyforge.functions.skew import join_keyed
+from tallyforge.operators.clean import existence_marks
 from tallyforge.operators.codec import family_of
 
 
@@ -145,6 +146,18 @@ def semi_cache(idx: DataFrame, store: DataFrame, key: str, on: str, tag: str) ->
     return idx.join(have, key, "left_semi").withColumn(key, F.concat(F.lit(f"{tag}::"), F.col(key).cast("string")))
 
 
+def semi_cache_counted(idx: DataFrame, store: DataFrame, key: str, on: str, tag: str) -> tuple[DataFrame, dict[str, int]]:
+    """(rows of ``semi_cache``, settled; {n_rows: all rows of the index, n_dropped: those without a payload}).
+
+    Both come from one pass of one join: the counts are observed while the kept rows are written.
+    """
+    marked = existence_marks(idx, store, key, on, "_has")
+    seen = Observation("semi_cache")
+    counted = marked.observe(seen, F.count("*").alias("n_rows"), F.count_if(~F.col("_has")).alias("n_dropped"))
+    kept = counted.where("_has").drop("_has").withColumn(key, F.concat(F.lit(f"{tag}::"), F.col(key).cast("string")))
+    return settle(kept, "semi-cache"), dict(seen.get)
+
+
 def merge_sources(frames: Sequence[DataFrame], tags: Sequence[str], key: str) -> DataFrame:
     """Union of indexes with tagged keys; columns missing on one side become NULL."""
     out = None

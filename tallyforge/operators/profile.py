@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.bounds import Classes, attach_row
+from tallyforge.functions.bounds import Classes, attach_row, settle
+from tallyforge.functions.quantiles import exact_medians, medians_of
 from tallyforge.functions.skew import join_keyed
 
 
@@ -49,20 +50,18 @@ def dup_summary(m: DataFrame) -> DataFrame:
 
 def class_stats(m: DataFrame, classes: Classes, w: str, h: str, ink: str) -> DataFrame:
     """Per class: sizes, distinct hashes and groups, size medians and ranges, share; zeros if empty."""
-    half = F.lit(0.5)
     per = m.groupBy("class").agg(
         F.count("*").alias("n"),
         F.count_if("ok").alias("n_ok"),
         F.count_distinct("md5").alias("n_unique_md5"),
         F.count_distinct("group").alias("n_groups"),
-        F.percentile(w, half).alias("med_w"),
-        F.percentile(h, half).alias("med_h"),
         F.min(w).alias("min_w"),
         F.max(w).alias("max_w"),
         F.min(h).alias("min_h"),
         F.max(h).alias("max_h"),
         F.round(F.avg(ink), 6).alias("mean_ink"),
     )
+    per = per.join(exact_medians(m, ["class"], {"w": F.col(w), "h": F.col(h)}), "class", "left")
     full = classes.side.join(per, "class", "left")
     full = full.fillna(0, [c for c in per.columns if c != "class"])
     n_train = F.bround(F.lit(0.8) * F.col("n")).cast("bigint")
@@ -81,32 +80,63 @@ def gini(sizes: DataFrame, col: str = "n") -> DataFrame:
         "i", F.row_number().over(Window.orderBy("x"))
     )
     n, total = F.count("*"), F.sum("x")
-    value = 2 * F.sum(F.col("i") * F.col("x")) / (n * total) - (n + 1) / n
+    value = F.try_divide(2 * F.sum(F.col("i") * F.col("x")), n * total) - F.try_divide(n + 1, n)
     return ranked.agg(F.coalesce(F.when(total > 0, value), F.lit(0.0)).alias("gini"))
 
 
 def corpus_summary(
-    m: DataFrame, classes: Classes, w: str, h: str, thresholds: tuple[int, ...] = (50, 10, 5), top: int = 10
+    m: DataFrame, classes: Classes, w: str, h: str, thresholds: tuple[int, ...] = (50, 10, 5), top: int = 10,
+    prefix: Column | None = None, category: Column | None = None, doc: Column | None = None, grey: Column | None = None,
 ) -> DataFrame:
-    """One row: totals, imbalance, Gini, share of the biggest classes, small classes, medians."""
-    sizes = classes.side.join(m.groupBy("class").agg(F.count("*").alias("n")), "class", "left").fillna(0, ["n"])
+    """One row: totals, imbalance, Gini, share of the biggest classes, small classes, medians; rows per class and,
+    where given, per prefix and category as maps (NULL values apart, as n_no_prefix and n_no_category), distinct
+    documents and the mean share of mid-grey.
+
+    All of it comes from one scan: every row counts into one cell of each grouping set, with map-side combine. Cells
+    of documents, groups and sizes may be as many as rows; they are merged, never gathered. Per-prefix and
+    per-category cells fold into one row, so these are for columns with a bounded number of values.
+    """
+    text = lambda name, c: F.struct(F.lit(name).alias("column"), c.cast("string").alias("key"), F.lit(None).cast("double").alias("value"))
+    size = lambda name, c: F.struct(F.lit(name).alias("column"), F.lit(None).cast("string").alias("key"), c.cast("double").alias("value"))
+    asked = {"prefix": prefix, "category": category, "doc": doc}
+    sets = [text("all", F.lit("")), text("class", F.col("class")), text("group", F.col("group")), size("w", F.col(w)), size("h", F.col(h))]
+    sets += [text(name, c) for name, c in asked.items() if c is not None]
+    own = grey.cast("double") if grey is not None else F.lit(None).cast("double")
+    cells = m.select("ok", own.alias("_grey"), F.inline(F.array(*sets))).groupBy("column", "key", "value")
+    measure = F.when(F.col("column") == "all", F.col("_grey"))
+    cells = settle(cells.agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"), F.sum(measure).alias("grey"), F.count(measure).alias("n_grey")), "summary-cells")
+
+    named = cells.where("column = 'class'").select(F.col("key").alias("class"), "n")
+    sizes = classes.side.join(named, "class", "left").fillna(0, ["n"])
     ranked = sizes.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("n"), "class")))
+    folded = lambda name: F.map_from_entries(F.sort_array(F.collect_list(name)))
     from_classes = ranked.agg(
         F.count("*").alias("n_classes"),
-        F.when(F.min("n") > 0, F.round(F.max("n") / F.min("n"), 2)).alias("imbalance"),
-        F.round(100.0 * F.sum(F.when(F.col("_r") <= top, F.col("n"))) / F.sum("n"), 2).alias("top_share_pct"),
+        F.when(F.min("n") > 0, F.round(F.try_divide(F.max("n"), F.min("n")), 2)).alias("imbalance"),
+        F.round(F.try_divide(100.0 * F.sum(F.when(F.col("_r") <= top, F.col("n"))), F.sum("n")), 2).alias("top_share_pct"),
         *[F.count_if(F.col("n") < t).alias(f"n_classes_lt_{t}") for t in thresholds],
-        F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "class", "n"))), ";").alias("per_class"),
-    )
-    totals = m.agg(
-        F.count("*").alias("n_total"),
-        F.count_if("ok").alias("n_ok"),
-        F.count_distinct("group").alias("n_groups"),
-        F.percentile(w, F.lit(0.5)).alias("med_w"),
-        F.percentile(h, F.lit(0.5)).alias("med_h"),
+        folded(F.struct("class", "n")).alias("per_class"),
     )
+    of = lambda name: F.col("column") == name
+    distinct = lambda name: F.count_if(of(name) & F.col("key").isNotNull())
+    entry = lambda name: F.when(of(name) & F.col("key").isNotNull(), F.struct("key", "n"))
+    zero = F.lit(0).cast("bigint")
+    facts = [
+        F.coalesce(F.max(F.when(of("all"), F.col("n"))), zero).alias("n_total"),
+        F.coalesce(F.max(F.when(of("all"), F.col("n_ok"))), zero).alias("n_ok"),
+        distinct("group").alias("n_groups"),
+    ]
+    for name in ("prefix", "category"):
+        if asked[name] is not None:
+            facts.append(folded(entry(name)).alias(f"per_{name}"))
+            facts.append(F.coalesce(F.sum(F.when(of(name) & F.col("key").isNull(), F.col("n"))), zero).alias(f"n_no_{name}"))
+    if doc is not None:
+        facts.append(distinct("doc").alias("n_docs"))
+    if grey is not None:
+        facts.append(F.round(F.try_divide(F.sum("grey"), F.sum("n_grey")), 4).alias("mid_grey"))
+    medians = medians_of(cells.where("column in ('w', 'h')").select("column", "value", "n"), [], ["w", "h"])
     g = gini(sizes).select(F.round("gini", 4).alias("gini"))
-    return attach_row(attach_row(totals, from_classes), g)
+    return attach_row(attach_row(attach_row(cells.agg(*facts), medians), from_classes), g)
 
 
 def grouped_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -177,11 +207,9 @@ def compare_distributions(real: DataFrame, other: DataFrame, cls: str, col: str,
     """Per class: medians and means of both sides, and whether the medians agree within ``tol``."""
 
     def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.groupBy(F.col(cls).alias("class")).agg(
-            F.count("*").alias(f"n_{tag}"),
-            F.percentile(col, F.lit(0.5)).alias(f"med_{tag}"),
-            F.round(F.avg(col), 4).alias(f"mean_{tag}"),
-        )
+        per = df.groupBy(F.col(cls).alias("class")).agg(F.count("*").alias(f"n_{tag}"), F.round(F.avg(col), 4).alias(f"mean_{tag}"))
+        medians = exact_medians(df.select(F.col(cls).alias("class"), F.col(col).alias("_v")), ["class"], {tag: F.col("_v")})
+        return per.join(medians, "class", "left")
 
     both = side(real, "real").join(side(other, "other"), "class")
     ratio = F.col("med_other") / F.col("med_real")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.bounds import Classes, attach_row, small
 from tallyforge.functions.hashing import hash_hex, uniform
-from tallyforge.functions.ranking import hash_rank, take_in_hash_order
+from tallyforge.functions.ranking import RankIndex, take_in_hash_order
 
 
 def class_counts(df: DataFrame, classes: Classes, cls: str) -> DataFrame:
@@ -105,19 +105,22 @@ def range_draw(draws: DataFrame, u: str, cdf: DataFrame) -> DataFrame:
 
 
 def weighted_resample(
-    df: DataFrame, classes: Classes, cls: str, key: str, n: int, power: float, cap: float = 10.0, seed: int = 42
+    df: DataFrame, classes: Classes, cls: str, key: str, n: int | None, power: float, cap: float = 10.0, seed: int = 42
 ) -> DataFrame:
-    """n draws with replacement: class by its mass, then a row of the class by rank."""
-    spark = df.sparkSession
+    """n draws with replacement (as many as rows for None): class by its mass, then a row of the class by rank.
+
+    A ``RankIndex`` leads from the rank to the bucket of the row; rows of buckets without a draw stay where they are.
+    """
+    index = RankIndex(df, cls, key, seed, classes.rows)
     cdf = class_cdf(weight_table(class_counts(df, classes, cls), power, cap))
+    ids = index.numbers("id") if n is None else df.sparkSession.range(n)
     h = hash_hex(seed, F.lit("draw"), F.col("id"))
-    draws = spark.range(n).withColumn("_h", h)
+    draws = ids.withColumn("_h", h)
     draws = draws.select(F.col("id").alias("draw"), uniform(F.col("_h"), 1).alias("u1"), uniform(F.col("_h"), 9).alias("u2"))
     chosen = range_draw(draws, "u1", cdf).select(
         "draw", F.col("class").alias(cls), (F.floor(F.col("u2") * F.col("n")) + 1).alias("rank")
     )
-    ranked = hash_rank(df, cls, key, seed)
-    return chosen.join(ranked, [cls, "rank"]).drop("rank")
+    return index.rows_at(chosen, "rank").drop("rank")
 
 
 def class_weights(counts: DataFrame, power: float) -> DataFrame:

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.bounds import Classes, attach_row, small
-from tallyforge.functions.hashing import hash_hex
-from tallyforge.functions.ranking import cutoff_number, hash_cutoffs, hash_rank, take_in_hash_order
+from tallyforge.functions.ranking import cutoff_number, hash_cutoffs, hash_rank, smallest_hashes, take_in_hash_order
 
 
 def val_quota(n: Column, frac: float = 0.2) -> Column:
@@ -34,34 +33,37 @@ def stratified_split(
     return marked.withColumn("split", F.when(F.col("_val"), "val").otherwise("train")).drop("_val")
 
 
-def group_holdout_groups(
-    df: DataFrame, grp: str, k: int = 4, draws: int = 200, target: float = 0.2, seed: int = 42
+def group_holdout_draws(
+    df: DataFrame, grp: str, k: int = 4, draws: int = 200, target: float = 0.2, seeds: Sequence[object] = (42,)
 ) -> DataFrame:
-    """The k groups of the seeded draw whose row share is closest to the target; first draw wins.
+    """(seed, grp, draw, held, total): for each seed the k groups of the draw whose row share is closest to the target.
 
-    Every draw takes the k groups with the smallest hash. Spark limits each partition to k
-    groups per draw before the exchange, so only draws x k groups move.
+    Every draw takes the k groups with the smallest hash; the first draw wins ties. All draws of all seeds
+    share one aggregation of the group sizes (``smallest_hashes``).
     """
     sizes = df.groupBy(F.col(grp).alias("grp")).agg(F.count("*").alias("n"))
-    tries = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    tries = tries.withColumn("_h", hash_hex(seed, F.col("draw"), F.col("grp")))
-    order = Window.partitionBy("draw").orderBy("_h", "grp")
-    picked = tries.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
-    # draws x k rows from here on
+    picked = smallest_hashes(sizes, k, draws, seeds)
+    # seeds x draws x k rows from here on
     total = sizes.agg(F.sum("n").alias("total"))
-    per_draw = picked.groupBy("draw").agg(
-        F.sum("n").alias("held"), F.collect_list("grp").alias("groups")
-    )
-    best = attach_row(per_draw, total).agg(
+    per_draw = picked.groupBy("seed", "draw").agg(F.sum("n").alias("held"), F.collect_list(F.struct("grp")).alias("groups"))
+    best = attach_row(per_draw, total).groupBy("seed").agg(
         F.min_by(
             F.struct("draw", "groups", "held", "total"),
             F.struct(F.abs(F.col("held") / F.col("total") - F.lit(target)), F.col("draw")),
         ).alias("_b")
     )
-    return best.select(
-        F.explode("_b.groups").alias("grp"), F.col("_b.draw").alias("draw"),
+    out = best.select(
+        "seed", F.explode("_b.groups.grp").alias("grp"), F.col("_b.draw").alias("draw"),
         F.col("_b.held").alias("held"), F.col("_b.total").alias("total"),
     )
+    return out.withColumn("grp", F.col("grp").cast(df.schema[grp].dataType))
+
+
+def group_holdout_groups(
+    df: DataFrame, grp: str, k: int = 4, draws: int = 200, target: float = 0.2, seed: int = 42
+) -> DataFrame:
+    """The k groups of the seeded draw whose row share is closest to the target; first draw wins."""
+    return group_holdout_draws(df, grp, k, draws, target, (seed,)).drop("seed")
 
 
 def group_holdout_split(
@@ -122,10 +124,7 @@ def seeded_splits(
     d = d.withColumn("_sc", F.concat_ws(":", "seed", cls))
     cuts = hash_cutoffs(d, "_sc", key, lambda n: [val_quota(n)], F.col("seed"), rows=None if rows is None else rows * len(seeds))
     d = stratified_split(d, "_sc", key, F.col("seed"), rows=None if rows is None else rows * len(seeds), cutoffs=cuts).drop("_sc")
-    held = None
-    for s in seeds:
-        one = group_holdout_groups(df, grp, k, seed=s).select(F.lit(s).alias("seed"), F.col("grp").alias(grp), F.lit("val").alias("doc_split"))
-        held = one if held is None else held.unionByName(one)
+    held = group_holdout_draws(df, grp, k, seeds=seeds).select(F.col("seed").cast(d.schema["seed"].dataType).alias("seed"), F.col("grp").alias(grp), F.lit("val").alias("doc_split"))
     out = d.join(small(held, k * len(seeds)), ["seed", grp], "left")
     return out.withColumn("doc_split", F.coalesce("doc_split", F.lit("train")))
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.bounds import Classes, attach_row
+from tallyforge.functions.bounds import Classes, attach_row, settle
+from tallyforge.functions.quantiles import medians_of, value_cells
 from tallyforge.operators.raster import _ring, normalise_rasters, sharpness
 
 
@@ -34,20 +35,16 @@ def describe_batch(df: DataFrame) -> DataFrame:
     """One row of medians: size, ink share of the cropped glyph, grey levels, sharpness; and the
     share of dark borders.
 
-    Ink is rounded to 4 digits and sharpness to whole units, so the exact medians count a
-    bounded number of distinct values however many images there are.
+    One scan counts how often each value occurs; medians are read off these counts by ranges of values
+    (``quantiles.medians_of``), so any number of images and of distinct values will do.
     """
     d = normalise_rasters(df.withColumn("_dark", _ring(F.col("pixels"), corners_twice=True) < 127.5), polarity="none")
-    half = F.lit(0.5)
-    return d.agg(
-        F.count("*").alias("n_images"),
-        F.percentile("h", half).alias("median_height"),
-        F.percentile("w", half).alias("median_width"),
-        F.percentile(F.round("ink_frac", 4), half).alias("median_ink_frac"),
-        F.percentile(F.size(F.array_distinct("pixels")), half).alias("median_levels"),
-        F.avg(F.col("_dark").cast("int")).alias("share_dark_border"),
-        F.percentile(sharpness(), half).alias("median_sharpness"),
-    )
+    columns = {"height": F.col("h"), "width": F.col("w"), "ink_frac": F.round("ink_frac", 4), "levels": F.size(F.array_distinct("pixels")), "sharpness": sharpness()}
+    cells = settle(value_cells(d, [], columns | {"all": F.lit(0), "dark": F.col("_dark").cast("int")}), "batch-values")
+    of = lambda name, c: F.coalesce(F.sum(F.when(F.col("column") == name, c)), F.lit(0))
+    known = of("dark", F.when(F.col("value").isNotNull(), F.col("n")))
+    facts = cells.agg(of("all", F.col("n")).cast("bigint").alias("n_images"), F.try_divide(of("dark", F.col("n") * F.col("value")), known).alias("share_dark_border"))
+    return attach_row(facts, medians_of(cells, [], list(columns), "median_{}"))
 
 
 def view_probe(pred: DataFrame, keys: Sequence[str], by: Sequence[str], view: str, tau: float = 0.85, near: int = 15) -> DataFrame:

@@ -282,6 +282,22 @@ _subset_query("ensemble_subsets", "soft")
 _subset_query("ensemble_subsets_logit", "logit")
 
 
+SUBSET_SWEEP = ",\n".join((
+    S.PRED, _PRIOR,
+    f"en AS (SELECT subset, item_id, 'all' AS model, y, y_class, class, label, ln(avg(p) + 1e-9::DOUBLE) AS soft, avg(score) AS logit, max(known) AS known FROM pdb JOIN {_SUBSETS} ON s.member = pdb.model GROUP BY subset, item_id, y, y_class, class, label)",
+    """ew AS (SELECT en.* EXCLUDE (soft, logit), 'soft' AS how, t.tau, soft - t.tau * lpv.lp AS score FROM en JOIN lpv USING (label) CROSS JOIN (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75)) t(tau)
+           UNION ALL SELECT en.* EXCLUDE (soft, logit), 'logit', 0.0::DOUBLE, logit FROM en)""",
+    S.pred_sql("ew", "item_id, subset, how, tau", "pe"),
+))
+
+
+@query("ensemble_subset_sweep", with_blocks(rounded_sql(S.metrics_sql("pe", "subset, how, tau", S.MINORITY, 2), "subset, how, tau", "top1,balanced_acc,macro_f1,minority_acc", "n"), SUBSET_SWEEP))
+def ensemble_subset_sweep(spark, sf):
+    d = ensemble.subset_sweep(S.scores(spark, sf), _MODELS, ["item_id"], log_priors(spark, sf), _TAUS)
+    m = metrics.compute_metrics(d, ["subset", "how", "tau"], S.train_counts(spark, sf), S.dim(spark, sf).rows, S.MINORITY, 2)
+    return m.select("subset", "how", "tau", "n", *r6("top1", "balanced_acc", "macro_f1", "minority_acc"))
+
+
 @query(
     "view_average",
     with_blocks(

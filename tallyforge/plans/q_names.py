@@ -228,9 +228,14 @@ def anti_conflicts(spark, sf):
     return overlay.drop_groups(d, bad, "h", "doc_id").select("doc_id", "source")
 
 
-@query("semi_cache", "SELECT 'docs::' || doc_id AS doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+@query(
+    "semi_cache",
+    """SELECT 'docs::' || doc_id AS doc_id, lang, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS n_dropped
+       FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""",
+)
 def semi_cache(spark, sf):
-    return overlay.semi_cache(C.documents(spark, sf).select("doc_id", "lang"), table(spark, sf, "labels"), "doc_id", "doc_id", "docs")
+    kept, counts = overlay.semi_cache_counted(C.documents(spark, sf).select("doc_id", "lang"), table(spark, sf, "labels"), "doc_id", "doc_id", "docs")
+    return kept.withColumn("n_dropped", F.lit(counts["n_dropped"]).cast("bigint"))
 
 
 @query(
@@ -251,9 +256,8 @@ def merge_sources(spark, sf):
 )
 def existence_filter(spark, sf):
     idx = C.documents(spark, sf).select("doc_id", "lang")
-    present, absent = clean.existence_filter(idx, table(spark, sf, "labels"), "doc_id", "doc_id")
-    both = present.select("lang", F.lit(1).alias("p")).unionByName(absent.select("lang", F.lit(0).alias("p")))
-    return both.groupBy("lang").agg(F.count_if(F.col("p") == 1).alias("n_present"), F.count_if(F.col("p") == 0).alias("n_absent"))
+    marked = clean.existence_marks(idx, table(spark, sf, "labels"), "doc_id", "doc_id")
+    return marked.groupBy("lang").agg(F.count_if("present").alias("n_present"), F.count_if(~F.col("present")).alias("n_absent"))
 
 
 @query(

@@ -138,7 +138,13 @@ def gini(spark, sf):
              (SELECT round(100.0::DOUBLE * sum(n) FILTER (r <= 2) / sum(n), 2) FROM cs) AS top_share_pct,
              (SELECT count(*) FILTER (n < 150) FROM cs) AS n_classes_lt_150, (SELECT count(*) FILTER (n < 120) FROM cs) AS n_classes_lt_120,
              (SELECT string_agg(class || '=' || n, ';' ORDER BY class) FROM cs) AS per_class,
-             (SELECT round(2 * sum(i * n) / (count(*) * sum(n))::DOUBLE - (count(*) + 1) / count(*)::DOUBLE, 4) FROM cs) AS gini
+             (SELECT round(2 * sum(i * n) / (count(*) * sum(n))::DOUBLE - (count(*) + 1) / count(*)::DOUBLE, 4) FROM cs) AS gini,
+             (SELECT string_agg(k || '=' || n, ';' ORDER BY k) FROM (SELECT left(grp, 4) AS k, count(*) AS n FROM m GROUP BY ALL) WHERE k IS NOT NULL) AS per_prefix,
+             count(*) FILTER (grp IS NULL) AS n_no_prefix,
+             (SELECT string_agg(k || '=' || n, ';' ORDER BY k) FROM (SELECT CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 2000 THEN 'middle' ELSE 'long' END AS k, count(*) AS n FROM m GROUP BY ALL)) AS per_category,
+             0::BIGINT AS n_no_category,
+             count(DISTINCT key // 10) AS n_docs,
+             round(avg(n_chars / bytes::DOUBLE), 4) AS mid_grey
            FROM m""",
         C.MANIFEST,
         """cs AS (SELECT lang AS class, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, lang) AS r,
@@ -148,7 +154,14 @@ def gini(spark, sf):
 def corpus_summary(spark, sf):
     d = C.documents(spark, sf)
     m = clean.manifest(d, "doc_id", "lang", "source", "text", ok=F.col("n_chars") >= C.MIN_CHARS, extra=["n_chars"])
-    return profile.corpus_summary(m, C.langs(spark, sf), "n_chars", "bytes", thresholds=(150, 120), top=2)
+    kind = F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 2000, "middle").otherwise("long")
+    d = profile.corpus_summary(
+        m, C.langs(spark, sf), "n_chars", "bytes", thresholds=(150, 120), top=2,
+        prefix=F.substring("group", 1, 4), category=kind, doc=F.floor(F.col("key") / 10), grey=F.col("n_chars") / F.col("bytes"),
+    )
+    # maps as text, in the order of their keys, so that any engine can compare them
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return d.withColumns({c: listed(c) for c in ("per_class", "per_prefix", "per_category")})
 
 
 @query(

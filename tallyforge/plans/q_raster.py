@@ -179,12 +179,12 @@ def verdict(spark, sf):
 
 @query("write_ragged", with_blocks("SELECT label::BIGINT AS label, count(*) AS n, sum(p)::BIGINT AS total FROM px GROUP BY label", PX).replace("count(*) AS n", "count(DISTINCT vec_id) AS n"))
 def write_ragged(spark, sf):
-    from tallyforge.sources.sinks import write_glyphs
+    from tallyforge.sources.sinks import glyph_rows, write_glyphs
 
     path = scratch_path(spark, "glyphs")
     write_glyphs(rasters(spark, sf), path, ["vec_id", "label"])
     total = F.aggregate("pixels", F.lit(0).cast("bigint"), lambda a, p: a + p)
-    return spark.read.parquet(path).groupBy(*big("label")).agg(F.count("*").alias("n"), F.sum(total).alias("total"))
+    return glyph_rows(spark, path).groupBy(*big("label")).agg(F.count("*").alias("n"), F.sum(total).alias("total"))
 
 
 @query("read_ragged_by_key", with_blocks("SELECT vec_id, sum(p)::BIGINT AS total FROM px WHERE vec_id IN (SELECT doc_id FROM labels) GROUP BY vec_id", PX))

@@ -252,7 +252,7 @@ def range_draw(spark, sf):
 def weighted_resample(spark, sf):
     d = C.documents(spark, sf).select("doc_id", "lang")
     # as many draws as rows, like one epoch
-    return sample.weighted_resample(d, C.langs(spark, sf), "lang", "doc_id", d.count(), 0.5)
+    return sample.weighted_resample(d, C.langs(spark, sf), "lang", "doc_id", None, 0.5)
 
 
 @query("class_weights", with_blocks("SELECT class, n, round(pow(n, -0.5::DOUBLE) / (SELECT avg(pow(n, -0.5::DOUBLE)) FROM cc), 6) AS weight FROM cc", _COUNTS))

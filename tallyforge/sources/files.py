@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import csv
-import io
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,16 +65,20 @@ def collect_runs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def _parsed_runs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(path, text, run) of every record: a file is one record in any layout, or one record per line."""
+    """(path, text, run) of every record: a file is one record in any layout, or one record per line.
+
+    A file that parses as one record is one; only another is cut at its lines.
+    """
     whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    parsed = lambda c: F.from_json(c, RUN_SCHEMA + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(F.regexp_replace(x, "\r", ""))), lambda x: x != "")
     brace = lambda x, end: x.startswith("{") & x.endswith(end)
-    # a file of records one to a line has them on their lines; a damaged line among them is a record too
-    by_line = (F.size(lines) > 1) & F.exists(lines, lambda x: brace(x, "}"))
+    one = F.from_json("value", "exp_id string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    # a file of records one to a line parses as its first record: its first line is whole
+    by_line = (F.size(lines) > 1) & (brace(F.get(lines, F.lit(0)), "}") | (one["_bad"].isNotNull() & F.exists(lines, lambda x: brace(x, "}"))))
     texts = F.when(by_line, lines).otherwise(F.array("value"))
     rows = whole.select(F.col("_metadata.file_path").alias("path"), F.explode(texts).alias("text")).where(F.trim("text") != "")
-    parsed = F.from_json("text", RUN_SCHEMA + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return rows.withColumn("run", parsed)
+    return rows.withColumn("run", parsed(F.col("text")))
 
 
 _GOOD = "run is not null and run._bad is null and run.exp_id is not null and run.cfg is not null"
@@ -119,32 +122,47 @@ def epoch_logs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Per-run epoch tables as one: numbers coerced (bad ones NULL), averaged-model columns optional,
     ``exp_id`` from the folder of the file."""
     raw = _csv_by_name(spark, path, EPOCH_FIELDS)
-    exp = F.element_at(F.split("_file", "/"), -2)
+    # file names are given as URLs
+    exp = F.url_decode(F.replace(F.element_at(F.split("_file", "/"), -2), F.lit("+"), F.lit("%2B")))
     # a folder written as exp_id=<name> or just <name>
     numbers = [_number(F.col(c)).alias(c) for c in EPOCH_FIELDS if c != "epoch"]
     return raw.select(F.regexp_replace(exp, "^exp_id=", "").alias("exp_id"), F.col("epoch").try_cast("int").alias("epoch"), *numbers)
 
 
-def _csv_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (path, content) of CSV files to (path, row): the cells by the names of the file's own header."""
-    kind = pa.map_(pa.string(), pa.string())
-    for b in batches:
-        for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            lines = csv.reader(io.StringIO((content or b"").decode("utf-8-sig", "replace"), newline=""))
-            head = [x.strip() for x in next(lines, [])]
-            rows = [[(k, v) for k, v in dict(zip(head, line, strict=False)).items() if v != ""] for line in lines if line]
-            yield pa.record_batch([pa.array([path] * len(rows), pa.string()), pa.array(rows, kind)], names=["_file", "_row"])
+def csv_headers(spark: SparkSession, path: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Column names to the files that have them: the first line of each file, found where its first block begins.
+
+    One pass of Spark's text reader; what comes to the driver is a line per file, as its list of files does.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    seen = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("id"))
+    heads = seen.where("start = 0").groupBy("file").agg(F.min_by("value", "id").alias("head"))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for r in heads.collect():
+        names = next(csv.reader([r["head"].removeprefix("\ufeff")]), [])
+        groups.setdefault(tuple(x.strip() for x in names), []).append(r["file"])
+    return groups
 
 
 def _csv_by_name(spark: SparkSession, path: str | Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Columns of CSV files by the name in each file's own header, as text, with ``_file``; missing ones are NULL.
 
-    Files may differ in columns and their order. A file is read by one task; logs and result tables are
-    small, a file of 2 GiB or more fails.
+    Files may differ in columns and their order: those with the same header are read together by Spark's
+    reader, which splits large files, and the groups are joined by name. Of columns with the same name
+    the last counts; a cell does not span lines.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    rows = raw.select("path", "content").mapInArrow(_csv_rows, "_file string, _row map<string,string>")
-    return rows.select(*[F.col("_row")[c].alias(c) for c in fields], "_file")
+    out = None
+    for names, paths in sorted(csv_headers(spark, path).items()):
+        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(max(len(names), 1))])
+        reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("recursiveFileLookup", "true")
+        place = {name: i for i, name in enumerate(names)}
+        cells = [F.nullif(F.col(f"_c{place[c]}"), F.lit("")).alias(c) for c in fields if c in place]
+        own = reader.csv([unquote(p) for p in paths]).select(*cells, F.col("_metadata.file_path").alias("_file"))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    if out is None:
+        out = spark.createDataFrame([], T.StructType([T.StructField("_file", T.StringType())]))
+    missing = {c: F.lit(None).cast("string") for c in fields if c not in out.columns}
+    return out.withColumns(missing).select(*fields, "_file")
 
 
 def load_experiments(spark: SparkSession, path: str | Sequence[str], defaults: Mapping[str, object] = EXPERIMENT_DEFAULTS) -> DataFrame:

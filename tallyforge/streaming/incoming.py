@@ -1,6 +1,7 @@
-"""Incoming items as a stream: naming, labelling and prediction are row-local and keep no state.
+"""Incoming items as a stream.
 
-Ranks, exact medians and metrics need a whole batch; ``triage_batches`` runs them per
+Naming, labelling (``codec.join_class_dim``) and prediction (``score.predict``) are row-local, keep no state and
+take a stream as it is. Ranks, exact medians and metrics need a whole batch; ``triage_batches`` runs them per
 micro-batch.
 """
 
@@ -11,20 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
-from tallyforge.functions.bounds import Classes
-from tallyforge.operators.codec import join_class_dim
-from tallyforge.operators.score import predict
-
-
-def label_stream(items: DataFrame, cls: str, classes: Classes) -> DataFrame:
-    """Stream-static join with the class dimension."""
-    return join_class_dim(items, cls, classes, "left")
-
-
-def predict_stream(scores: DataFrame) -> DataFrame:
-    """Prediction columns for a stream of score vectors."""
-    return predict(scores)
-
 
 def triage_batches(items: DataFrame, triage: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> DataStreamWriter:
     """Write ``triage(micro-batch)`` for every micro-batch, one folder per batch id (replays overwrite it)."""

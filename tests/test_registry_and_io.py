@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.bounds import Classes
 from tallyforge.operators import registry
+from tallyforge.operators.codec import join_class_dim
 from tallyforge.sources import files, sinks
 from tallyforge.streaming import incoming
 
@@ -121,7 +122,7 @@ def test_reports(spark, tmp_path):
 def test_stream_of_items(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "q")], "id int, c string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id int, c string").parquet(str(tmp_path / "in"))
-    named = incoming.label_stream(stream, "c", Classes.of(spark, ["a", "b"]))
+    named = join_class_dim(stream, "c", Classes.of(spark, ["a", "b"]), "left")
     out = str(tmp_path / "out")
     q = incoming.triage_batches(named, lambda b: b.groupBy("label").count(), out, str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
