@@ -1,21 +1,26 @@
 """Shards of nearly equal size by sampled splitters.
 
-Records are ordered by a key (the hash of the text, so equal texts are neighbours):
+Records are ordered by a key (the hash of the text, so equal texts are neighbours), then by a hash of the row:
 
-1. A sample of keys is drawn in which a record's chance grows with its size: OVERSAMPLE x RANGES
+1. One narrow pass writes (key, row hash, size) of every record; all planning reads this table, 20 bytes a record.
+2. A sample of keys is drawn in which a record's chance grows with its size: OVERSAMPLE x RANGES
    keys in expectation, whatever the table's size.
-2. Its quantiles are the splitters of RANGES ranges. A key that fills several quantiles becomes a
+3. Its quantiles are the splitters of RANGES ranges. A key that fills several quantiles becomes a
    range of its own.
-3. The records are range-partitioned. Exact counts then subdivide overfull ranges: first by the
-   key's place within the range, and what is still above ``cell_rows`` (copies of one text) by
-   the hash of the record's number. So no task sorts more than about ``cell_rows`` records.
-4. The exact size before each cell and, within the cell, before each record places the record on
-   the line of all bytes. Its midpoint decides the shard: shard sizes differ from the fair share
-   by no more than the largest record, and a group of equal texts is cut only where a shard ends.
+4. Exact counts subdivide overfull ranges into cells: first by the key's place within the range, and what is still
+   above ``cell_rows`` (copies of one text) by the hash of the row. So no task sorts more than about
+   ``cell_rows`` records, unless fully equal rows are more than that: they share a cell.
+5. The exact size before each cell places the cells on the line of all bytes. The slot at which a shard begins
+   follows from the cells before it and from the records of the one cell in which it begins.
+6. The wide rows are shuffled once, by cell. The size before a record within its cell places it on the line, and
+   its midpoint decides the shard: shard sizes differ from the fair share by no more than the largest
+   record, and a group of equal texts is cut only where a shard ends. No text is written but by the caller.
 
 Defined results: a NULL or empty text has size 1; rows with a NULL id and repeated rows are records
-like any other, each with its own slot; an empty table gives an empty result. Shards may be empty
-if there are fewer records than shards. Output columns replace carried columns of the same name.
+like any other, each with its own slot (which of two fully equal rows gets which slot is open); an empty table
+gives an empty result. Ties of the key are ordered by the hash of the row. Very long texts are records like any
+other; only their size is summed. Shards may be empty if there are fewer records than shards. Output
+columns replace carried columns of the same name.
 """
 
 from __future__ import annotations
@@ -44,10 +49,10 @@ def _range_of(key: Column, splitters: list[int]) -> Column:
 
 
 def find_splitters(records: DataFrame, total: int, ranges: int = RANGES, seed: int = 1) -> list[int]:
-    """At most 2 x ``ranges`` sorted splitters of ``records`` (_n, _key, size)."""
+    """At most 2 x ``ranges`` sorted splitters of ``records`` (_key, _h, size)."""
     if not total:
         return []
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_n", "_key"), 11).cast("double") / float(1 << 53)
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_h", "_key"), 11).cast("double") / float(1 << 53)
     drawn = records.select("_key", F.floor(F.col("size") * (OVERSAMPLE * ranges / total) + u).alias("t")).where("t > 0")
     sample = sorted((r._key, r.t) for r in drawn.groupBy("_key").agg(F.sum("t").alias("t")).collect())
     goal, step, out = 0.0, sum(t for _, t in sample) / ranges, []
@@ -62,63 +67,94 @@ def find_splitters(records: DataFrame, total: int, ranges: int = RANGES, seed: i
     return sorted(set(out))
 
 
+CELL = ["_range", "_sub", "_cell"]
+
+
+def _placed(records: DataFrame, splitters: list[int], per_range: DataFrame, full: DataFrame) -> DataFrame:
+    """``records`` (_key, _h) with their cell."""
+    placed = records.withColumn("_range", _range_of(F.col("_key"), splitters)).join(F.broadcast(per_range), "_range")
+    wide = F.greatest(F.col("_high").cast("double") - F.col("_low").cast("double"), F.lit(1.0))
+    share = (F.col("_key").cast("double") - F.col("_low").cast("double")) / wide
+    placed = placed.withColumn("_sub", F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1).cast("bigint")).drop("_low", "_high", "_parts")
+    spot = F.coalesce(F.pmod(F.col("_h"), F.col("_copies")), F.lit(0).cast("bigint"))
+    return placed.join(full, ["_range", "_sub"], "left").withColumn("_cell", spot).drop("_copies")
+
+
+def _shard_of(middle: Column, total: int, shards: int) -> Column:
+    """The shard of a point on the line, given as twice its place in bytes."""
+    return F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(2 * max(total, 1)))).cast("int")
+
+
+def _run(placed: DataFrame) -> DataFrame:
+    """Bytes and records of the cell before each record, as _b and _r."""
+    own = Window.partitionBy(*CELL).orderBy("_key", "_h")
+    return placed.withColumn("_r", F.row_number().over(own) - 1).withColumn("_b", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+
+
+def first_slots(placed: DataFrame, starts: DataFrame, total: int, shards: int) -> list[int]:
+    """The number of records before each shard; ``starts`` has the records and bytes before and in each cell."""
+    low, high = _shard_of(2 * F.col("_b0") + 1, total, shards), _shard_of(2 * (F.col("_b0") + F.col("_bytes")) - 1, total, shards)
+    cells = starts.withColumn("_low", low).withColumn("_high", high)
+    whole = [F.coalesce(F.max(F.when(F.col("_high") < s, F.col("_r0") + F.col("_rows"))), F.lit(0)).alias(f"s{s}") for s in range(shards)]
+    before = list(cells.agg(*whole).first())
+    # at most one cell a shard is cut
+    cut = F.broadcast(cells.where("_low < _high").select(*CELL, "_b0", "_r0"))
+    inner = _run(placed.select(*CELL, "_key", "_h", "size").join(cut, CELL, "left_semi")).join(cut, CELL)
+    inner = inner.select((F.col("_r0") + F.col("_r") + 1).alias("upto"), _shard_of(2 * (F.col("_b0") + F.col("_b")) + F.col("size"), total, shards).alias("shard"))
+    found = {r["shard"]: r["upto"] for r in inner.groupBy("shard").agg(F.max("upto").alias("upto")).collect()}
+    return [max([before[s], *(n for shard, n in found.items() if shard < s)]) for s in range(shards)]
+
+
 def shard_records(docs: DataFrame, shards: int = 16, keep: list[str] | None = None, text_col: str = "text", ranges: int = RANGES, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with size, text_crc32, law, shard, slot (from 0 in each shard) and grown_shard (NULL)."""
+    """The columns ``keep`` of ``docs`` with size, text_crc32, law, shard, slot (from 0 in each shard) and grown_shard (NULL).
+
+    ``docs`` is read twice: once for keys and sizes, once for the rows.
+    """
     added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    records = settle(
-        docs.select(
-            F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"),
-            (F.octet_length(text) + 1).cast("bigint").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.xxhash64(text).alias("_key"),
-            F.monotonically_increasing_id().alias("_n"),
-        ),
-        "records",
-    )
+    hashed = [F.col(f"`{c}`") for c in keep if "map<" not in (kind := docs.schema[c].dataType.simpleString()) and "variant" not in kind]
+    columns = [F.xxhash64(text).alias("_key"), F.xxhash64(F.lit(7), *hashed).alias("_h"), (F.octet_length(text) + 1).cast("bigint").alias("size")]
+    records = settle(docs.select(*columns), "record-sizes")
     total = records.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     splitters = find_splitters(records, total, ranges)
 
     # ranges and their cells, from exact counts; there are at most 2 x ranges + 1 ranges
-    placed = records.withColumn("_range", _range_of(F.col("_key"), splitters))
-    per_range = placed.groupBy("_range").agg(F.count("*").alias("_rows"), F.min("_key").alias("_low"), F.max("_key").alias("_high"))
-    wide = F.greatest(F.col("_high").cast("double") - F.col("_low").cast("double"), F.lit(1.0))
-    share = (F.col("_key").cast("double") - F.col("_low").cast("double")) / wide
-    parts = F.ceil(F.col("_rows") / F.lit(cell_rows))
-    placed = placed.join(F.broadcast(per_range), "_range").withColumn("_sub", F.least(F.floor(share * parts), parts - 1).cast("bigint"))
-    placed = placed.drop("_rows", "_low", "_high")
-    full = placed.groupBy("_range", "_sub").agg(F.ceil(F.count("*") / F.lit(cell_rows)).alias("_parts"))
-    full = full.where("_parts > 1")
-    spot = F.coalesce(F.pmod(F.xxhash64("_n"), F.col("_parts")), F.lit(0))
-    placed = placed.join(full, ["_range", "_sub"], "left").withColumn("_cell", spot).drop("_parts")
-
-    cells = settle(placed.groupBy("_range", "_sub", "_cell").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows")), "cells")
+    per_range = records.withColumn("_range", _range_of(F.col("_key"), splitters)).groupBy("_range").agg(
+        F.min("_key").alias("_low"), F.max("_key").alias("_high"), F.ceil(F.count("*") / F.lit(cell_rows)).alias("_parts")
+    )
+    per_range = settle(per_range, "ranges")
+    none = records.sparkSession.createDataFrame([], "_range int, _sub bigint, _copies bigint")
+    full = _placed(records, splitters, per_range, none).groupBy("_range", "_sub").agg(F.ceil(F.count("*") / F.lit(cell_rows)).alias("_copies"))
+    full = settle(full.where("_copies > 1"), "full-ranges")
+    placed = _placed(records, splitters, per_range, full)
+
+    cells = settle(placed.groupBy(*CELL).agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows")), "cells")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
     sums = [F.coalesce(F.sum(c).over(before), zero).alias(f"{c}_range") for c in ("_bytes", "_rows")]
     by_range = cells.groupBy("_range").agg(F.sum("_bytes").alias("_bytes"), F.sum("_rows").alias("_rows")).select("_range", *sums)
     inner = Window.partitionBy("_range").orderBy("_sub", "_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.join(F.broadcast(by_range), "_range").select(
-        "_range",
-        "_sub",
-        "_cell",
+        *CELL,
+        "_bytes",
+        "_rows",
         (F.col("_bytes_range") + F.coalesce(F.sum("_bytes").over(inner), zero)).alias("_b0"),
         (F.col("_rows_range") + F.coalesce(F.sum("_rows").over(inner), zero)).alias("_r0"),
     )
-    own = Window.partitionBy("_range", "_sub", "_cell").orderBy("_key", "_n")
-    run = placed.withColumn("_b", F.sum("size").over(own) - F.col("size")).withColumn("_r", F.row_number().over(own) - 1)
-    line = run.join(starts, ["_range", "_sub", "_cell"])
-    middle = (2 * (F.col("_b0") + F.col("_b")) + F.col("size")) * shards
-    shard = F.least(F.lit(shards - 1), F.floor(middle / F.lit(2 * max(total, 1)))).cast("int")
-    line = settle(line.select("_row", "size", "text_crc32", (F.col("_r0") + F.col("_r")).alias("_at"), shard.alias("shard")), "sharded")
-    first = F.broadcast(line.groupBy("shard").agg(F.min("_at").alias("_first")))
-    return line.join(first, "shard").select(
+    starts = settle(starts, "cell-starts")
+    first = F.array(*[F.lit(n).cast("bigint") for n in first_slots(placed, starts, total, shards)])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.crc32(text.cast("binary")).alias("text_crc32"), *columns)
+    line = _run(_placed(rows, splitters, per_range, full)).join(starts.select(*CELL, "_b0", "_r0"), CELL)
+    shard = _shard_of(2 * (F.col("_b0") + F.col("_b")) + F.col("size"), total, shards)
+    line = line.withColumn("shard", shard)
+    return line.select(
         *[F.col("_row")[c].alias(c) for c in keep],
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("_at") - F.col("_first")).alias("slot"),
+        (F.col("_r0") + F.col("_r") - F.get(first, F.col("shard"))).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
