@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyforge.functions.bounds import settle
+from tallyforge.functions.bounds import settle, small
 
 # White space that separates words, as characters and as a pattern: \x20 and \x09 to \x0D.
 SPACE = " \t\n\u000b\f\r"
@@ -48,6 +48,56 @@ def rows_of(batches: Iterator[pa.RecordBatch], most: int = 2048) -> Iterator[pa.
             yield b.slice(at, most)
 
 
+# Edges that one task thins out at a time.
+EDGES = 500_000
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (u, v): edges that connect what the task's edges connect, a forest of at most EDGES of them at a time."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def reduced() -> np.ndarray:
+        both = np.concatenate(held, axis=1)
+        nodes, place = np.unique(both, return_inverse=True)
+        left, right = place.reshape(both.shape)
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label[left], label[right])
+            new = label.copy()
+            for ends in (left, right, label[left], label[right]):
+                np.minimum.at(new, ends, low)
+            new = new[new]
+            if np.array_equal(new, label):
+                break
+            label = new
+        moved = np.flatnonzero(label != np.arange(len(nodes)))
+        return np.stack([nodes[moved], nodes[label[moved]]])
+
+    out = lambda e: pa.record_batch([pa.array(e[0]), pa.array(e[1])], names=["u", "v"])
+    for b in rows_of(batches, EDGES // 4):
+        held.append(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]))
+        size += b.num_rows
+        if size >= EDGES:
+            held = [reduced()]
+            size = held[0].shape[1]
+            if 2 * size > EDGES:
+                yield out(held[0])
+                held, size = [], 0
+    if size:
+        yield out(reduced())
+
+
+def thinned(edges: DataFrame, name: str) -> DataFrame:
+    """Edges (u, v) with the same components: each task keeps a forest of its edges, at most one edge per node.
+
+    Edges are written first, then dealt to tasks of about EDGES; up to that many, one forest is all that is left.
+    """
+    now = settle(edges.where("u <> v").select("u", "v").distinct(), name)
+    n = now.count()
+    return now.coalesce(max(1, -(-n // EDGES))).mapInArrow(_forests, "u bigint, v bigint")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v: bigint); root is the least node reachable.
 
@@ -114,15 +164,19 @@ def _same(id_col: str, text_col: str) -> Column:
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, one of each group (doc_id, th, root): the one with the smallest id (NULL ids last).
 
-    Of fully repeated rows (same id, same text) one stays.
+    Of fully repeated rows (same id, same text) one stays. The rows that go are what is joined to the documents: they
+    are fewer than those that stay, and up to the bound of ``small`` no document is shuffled for them.
     """
-    groups = settle(groups, "groups")
+    keys = settle(groups.groupBy("doc_id", "th").agg(F.min("root").alias("root"), F.count("*").alias("n")), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best")
-    best = groups.groupBy("root").agg(first).select(F.col("best.doc_id").alias("_id"), F.col("best.th").alias("_th"))
-    repeated = groups.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.count("*").alias("_times"))
-    keep = best.join(repeated.where("_times > 1").select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), F.lit(True).alias("_again")), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left")
-    keep = settle(keep.select("_id", "_th", F.coalesce("_again", F.lit(False)).alias("_again")), "kept")
-    single = docs.join(keep.where("NOT _again").drop("_again"), _same(id_col, text_col), "left_semi")
-    if keep.where("_again").isEmpty():
-        return single
-    return single.unionByName(docs.join(keep.where("_again").drop("_again"), _same(id_col, text_col), "left_semi").dropDuplicates([id_col, text_col]))
+    best = keys.groupBy("root").agg(first).select(F.col("root").alias("_root"), F.col("best.doc_id").alias("_best"), F.col("best.th").alias("_th0"))
+    told = keys.join(best, keys["root"] == best["_root"])
+    stays = F.col("doc_id").eqNullSafe(F.col("_best")) & (F.col("th") == F.col("_th0"))
+    # of a row that stays and is repeated, only one: its rows are taken out here and come back once
+    out = settle(told.where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), stays.alias("_again")), "leaving")
+    n, again = out.agg(F.count("*"), F.count_if("_again")).first()
+    rest = docs.join(small(out.drop("_again"), n), _same(id_col, text_col), "left_anti")
+    if not again:
+        return rest
+    once = docs.join(small(out.where("_again").drop("_again"), again), _same(id_col, text_col), "left_semi")
+    return rest.unionByName(once.dropDuplicates([id_col, text_col]))

@@ -5,19 +5,24 @@ shingles differ in about 15 % of the bits, too many for exact blocks, so this fo
 128 bits and the usual tables of sampled bits:
 
 1. *Tables.* A table keys each distinct print by ``bits`` sampled positions. ``bits`` grows with the
-   logarithm of the number of prints, so keys hold a few prints each at any size. There are so many
+   logarithm of the number of prints, so keys hold a bounded number of prints (about 64) at any size. There are so many
    tables that a pair at the similarity meets with the chance RECALL, taken over the whole binomial
    spread of its distance. Sets of few shingles differ in more bits and get more tables.
 2. *Compare.* Prints of a key are compared with vertical bit planes and carry-save counters
    (``neardup.close_pairs``) within RADIUS bits, three deviations above the distance expected for the
-   worst set sizes (4 of 5 shingles shared). Of the pairs of a cell, the minimum spanning forest by distance is kept: it connects
-   what is connected at any lower distance, so no cell gives more edges than it has prints.
-3. *Verify.* Each edge is verified on the two texts: the Jaccard similarity of their shingle sets.
-4. Verified edges are linked to groups.
-5. *Left out.* The forest knows distances, not similarities, so where a large cell left pairs out, the
-   texts its forest connects are a cluster. Groups of one cluster that step 4 left apart are compared
-   text by text, exactly, in blocks of about BLOCK texts; only pairs within the largest group of the
-   cluster, which is one group already, need no block.
+   worst set sizes (4 of 5 shingles shared). A cell with more close pairs than DENSE times its prints gives
+   the minimum spanning forest by distance: it connects what is connected at any lower distance, so no cell
+   gives more edges than that.
+3. *Sketch.* Prints at the radius may stand for half the similarity. Before any text moves, the ends of an edge are compared by
+   sketches: the least shingle hash of each of BINS ranges of hashes, a byte each. Of the ranges that either text fills,
+   the share in which both have the same is the similarity in expectation; an edge goes only if it is
+   so low that a pair at the similarity has it with a chance of at most SURE.
+4. *Verify.* Each edge left is verified on the two texts: the Jaccard similarity of their shingle sets.
+5. Verified edges are linked to groups.
+6. *Left out.* The forest knows distances, not similarities, so where a cell left pairs out, the
+   texts its forest connects are a cluster. Groups of one cluster that step 5 left apart are compared by their
+   sketches in blocks, and the texts that may have a partner in another group are compared with each other text by text, exactly;
+   only pairs within the largest group of the cluster, which is one group already, need no block.
 
 Defined results: texts are compared in lower case (A-Z); fewer than five words are one shingle, no word
 is an empty set, and all texts without a word are one group; NULL counts as empty; NULL ids and
@@ -35,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.bounds import settle
-from tallyforge.llm.common import LOWER, components, gram_hashes, keep_one, mixed, rows_of, word_hashes, words_of
+from tallyforge.functions.bounds import settle, small
+from tallyforge.llm.common import LOWER, components, gram_hashes, keep_one, mixed, rows_of, thinned, word_hashes, words_of
 from tallyforge.llm.neardup import close_pairs, near_lanes
 
 SHINGLE = 5
@@ -45,12 +50,17 @@ RADIUS = 37
 PRINT_BITS = 128
 RECALL = 0.97
 MIN_BITS = 12
-KEY_BITS = 4
+KEY_BITS = 6
 # Sets of at most so many shingles count as short.
 SHORT = 32
 PART = 1024
+LOOK = 16
 SMALL_CELL = 24
+DENSE = 4
+BINS = 128
+SURE = 1e-5
 BLOCK = 256
+SKETCH_BLOCK = 2048
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -72,13 +82,55 @@ def print_of(grams: np.ndarray) -> tuple[int, int]:
     return a, b
 
 
+_BIN_STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
+
+
+def sketch_of(grams: np.ndarray) -> bytes:
+    """A byte per range of hashes: 1 to 255 for its least shingle hash, 0 for none. ``grams`` are sorted."""
+    out = np.zeros(BINS, np.uint8)
+    if len(grams):
+        first = grams[np.minimum(np.searchsorted(grams, _BIN_STARTS), len(grams) - 1)]
+        full = first >> np.uint64(64 - BINS.bit_length() + 1) == np.arange(BINS, dtype=np.uint64)
+        out[full] = (mixed(first[full]) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    return out.tobytes()
+
+
+@lru_cache
+def least_shared(similarity: float) -> np.ndarray:
+    """By the number of filled ranges: the fewest equal ones that a pair at the similarity has but for a chance of SURE.
+
+    The least hash of a filled range is shared with the chance of the similarity; ranges draw from the union without
+    replacement, so the binomial tail bounds the chance from above.
+    """
+    out = np.zeros(BINS + 1, np.int64)
+    for n in range(BINS + 1):
+        below = 0.0
+        for k in range(n + 1):
+            below += math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k)
+            if below > SURE:
+                out[n] = k
+                break
+    return out
+
+
+def may_be_similar(one: np.ndarray, two: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of sketches (last axis: bytes) do not rule the similarity out."""
+    same = np.count_nonzero((one == two) & (one != 0), axis=-1)
+    return same >= least_shared(similarity)[np.count_nonzero(one | two, axis=-1)]
+
+
+def _sketches(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), BINS)
+
+
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in rows_of(batches):
         sets = [shingle_set(t) for t in b.column(2).to_pylist()]
         both = [print_of(x) for x in sets]
         cols = [pa.array([x[k] for x in both], pa.int64()) for k in (0, 1)]
         cols.append(pa.array([len(x) <= SHORT for x in sets], pa.bool_()))
-        yield pa.record_batch([b.column(0), b.column(1), *cols], names=["doc_id", "th", "a", "b", "short"])
+        cols.append(pa.array([sketch_of(x) for x in sets], pa.binary()))
+        yield pa.record_batch([b.column(0), b.column(1), *cols], names=["doc_id", "th", "a", "b", "short", "sketch"])
 
 
 def differing(one: int, two: int, both: int) -> float:
@@ -118,25 +170,27 @@ def meeting(differ: float, bits: int, tables: int) -> float:
 
 
 def table_plan(prints: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
-    """(sampled bits, tables) for a number of distinct prints by the expected distance alone.
+    """(sampled bits, tables) for a number of distinct prints by the expected distance alone, for keys of one print.
 
-    The cosine of two equally large sets is 2 J / (1 + J); a bit differs with the angle's share of a
-    half turn. Half as many tables again make up for distances above the expected one; ``spread_plan``
-    counts with these distances.
+    Half as many tables again make up for distances above the expected one; ``spread_plan`` counts with these distances.
     """
-    bits = min(48, max(MIN_BITS, math.ceil(math.log2(max(prints, 2)))))
+    bits = _log_bits(prints)
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return bits, math.ceil(1.5 * math.log(1 / (1 - recall)) / (1 - differ) ** bits)
 
 
+def _log_bits(prints: int) -> int:
+    return min(48, max(MIN_BITS, math.ceil(math.log2(max(prints, 2)))))
+
+
 def spread_plan(prints: int, similarity: float = SIMILARITY, recall: float = RECALL, short: bool = False) -> tuple[int, int]:
     """(sampled bits, tables): the least tables by which a pair at the similarity meets with the chance ``recall``.
 
-    KEY_BITS bits less than those of ``table_plan`` are sampled: keys hold about 16 prints, and pairs
+    KEY_BITS bits less than the logarithm of the number of prints are sampled: keys hold about 64 prints, and pairs
     above the expected distance need far fewer tables. Short sets take part in further tables; a pair
     of a short and another set meets in the tables of the other.
     """
-    bits = max(MIN_BITS, table_plan(prints, similarity)[0] - KEY_BITS)
+    bits = max(MIN_BITS, _log_bits(prints) - KEY_BITS)
     differ = worst_differing(similarity, short)
     if meeting(differ, bits, 1 << 40) < recall:
         raise ValueError(f"RADIUS {RADIUS} is too small for similarity {similarity} and recall {recall}")
@@ -201,7 +255,7 @@ def spanning_forest(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndar
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, x, y, side, a, b) sorted by (key, x, y): the spanning forest of each cell's close pairs.
+    """Rows (key, x, y, side, a, b) sorted by (key, x, y): the close pairs of each cell, or their spanning forest where they are many.
 
     ``cut`` tells that the cell has close pairs that are not in its forest.
     """
@@ -235,7 +289,10 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             right = two[np.concatenate([r for _, r in found])]
             if same:
                 left, right = left[left < right], right[left < right]
-            if len(left):
+            if len(left) <= DENSE * len(own):
+                if len(left):
+                    yield out(own, left, right)
+            else:
                 far = np.bitwise_count(own[left] ^ own[right]).sum(axis=1)
                 e = spanning_forest(len(own), left, right, far)
                 yield out(own, left[e], right[e], len(e) < len(left))
@@ -262,7 +319,10 @@ def candidate_edges(prints: DataFrame, n: int, part: int = PART, similarity: flo
     bits, tables = spread_plan(n, similarity)
     plan = _table_keys(bits, tables, spread_plan(n, similarity, short=True)[1])
     keyed = prints.select("a", "b", "short").mapInArrow(plan, "key bigint, a bigint, b bigint")
-    large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > part).select("key", F.ceil(F.col("n") / F.lit(part)).cast("int").alias("p"))
+    # how keys are cut decides on the work of a task, not on what is found: one print in LOOK tells the large ones
+    look = LOOK if part >= 16 * LOOK else 1
+    some = prints.where(F.pmod(F.xxhash64("b", "a"), F.lit(look)) == 0).select("a", "b", "short").mapInArrow(plan, "key bigint, a bigint, b bigint")
+    large = some.groupBy("key").agg((F.count("*") * look).alias("n")).where(F.col("n") > part // 2).select("key", F.ceil(F.col("n") / F.lit(part)).cast("int").alias("p"))
     large = settle(large, "large-keys")
     side = F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("p")).cast("int"), F.lit(0)).alias("side")
     other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("p"), F.lit(1)) - 1)).alias("other")
@@ -336,23 +396,47 @@ def _blocks(similarity: float):
     return run
 
 
-def left_out_links(edges: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, block: int | None = None) -> DataFrame | None:
-    """Links (u, v) between groups that candidate cells left apart: (node, root) are the groups so far; None if there are none.
+def _partners(similarity: float):
+    """Rows (cluster, x, y, side, root, node, sketch) sorted by (cluster, x, y): nodes whose sketch allows a partner in another group."""
 
-    In a cluster the texts outside its largest group are cut into parts that meet each other and all
+    def found(side: list[int], root: list[int], node: list[int], sketch: list[bytes], x: int, y: int) -> pa.RecordBatch:
+        side, root, node, bins = np.array(side), np.array(root, np.int64), np.array(node, np.int64), _sketches(sketch)
+        one, two = np.flatnonzero(side == x), np.flatnonzero(side == y)
+        hit = np.zeros(len(side), bool)
+        for at in range(0, len(one), 16):
+            own = one[at : at + 16]
+            for to in range(0, len(two), 1024):
+                other = two[to : to + 1024]
+                near = may_be_similar(bins[own][:, None], bins[other][None], similarity) & (root[own][:, None] != root[other][None])
+                hit[own] |= near.any(axis=1)
+                hit[other] |= near.any(axis=0)
+        return pa.record_batch([pa.array(node[hit], pa.int64())], names=["node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [], [], [])
+        for b in rows_of(batches, 512):
+            for *cell, side, root, node, sketch in zip(*[b.column(i).to_pylist() for i in range(7)], strict=True):
+                if cell != now:
+                    if now:
+                        yield found(*held, *now[1:])
+                    now, held = cell, ([], [], [], [])
+                for have, new in zip(held, (side, root, node, sketch), strict=True):
+                    have.append(new)
+        if now:
+            yield found(*held, *now[1:])
+
+    return run
+
+
+def _dealt(members: DataFrame, block: int) -> DataFrame | None:
+    """(cluster, x, y, side, root, node) of the blocks in which the groups of each cluster meet; None if none has two.
+
+    In a cluster the members outside its largest group are cut into parts that meet each other and all
     parts of the largest group, so a task holds two parts at a time.
     """
-    cut = edges.where("cut").select("u", "v")
-    if cut.isEmpty():
-        return None
-    part = F.lit(block or BLOCK)
-    clusters = components(cut, "clusters").withColumnRenamed("root", "cluster")
-    # a root may have no row of its own
-    clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("node"), "cluster")).distinct()
-    members = settle(clusters.join(roots, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root")), "cluster-members")
     sizes = members.groupBy("cluster", "root").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("groups")).where("groups > 1")
-    p, q = (F.ceil(n / part).cast("int") for n in (F.col("n") - F.col("main.n"), F.col("main.n")))
+    p, q = (F.ceil(n / F.lit(block)).cast("int") for n in (F.col("n") - F.col("main.n"), F.col("main.n")))
     sizes = settle(sizes.select("cluster", F.col("main.root").alias("main"), p.alias("p"), q.alias("q")), "cluster-sizes")
     if sizes.isEmpty():
         return None
@@ -361,32 +445,92 @@ def left_out_links(edges: DataFrame, roots: DataFrame, texts: DataFrame, similar
     side = F.when(is_main, F.col("p") + F.pmod(spot, F.col("q"))).otherwise(F.pmod(spot, F.col("p"))).cast("int")
     last = F.when(is_main, F.col("p")).otherwise(F.col("p") + F.col("q")) - 1
     placed = members.join(sizes, "cluster").select("cluster", "node", "root", side.alias("side"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
-    cells = placed.join(texts.withColumnRenamed("th", "node"), "node").select("cluster", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "root", "text")
+    return placed.select("cluster", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "root", "node")
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame, column: str = "text") -> DataFrame:
+    """(th, ``column``) of the listed text hashes (th, distinct), one row each. Few hashes are broadcast, so only their texts are shuffled."""
+    nodes = settle(nodes, "nodes")
+    return docs.select("th", column).join(small(nodes, nodes.count()), "th", "left_semi").dropDuplicates(["th"])
+
+
+def left_out_links(edges: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, block: int | None = None, sketches: DataFrame | None = None) -> DataFrame | None:
+    """Links (u, v) between groups that candidate cells left apart: (node, root) are the groups so far; None if there are none.
+
+    ``texts`` has (th, text), ``sketches`` (th, sketch); without it they are made of the texts.
+    """
+    cut = edges.where("cut").select("u", "v")
+    if cut.isEmpty():
+        return None
+    clusters = components(thinned(cut, "cut-edges"), "clusters").withColumnRenamed("root", "cluster")
+    # a root may have no row of its own
+    clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("node"), "cluster")).distinct()
+    members = settle(clusters.join(roots, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root")), "cluster-members")
+    blocks = _dealt(members, block or SKETCH_BLOCK)
+    if blocks is None:
+        return None
+    named = members.select(F.col("node").alias("th")).distinct()
+    if sketches is None:
+        sketches = texts.mapInArrow(_sketch_texts, "th bigint, sketch binary")
+    bins = texts_of(sketches, named, "sketch").withColumnRenamed("th", "node")
+    cells = blocks.join(bins, "node").select("cluster", "x", "y", "side", "root", "node", "sketch")
+    dealt = cells.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+    asked = settle(dealt.mapInArrow(_partners(similarity), "node bigint").distinct(), "possible-partners")
+    blocks = _dealt(settle(members.join(asked, "node", "left_semi"), "asked-members"), block or BLOCK)
+    if blocks is None:
+        return None
+    own = texts_of(texts, asked.withColumnRenamed("node", "th")).withColumnRenamed("th", "node")
+    cells = blocks.join(own, "node").select("cluster", "x", "y", "side", "root", "text")
     dealt = cells.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
     return settle(dealt.mapInArrow(_blocks(similarity), "u bigint, v bigint").where("u <> v"), "left-out-links")
 
 
+def _sketch_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in rows_of(batches):
+        yield pa.record_batch([b.column(0), pa.array([sketch_of(shingle_set(t)) for t in b.column(1).to_pylist()], pa.binary())], names=["th", "sketch"])
+
+
+def _possible(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_of(batches, 4096):
+            good = may_be_similar(_sketches(b.column(2).to_pylist()), _sketches(b.column(3).to_pylist()), similarity)
+            yield pa.record_batch([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _with_ends(edges: DataFrame, side: DataFrame, column: str) -> DataFrame:
+    """(u, v, one, two): the edges with a column of (th, column) at both ends."""
+    one = side.select(F.col("th").alias("u"), F.col(column).alias("one"))
+    two = side.select(F.col("th").alias("v"), F.col(column).alias("two"))
+    return edges.join(one, "u").join(two, "v").select("u", "v", "one", "two")
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("u", "v")).alias("th")).distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, part: int = PART) -> DataFrame:
     """(doc_id, th, root) per row of ``docs``: th is a hash of the text, root names the group."""
     text = F.col(text_col)
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
-    rows = settle(d.mapInArrow(_prints, "doc_id bigint, th bigint, a bigint, b bigint, short boolean"), "prints")
+    rows = settle(d.mapInArrow(_prints, "doc_id bigint, th bigint, a bigint, b bigint, short boolean, sketch binary"), "prints")
     own = settle(rows.groupBy("a", "b").agg(F.min("th").alias("node"), F.max("short").alias("short")), "distinct-prints")
     n = own.count()
     found = candidate_edges(own, n, part, similarity)
     ends = own.select(F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("node").alias("u"))
     others = own.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("node").alias("v"))
     edges = settle(found.join(ends, ["a1", "b1"]).join(others, ["a2", "b2"]).select("u", "v", "cut").where("u <> v"), "candidate-edges")
-    # texts of the ends, one per text hash
-    nodes = edges.select(F.col("u").alias("th")).unionByName(edges.select(F.col("v").alias("th"))).distinct()
-    texts = settle(d.select("th", "text").join(nodes, "th", "left_semi").dropDuplicates(["th"]), "edge-texts")
-    pairs = edges.join(texts.select(F.col("th").alias("u"), F.col("text").alias("one")), "u").join(texts.select(F.col("th").alias("v"), F.col("text").alias("two")), "v")
-    verified = pairs.select("u", "v", "one", "two").mapInArrow(_verify(similarity), "u bigint, v bigint")
-    roots = components(verified, "similar-links")
-    more = left_out_links(edges, roots, texts, similarity)
+    # only what the sketches allow is verified, so only its texts move
+    pairs = _with_ends(edges.select("u", "v"), texts_of(rows, _ends(edges), "sketch"), "sketch")
+    likely = settle(pairs.mapInArrow(_possible(similarity), "u bigint, v bigint"), "likely-edges")
+    pairs = _with_ends(likely, texts_of(d, _ends(likely)), "text")
+    verified = pairs.mapInArrow(_verify(similarity), "u bigint, v bigint")
+    roots = components(thinned(verified, "verified-edges"), "similar-links")
+    more = left_out_links(edges, roots, d.select("th", "text"), similarity, sketches=rows.select("th", "sketch"))
     if more is not None:
         of = roots.select("node", F.col("root").alias("v")).where("node <> v").withColumnRenamed("node", "u")
-        roots = components(of.unionByName(more), "similar-links")
+        roots = components(thinned(of.unionByName(more), "all-links"), "similar-links")
     roots = roots.withColumnRenamed("root", "r")
     named = own.join(roots, own["node"] == roots["node"], "left").select("a", "b", F.coalesce("r", own["node"]).alias("root"))
     return rows.join(named, ["a", "b"]).select("doc_id", "th", "root")

@@ -157,3 +157,49 @@ def test_left_out_links(spark, block):
     assert {frozenset(r) for r in got.collect()} == {frozenset((1, 3))}
     joined = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1)], "node bigint, root bigint")
     assert similar.left_out_links(edges, joined, spark.createDataFrame(near, "th bigint, text binary"), 0.8, block) is None
+
+
+def test_sketches_turn_no_similar_pair_down():
+    rng = np.random.default_rng(3)
+    low, tried = [], 0
+    for shared, left, right in [(1, 0, 0), (4, 0, 1), (8, 1, 1), (48, 6, 6), (200, 25, 25), (800, 100, 100), (9000, 1125, 1125)]:
+        for _ in range(300 if shared < 1000 else 40):
+            g = rng.integers(0, 1 << 63, shared + left + right, dtype=np.int64).view(np.uint64) * np.uint64(2)
+            one, two = (np.frombuffer(similar.sketch_of(np.sort(x)), np.uint8) for x in (g[: shared + left], np.r_[g[:shared], g[shared + left :]]))
+            tried += 1
+            low.append(not similar.may_be_similar(one, two, 0.8))
+    assert sum(low) == 0 and tried > 1800
+    # texts of half the similarity are
+    g = rng.integers(0, 1 << 63, 1000, dtype=np.int64).view(np.uint64) * np.uint64(2)
+    one, two = (np.frombuffer(similar.sketch_of(np.sort(x)), np.uint8) for x in (g[:700], g[300:]))
+    assert not similar.may_be_similar(one, two, 0.8)
+    empty = np.frombuffer(similar.sketch_of(np.zeros(0, np.uint64)), np.uint8)
+    assert similar.may_be_similar(empty, empty, 0.8) and not similar.may_be_similar(empty, one, 0.8)
+
+
+def test_thinned_edges_connect_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (900, 2))] + [(1000, i) for i in range(1001, 1100)]
+    edges = spark.createDataFrame(pairs, "u bigint, v bigint").repartition(6)
+    want = {(r.node, r.root) for r in similar.components(edges).collect()}
+    thin = similar.thinned(edges, "t")
+    assert thin.count() <= 400
+    assert {(r.node, r.root) for r in similar.components(thin).collect()} == want
+    batches = [similar.pa.record_batch([similar.pa.array([a]), similar.pa.array([b])], names=["u", "v"]) for a, b in pairs]
+    from tallyforge.llm import common
+
+    monkeypatch.setattr(common, "EDGES", 8)
+    few = [(u, v) for b in common._forests(iter(batches)) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert {(r.node, r.root) for r in similar.components(spark.createDataFrame(few, "u bigint, v bigint")).collect()} == want
+
+
+def test_very_long_texts_and_wide_tables(spark):
+    rng = np.random.default_rng(8)
+    long = [f"w{x}" for x in rng.integers(0, 5000, 60_000)]
+    near = list(long)
+    for at in range(0, 60_000, 600):
+        near[at] = "other"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(reversed(long))), (4, None), (5, "")]
+    got = similar.similar_groups(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", sketch string")).collect()
+    by = {r.doc_id: r.root for r in got}
+    assert by[1] == by[2] != by[3] and by[4] == by[5] and len(got) == 5
