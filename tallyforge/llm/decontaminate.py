@@ -18,9 +18,13 @@ so the radius leaves five deviations.
 Items are read in blocks of at most ``block_bytes`` of text, which bounds what a task holds; a
 benchmark of several blocks takes one pass over the texts for each. No row is shuffled.
 
-Defined results: NULL and empty texts and items match nothing; an item of fewer than SHINGLE words
-matches only a text that consists of exactly its words; a text shorter than the item is one window;
-items with one text each match; repeated rows each get their result; without items no row is marked.
+Items of fewer than SHINGLE words have no shingle; they are found as exact runs of words anywhere in a text (by the
+hashes of runs of their size, then word by word), with similarity 1 and the first place. ``drop_leaks`` drops no
+text for such a run unless it is the whole text: one to four words are no evidence of a leak.
+
+Defined results: NULL and empty texts and items match nothing; a text shorter than the item is one window;
+items with one text each match; of equally similar windows of an item the first counts; repeated rows each get
+their result; a very long text is read whole, its windows in blocks of 4096; without items no row is marked.
 The output column replaces an input column of its name, all other columns pass through unread.
 """
 
@@ -116,7 +120,9 @@ class Index:
     """All items of a block of the benchmark."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.items, self.short = [], {}
+        self.items = []
+        # size -> words -> items
+        self.short: dict[int, dict[tuple[bytes, ...], list[int | None]]] = {}
         by_size: dict[int, list[int]] = {}
         fps, grams_of, where = [], [], []
         for key, text in items:
@@ -124,7 +130,7 @@ class Index:
             if not words:
                 continue
             if len(words) < SHINGLE:
-                self.short.setdefault(tuple(words), []).append(key)
+                self.short.setdefault(len(words), {}).setdefault(tuple(words), []).append(key)
                 continue
             by_size.setdefault(len(words), []).append(len(self.items))
             g = gram_hashes(word_hashes(words), SHINGLE)
@@ -133,6 +139,7 @@ class Index:
             where.append(len(words))
             self.items.append((key, shingles(words)))
         self.sizes = {n: SizeIndex.of(own, np.stack([fps[i] for i in own])) for n, own in by_size.items()}
+        self.short_grams = {n: np.unique([gram_hashes(word_hashes(list(w)), n)[0] for w in own]) for n, own in self.short.items()}
         # shingle -> sizes of the items that have it
         every = np.concatenate(grams_of) if grams_of else np.zeros(0, np.uint64)
         size = np.repeat(np.array(where, dtype=np.int64), [len(g) for g in grams_of]) if grams_of else np.zeros(0, np.int64)
@@ -141,10 +148,25 @@ class Index:
         self.filter = np.zeros(FILTER, bool)
         self.filter[(self.grams % np.uint64(FILTER)).astype(np.int64)] = True
 
+    def short_runs(self, words: list[bytes]) -> list[tuple[int | None, float, int, int]]:
+        """(item, 1.0, first place, words) of the items below SHINGLE words."""
+        out = []
+        hashes = word_hashes(words) if self.short else None
+        for n, own in sorted(self.short.items()):
+            if len(words) < n:
+                continue
+            seen = set()
+            for at in np.flatnonzero(np.isin(gram_hashes(hashes, n), self.short_grams[n])).tolist():
+                run = tuple(words[at : at + n])
+                if run not in seen:
+                    seen.add(run)
+                    out += [(k, 1.0, at, n) for k in own.get(run, ())]
+        return out
+
     def leaks(self, text: str | None) -> list[tuple[int | None, float, int, int]]:
         """(item, similarity, first word, words) of the best window for each similar item."""
         words = plain_words(text)
-        out = [(k, 1.0, 0, len(words)) for k in self.short.get(tuple(words), ())] if 0 < len(words) < SHINGLE else []
+        out = self.short_runs(words)
         if len(words) < SHINGLE or not self.items:
             return out
         grams = gram_hashes(word_hashes(words), SHINGLE)
@@ -213,6 +235,10 @@ def _leak_type(docs: DataFrame):
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without a similar item."""
+    """The rows of ``docs`` without a similar item; an item below SHINGLE words counts only where it is the whole text."""
     marked = mark_leaks(docs, benchmark, text_col, out="_leaks", **options)
-    return marked.where(F.size("_leaks") == 0).select(*docs.columns)
+    long = F.exists("_leaks", lambda x: x["n_words"] >= SHINGLE)
+    # the words of a text that short: its letters and digits between anything else
+    plain = F.trim(F.regexp_replace(F.col(text_col), r"[\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+", " "))
+    whole = F.exists("_leaks", lambda x: x["n_words"] == F.size(F.split(plain, " ")))
+    return marked.where(~(long | whole)).select(*docs.columns)

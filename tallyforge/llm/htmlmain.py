@@ -16,7 +16,8 @@
 Rules for the text: character references are decoded; white space inside a block becomes one space,
 blocks are joined by one space in page order. Inline tags join their text to the text around it.
 
-Defined results: a NULL or empty page gives an empty text; so does one without an article text. A
+Defined results: a NULL or empty page gives an empty text; so does one without an article text. Ties between classes
+of one size go by their hash; a very long page is one row like any other; formulas are text. A
 NULL url, or one without a host, has no template and is read by step 4 alone, as is a page of a
 host with fewer than MIN_PAGES different pages. Repeated rows give repeated results and count once
 for the template; an empty table gives an empty result. Only the three named columns are read.
@@ -46,8 +47,12 @@ ARTICLE_SHARE = 0.9
 ARTICLE_PAGES = 8
 
 # What HTML says about elements.
-RAW = "script|style|noscript|template|iframe|textarea|svg|math|object|select"
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = "script|style|noscript|template|iframe|textarea|svg|object|select"
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+    # formulas
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mphantom mtable mtr mtd semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("html head body main article section div nav header footer aside form ul ol dl menu table figure dialog details fieldset button blockquote".split())
 SITE = frozenset("head nav footer aside form menu dialog button fieldset".split())
@@ -66,7 +71,7 @@ HEAD = frozenset("title meta link base style script".split())
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({RAW})\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))"
+    rf"|<({RAW})(?=[\s/>])[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)",

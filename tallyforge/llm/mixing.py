@@ -13,8 +13,10 @@ while the budget lasts; of the next one the prefix in which the tokens before a
 is left. The end of the prefix is found by ``hash_cutoffs``, which never sorts a leaf.
 
 Defined results: NULL parts of a path are nodes of their own; a NULL text has no tokens; rows with a
-NULL id have the empty id; repeated rows tie and are taken together; a child of weight 0 or below
-gets nothing; an empty table gives an empty result.
+NULL id have the empty id; repeated rows tie and are taken together; a child of weight 0 or below (or NULL)
+gets nothing and counts for nothing in what its family can supply, so its share goes to its siblings and, if they
+cannot use it, to the family's; a very long text is one row of the prefix, taken whole; added columns replace
+carried ones of the same name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -80,7 +82,11 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: dict[str, Column
     ``weights[level]`` is the weight of a node among its siblings, as a Column over the level names;
     ``budget`` is a Column over ``total``, the tokens of all leaves.
     """
-    leaves = settle(leaves.withColumn("supply", F.col("tokens") * max_epochs), "leaves")
+    # a leaf below a node of weight 0 supplies nothing, so its family is dealt only what it can spend
+    open_ = F.lit(True)
+    for name in levels:
+        open_ = open_ & F.coalesce(weights[name].cast("double") > 0, F.lit(False))
+    leaves = settle(leaves.withColumn("supply", F.when(open_, F.col("tokens") * max_epochs).otherwise(0)), "leaves")
     root = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"), F.coalesce(F.sum("supply"), F.lit(0)).alias("supply"))
     above, path = root.select(F.least(budget.cast("bigint"), "supply").alias("budget")), []
     for depth, name in enumerate(levels):

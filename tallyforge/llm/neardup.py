@@ -78,18 +78,23 @@ def planes_of(prints: np.ndarray) -> np.ndarray:
 
 
 def close_pairs(queries: np.ndarray, stored: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, stored) within ``radius`` (2 or more) bits, by bit-sliced counting.
+    """Index pairs (query, stored) within ``radius`` (2 or more) bits, by bit-sliced counting."""
+    planes = planes_of(stored)
+    width = planes.shape[1]
+    # word (q, w) of the flat layout: query q against the stored words w
+    left, right = close_lanes(queries, planes, np.repeat(np.arange(len(queries)), width), np.tile(np.arange(width), len(queries)), radius)
+    ok = right < len(stored)
+    return left[ok], right[ok]
+
+
+def close_lanes(queries: np.ndarray, planes: np.ndarray, q: np.ndarray, w: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, lane) within ``radius`` bits, for the listed queries ``q`` each against the 64 lanes of its word ``w`` of the planes.
 
     The counters of 64 pairs are one word per binary digit. They start so that they overflow when a
     pair has passed the radius. Two planes are added at a time: a half adder makes their sum and
     carry, the carry ripples up, and what overflows is marked in ``over``. Words in which all 64 pairs
     are marked leave the further planes.
     """
-    planes = planes_of(stored)
-    width = planes.shape[1]
-    # word (q, w) of the flat layout: query q against the stored words w
-    q = np.repeat(np.arange(len(queries)), width)
-    w = np.tile(np.arange(width), len(queries))
     digits = radius.bit_length()
     start = (1 << digits) - 1 - radius
     c = [np.full(len(q), ONES if start >> d & 1 else 0, np.uint64) for d in range(digits)]
@@ -119,8 +124,28 @@ def close_pairs(queries: np.ndarray, stored: np.ndarray, radius: int = RADIUS) -
     live = over != ONES
     q, w, near = q[live], w[live], ~over[live]
     word, lane = np.nonzero(np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-    left, right = q[word], w[word] * 64 + lane
-    ok = right < len(stored)
+    return q[word], w[word] * 64 + lane
+
+
+def close_in_cells(prints: np.ndarray, start: np.ndarray, size: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (left < right) within ``radius`` bits in cells of neighbouring prints, all cells in one pass of the counters.
+
+    Cells begin at a word of their own, so many cells of few prints fill the counters as one large cell would.
+    """
+    words = -(-size // 64)
+    first = np.cumsum(words) - words
+    cell = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(cell)) - np.repeat(np.cumsum(size) - size, size)
+    at, lane = np.repeat(start, size) + place, 64 * first[cell] + place
+    padded = np.zeros((64 * int(words.sum()), prints.shape[1]), np.uint64)
+    padded[lane] = prints[at]
+    owner = np.full(len(padded), -1)
+    owner[lane] = at
+    n = words[cell]
+    w = np.repeat(first[cell], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    left, lane = close_lanes(prints, planes_of(padded), np.repeat(at, n), w, radius)
+    right = owner[lane]
+    ok = left < right
     return left[ok], right[ok]
 
 

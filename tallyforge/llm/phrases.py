@@ -9,19 +9,20 @@ words, so equal windows have equal anchors wherever they stand. The steps:
    the same anchor. Every window lies in exactly one segment. Windows of anchors with more than
    ``hot`` occurrences are segments of their own, keyed by the hash of the whole window, so a
    frequent phrase in ever new surroundings is spread over as many keys as it has windows.
-3. *Confirm.* Equal segments are counted first, with map-side combine. Per anchor, the windows of
-   its different segments are compared word by word; runs of windows that occur twice or more are
-   the recurring passages.
-4. *Automata.* The passages are the patterns of Aho-Corasick automata over word numbers, one per
-   shard of anchors and at most BLOCK segments; all segments of the shard are streamed through
-   it and every occurrence is located. A passage can only occur in segments of its own anchor, so
-   no segment needs to pass through another shard's automaton.
+3. *Confirm.* A task counts its equal segments before they are dealt by anchor, so a passage in a third of all
+   texts is a row per task. Per anchor, the windows of its different segments are compared word by word; each run of windows
+   that occur twice or more is a confirmed passage, kept once, without its places.
+4. *Automata.* The confirmed passages are the patterns of Aho-Corasick automata over word numbers, one per
+   shard of anchors and at most BLOCK segments; the segments of all texts of the shard are streamed through
+   it, and what it reports are the occurrences: no other step marks a place. A passage can only occur in segments
+   of its own anchor, so no segment needs to pass through another shard's automaton.
 5. *Removal.* The located spans go back to the texts they come from.
 
 Defined results: a NULL or empty text has no words, nothing is removed and the kept text is
 empty; repeated rows repeat their passages and each gets its row; rows with a NULL id are
-treated like any other; texts below WINDOW words stay whole; an empty table gives an empty
-result. Only the id and the text are read.
+treated like any other; texts below WINDOW words stay whole; a very long text is cut into segments like any
+other and put together again by one task; of equal anchors (ties) each place counts; an empty table gives an empty
+result. Only the id and the text are read, so further columns of any name do not matter.
 """
 
 from __future__ import annotations
@@ -102,71 +103,73 @@ def _cut(words: list[bytes], known: dict[int, bool]) -> Iterator[tuple[int, int,
             yield (xxhash.xxh3_64_intdigest(text) - (1 << 63) if hot else int(m[i])), s, text
 
 
-def _segments(with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows_of(batches, 256):
-            doc, th, key, start, segment = [], [], [], [], []
-            for d, t, text, own in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
-                for k, s, x in _cut(words_of(text), {a["anchor"]: a["hot"] for a in own}):
-                    key.append(k)
-                    segment.append(x if with_text else xxhash.xxh3_128_digest(x))
-                    if not with_text:
-                        doc.append(d)
-                        th.append(t)
-                        start.append(s)
-            cols = [pa.array(key, pa.int64()), pa.array(segment, pa.binary())]
-            names = ["key", "segment"]
-            if not with_text:
-                cols = [pa.array(doc, b.column(0).type), pa.array(th, pa.int64()), pa.array(start, pa.int64()), *cols]
-                names = ["doc_id", "th", "start", "key", "sid"]
-            yield pa.record_batch(cols, names=names)
-
-    return run
-
-
-def passages(group: list[tuple[bytes, int]]) -> list[tuple[list[bytes], list[tuple[int, int]]]]:
-    """Words of each segment of one key and its runs of windows that occur twice or more.
-
-    ``group`` has (segment, number of occurrences); windows are compared as text.
+def _texts_of_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, segment, n): the segments of a batch of texts, equal ones counted."""
+    for b in rows_of(batches, 1024):
+        seen: Counter[tuple[int, bytes]] = Counter()
+        for text, own in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            seen.update((k, x) for k, _, x in _cut(words_of(text), {a["anchor"]: a["hot"] for a in own}))
+        cols = [pa.array([k for k, _ in seen], pa.int64()), pa.array([x for _, x in seen], pa.binary()), pa.array(seen.values(), pa.int64())]
+        yield pa.record_batch(cols, names=["key", "segment", "n"])
+
+
+def _places_of_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, th, start, key, sid): where each segment stands."""
+    for b in rows_of(batches, 256):
+        doc, th, key, start, sid = [], [], [], [], []
+        for d, t, text, own in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+            for k, s, x in _cut(words_of(text), {a["anchor"]: a["hot"] for a in own}):
+                doc.append(d)
+                th.append(t)
+                start.append(s)
+                key.append(k)
+                sid.append(xxhash.xxh3_128_digest(x))
+        cols = [pa.array(doc, b.column(0).type), pa.array(th, pa.int64()), pa.array(start, pa.int64()), pa.array(key, pa.int64()), pa.array(sid, pa.binary())]
+        yield pa.record_batch(cols, names=["doc_id", "th", "start", "key", "sid"])
+
+
+def passages(group: dict[bytes, int]) -> set[bytes]:
+    """The confirmed passages of one key: every run of windows that occur twice or more, each once.
+
+    ``group`` has the number of occurrences of each segment; windows are compared as text.
     """
     parts, seen = [], Counter()
-    for text, n in group:
+    for text, n in group.items():
         words = text.split(b" ")
         ends = np.cumsum([len(w) + 1 for w in words]).tolist()
         starts = [0, *ends[:-1]]
         windows = [text[starts[i] : ends[i + WINDOW - 1] - 1] for i in range(len(words) - WINDOW + 1)]
-        parts.append((words, windows))
+        parts.append((text, starts, ends, windows))
         for w in windows:
             seen[w] += n
-    out = []
-    for words, windows in parts:
-        runs: list[tuple[int, int]] = []
-        for i, w in enumerate(windows):
-            if seen[w] > 1:
-                if runs and runs[-1][1] == i:
-                    runs[-1] = (runs[-1][0], i + 1)
-                else:
-                    runs.append((i, i + 1))
-        out.append((words, runs))
+    out = set()
+    for text, starts, ends, windows in parts:
+        i = 0
+        while i < len(windows):
+            j = i
+            while j < len(windows) and seen[windows[j]] > 1:
+                j += 1
+            if j > i:
+                out.add(text[starts[i] : ends[j + WINDOW - 2] - 1])
+            i = j + 1
     return out
 
 
-def locate(segments: list[tuple[list[bytes], list[tuple[int, int]]]]) -> list[list[int]]:
-    """Word spans [start, end, start, end ...] of all passages in each segment, by one automaton."""
+def locate(patterns: set[bytes], segments: list[bytes]) -> list[list[int]]:
+    """Word spans [start, end, start, end ...] of the passages in each segment, by one automaton over word numbers."""
+    if not patterns:
+        return [[] for _ in segments]
     numbers: dict[bytes, int] = {}
-    coded = [tuple(numbers.setdefault(w, len(numbers)) for w in words) for words, _ in segments]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for code, (_, runs) in zip(coded, segments, strict=True):
-        for i, j in runs:
-            pattern = code[i : j + WINDOW - 1]
-            automaton.add_word(pattern, len(pattern))
-    if not len(automaton):
-        return [[] for _ in segments]
+    for p in patterns:
+        code = tuple(numbers.setdefault(w, len(numbers) + 1) for w in p.split(b" "))
+        automaton.add_word(code, len(code))
     automaton.make_automaton()
     out = []
-    for code in coded:
+    for text in segments:
         spans: list[int] = []
-        for end, size in automaton.iter(code):
+        # 0 stands for words that no passage has
+        for end, size in automaton.iter(tuple(numbers.get(w, 0) for w in text.split(b" "))):
             a, b = end - size + 1, end + 1
             while spans and a <= spans[-1]:
                 a = min(a, spans[-2])
@@ -178,24 +181,25 @@ def locate(segments: list[tuple[list[bytes], list[tuple[int, int]]]]) -> list[li
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, segment, n) sorted by key: the located spans of each segment that has any."""
-    block: list[tuple[int, bytes, list[bytes], list[tuple[int, int]]]] = []
+    block: list[tuple[int, bytes]] = []
+    patterns: set[bytes] = set()
 
     def flush() -> pa.RecordBatch:
-        spans = locate([(words, runs) for _, _, words, runs in block])
-        rows = [(k, xxhash.xxh3_128_digest(x), s) for (k, x, _, _), s in zip(block, spans, strict=True) if s]
+        spans = locate(patterns, [x for _, x in block])
+        rows = [(k, xxhash.xxh3_128_digest(x), s) for (k, x), s in zip(block, spans, strict=True) if s]
         block.clear()
+        patterns.clear()
         cols = list(zip(*rows, strict=True)) or [(), (), ()]
         kinds = [pa.int64(), pa.binary(), pa.list_(pa.int32())]
         return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "sid", "spans"])
 
-    def close(key: int, group: list[tuple[bytes, int]]) -> None:
-        if len(group) == 1 and group[0][1] == 1 and group[0][0].count(b" ") < WINDOW:
-            return  # one window, once
+    def close(key: int, group: dict[bytes, int]) -> None:
         found = passages(group)
-        if any(runs for _, runs in found):
-            block.extend((key, x, words, runs) for (x, _), (words, runs) in zip(group, found, strict=True))
+        if found:
+            patterns.update(found)
+            block.extend((key, x) for x in group)
 
-    now, group = None, []
+    now, group = None, {}
     for b in rows_of(batches):
         for key, segment, n in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
             if key != now:
@@ -203,8 +207,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     close(now, group)
                     if len(block) >= BLOCK:
                         yield flush()
-                now, group = key, []
-            group.append((segment, n))
+                now, group = key, {}
+            group[segment] = group.get(segment, 0) + n
     if group:
         close(now, group)
     if block:
@@ -253,9 +257,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = places.join(again, "anchor").groupBy("doc_id", "th").agg(F.collect_set(F.struct("anchor", "hot")).alias("own"))
     found = settle(base.join(hits, _same(base, hits)).select(base["doc_id"], base["th"], "text", "own"), "anchored")
 
-    segments = found.mapInArrow(_segments(True), "key bigint, segment binary").groupBy("key", "segment").agg(F.count("*").alias("n"))
+    segments = found.mapInArrow(_texts_of_segments, "key bigint, segment binary, n bigint")
     located = segments.repartition("key").sortWithinPartitions("key").mapInArrow(_shards, "key bigint, sid binary, spans array<int>")
-    where = found.mapInArrow(_segments(False), "doc_id bigint, th bigint, start bigint, key bigint, sid binary")
+    where = found.mapInArrow(_places_of_segments, "doc_id bigint, th bigint, start bigint, key bigint, sid binary")
     spans = where.join(located, ["key", "sid"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "spans")).alias("places"))
     spans = settle(spans, "spans")
     texts = found.select("doc_id", "th", "text")

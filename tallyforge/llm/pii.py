@@ -18,9 +18,14 @@ The steps:
    distinct.
 4. *Replace.* Only rows with an entity are joined with the surrogates; their texts are cut at the matches
    and put together again.
+5. *Bare mentions.* Between the matches of a text, the words of its titled names (as written there, with a capital or in
+   capitals) get the same surrogates, so "Mr. John Smith ... Smith said" names one made-up person throughout.
+
+``n_entities`` counts the matches; a name without any titled mention in its text is not found.
 
 Defined results: NULL stays NULL and an empty text stays empty, both with no entity; rows with a
-NULL id and repeated rows are treated like any other and get the same surrogates; an empty table gives
+NULL id and repeated rows are treated like any other and get the same surrogates; of two matches that could begin at one place (ties) the
+first kind in the list counts; a very long text is one row like any other; an empty table gives
 an empty result. Columns other than the text pass through; ``n_entities`` replaces one of its name.
 """
 
@@ -260,6 +265,30 @@ def fit(raw: Column, kind: Column, values: Column) -> Column:
     )
 
 
+def bare_names(parts: DataFrame) -> DataFrame:
+    """(_n, _bare: array of (word, new)) from the parts of a text's matches with their surrogates: how its names read without a title.
+
+    Of a word that is a given name and a surname the surname counts.
+    """
+    names = parts.where("match = 'name'")
+    word = F.regexp_replace(F.element_at(_name_words(F.col("raw")), F.col("at") + 1), "'s?$", "")
+    value = F.regexp_replace("value", "'s?$", "")
+    form = lambda w, new: F.struct(w.alias("word"), new.alias("new"))
+    upper = F.upper("surrogate")
+    as_written = F.when((word == F.upper(word)) & (F.length(word) > 1), upper).otherwise(F.col("surrogate"))
+    forms = F.array(form(word, as_written), form(value, F.col("surrogate")), form(F.upper(value), upper))
+    spelled = names.select("_n", "kind", F.inline(forms)).where("length(word) > 1")
+    one = spelled.groupBy("_n", "word").agg(F.min_by("new", F.struct(F.col("kind") != "surname", "kind", "new")).alias("new"))
+    return one.groupBy("_n").agg(F.sort_array(F.collect_list(F.struct("word", "new"))).alias("_bare"))
+
+
+def _renamed(piece: Column, names: Column) -> Column:
+    """The text with each of the words, standing alone, replaced. Surrogates are no entities, so no word is replaced twice."""
+    alone = lambda w: F.concat(F.lit(r"(?<![\p{L}\p{N}])"), w, F.lit(r"(?![\p{L}\p{N}])"))
+    done = F.aggregate(names, piece, lambda text, n: F.regexp_replace(text, alone(n["word"]), n["new"]))
+    return F.when(names.isNull(), piece).otherwise(done)
+
+
 def may_hold(text: Column) -> Column:
     """A cheap test that no text with an entity fails."""
     found = text.rlike("[0-9@]") | text.rlike("(?i)(?:pass|pwd|secret|token|key)")
@@ -291,9 +320,11 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     filled = filled.select("_n", "raw", fit(F.col("raw"), F.col("match"), F.transform("ps", lambda p: p["s"])).alias("new"))
     maps = filled.groupBy("_n").agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias("_new"))
 
+    maps = maps.join(bare_names(joined), "_n", "left")
+
     pieces, every = F.split("_text", ANY, -1), F.regexp_extract_all("_text", F.lit(ANY), F.lit(0))
     new = lambda m: F.coalesce(F.element_at(F.col("_new"), m), m)
-    between = let(pieces, lambda ps: let(F.transform(every, new), lambda ms: F.concat_ws("", F.transform(ps, lambda p, i: F.concat(p, F.coalesce(F.get(ms, i), F.lit("")))))))
+    between = let(pieces, lambda ps: let(F.transform(every, new), lambda ms: F.concat_ws("", F.transform(ps, lambda p, i: F.concat(_renamed(p, F.col("_bare")), F.coalesce(F.get(ms, i), F.lit("")))))))
     done = marked.join(maps, "_n").withColumn("_done", between)
     out = [F.col("_done").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in columns]
     return done.select(*out, F.size("_found").cast("bigint").alias("n_entities")).unionByName(clean)

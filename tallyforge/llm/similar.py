@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.bounds import settle, small
 from tallyforge.llm.common import LOWER, components, gram_hashes, keep_one, mixed, rows_of, thinned, word_hashes, words_of
-from tallyforge.llm.neardup import close_pairs, near_lanes
+from tallyforge.llm.neardup import close_in_cells, close_pairs
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -55,7 +55,8 @@ KEY_BITS = 6
 SHORT = 32
 PART = 1024
 LOOK = 16
-SMALL_CELL = 24
+SMALL_CELL = 512
+WORDS = 1 << 15
 DENSE = 4
 BINS = 128
 SURE = 1e-5
@@ -268,15 +269,24 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
         size = np.diff(np.r_[start, len(key)])
         little = (size > 1) & (size <= SMALL_CELL) & (x[start] == y[start])
-        rest = np.repeat(np.where(little, size, 0), size)
-        place = np.arange(len(key)) - np.repeat(start, size)
-        for d in range(1, int(size[little].max()) if little.any() else 0):
-            i = np.flatnonzero(place + d < rest)
-            for at in range(0, len(i), 1 << 15):
-                own = i[at : at + (1 << 15)]
-                near = own[near_lanes(p[own] ^ p[own + d], RADIUS)]
-                if len(near):
-                    yield out(p, near, near + d)
+        own = np.flatnonzero(little)
+        ends = np.cumsum(size[own] * -(-size[own] // 64))
+        at = 0
+        while at < len(own):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS, "right")))
+            some = own[at:to]
+            at = to
+            left, right = close_in_cells(p, start[some], size[some], RADIUS)
+            of = np.searchsorted(start[some], left, "right") - 1
+            dense = np.bincount(of, minlength=len(some)) > DENSE * size[some]
+            plain = ~dense[of]
+            if plain.any():
+                yield out(p, left[plain], right[plain])
+            for k in np.flatnonzero(dense):
+                low, near = int(start[some[k]]), of == k
+                l, r = left[near], right[near]
+                e = spanning_forest(int(size[some[k]]), l - low, r - low, np.bitwise_count(p[l] ^ p[r]).sum(axis=1))
+                yield out(p, l[e], r[e], len(e) < len(l))
         for k in np.flatnonzero((size > 1) & ~little):
             s = slice(start[k], start[k] + size[k])
             own, same = p[s], x[start[k]] == y[start[k]]

@@ -17,7 +17,7 @@ def brute(docs, items):
             if not iw:
                 continue
             if len(iw) < d.SHINGLE:
-                out += [(doc, key, 1.0)] if iw == words else []
+                out += [(doc, key, 1.0)] if any(words[a : a + len(iw)] == iw for a in range(len(words))) else []
                 continue
             n = min(len(iw), len(words))
             sims = [d.weighted_jaccard(d.shingles(words[a : a + n]), d.shingles(iw)) for a in range(len(words) - n + 1)]
@@ -79,7 +79,21 @@ def test_dropping_and_odd_tables(spark):
     full = spark.createDataFrame([(*r, 1, "x") for r in docs], DOCS + ", leaks int, item_id string")
     bench = spark.createDataFrame(items, ITEMS)
     kept = d.drop_leaks(full, bench)
-    hit = {(x[0]) for x in brute(docs, items)}
+    # a short item counts where it is the whole text
+    of, texts = dict(items), {}
+    for k, t in docs:
+        texts.setdefault(k, t)
+    hit = {k for k, i, _ in brute(docs, items) if len(d.plain_words(of[i])) >= d.SHINGLE or d.plain_words(of[i]) == d.plain_words(texts[k])}
     assert kept.columns == full.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((r[0] for r in docs if r[0] not in hit), key=repr)
     assert d.drop_leaks(full, bench.limit(0)).count() == len(docs) and d.drop_leaks(full.limit(0), bench).count() == 0
+
+
+def test_short_items_are_found_within_texts_and_drop_no_long_text(spark):
+    items = [(1, "Yes!"), (2, "blue whale"), (3, "one two three four"), (4, "blue whale")]
+    docs = [(1, "the Blue, whale sang; the blue whale left"), (2, "yes"), (3, "Yes it is one two three four five"), (4, "yesterday bluewhale"), (5, None), (6, "blue whale.")]
+    assert run(spark, docs, items) == sorted([(1, 2, 1.0), (1, 4, 1.0), (2, 1, 1.0), (3, 1, 1.0), (3, 3, 1.0), (6, 2, 1.0), (6, 4, 1.0)], key=repr)
+    marked = d.mark_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).where("doc_id = 1").first()
+    assert {(x.item_id, x.start_word, x.n_words) for x in marked.leaks} == {(2, 1, 2), (4, 1, 2)}
+    kept = d.drop_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]

@@ -95,3 +95,13 @@ def test_empty_table_and_extra_columns(spark):
     assert run(spark, []) == {}
     d = spark.createDataFrame([(1, "http://a.b/", "<p>x", "t", 7)], SCHEMA + ", text string, host int")
     assert htmlmain.extract(d).first().text == "x"
+
+
+def test_formulas_and_elements_with_similar_names_stay():
+    assert htmlmain.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p></article>") == "Let x=2 be"
+    assert htmlmain.main_text("<article><object-view>kept</object-view><style-guide>too</style-guide><style>not</style></article>") == "kept too"
+
+
+def test_very_long_page():
+    body = "".join(f"<p>part {i}</p>" for i in range(40_000))
+    assert len(htmlmain.main_text(f"<nav>x</nav><article>{body}</article>").split()) == 80_000

@@ -56,6 +56,20 @@ def test_shortage_goes_to_siblings_first_and_prefixes_hold(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
+def test_a_child_of_weight_zero_supplies_nothing(spark):
+    rows = [(1, "w " * 100, "a", "x"), (2, "w " * 10, "a", "y"), (3, "w " * 100, "b", "z")]
+    weights = {"lang": F.lit(1.0), "source": F.when(F.col("source") == "x", 0.0).otherwise(1.0)}
+    got = {r.doc_id: r.epochs for r in mixed(spark, rows, 110, weights, max_epochs=1)}
+    # a can spend 10 of its 55; b takes the rest of the budget
+    assert got == {1: 0, 2: 1, 3: 1}
+    finer = [(100 + i, "w", "b", "z") for i in range(100)] + rows[:2]
+    got = mixed(spark, finer, 100, weights, max_epochs=1)
+    assert sum(r.tokens * r.epochs for r in got) == 100 and sum(r.epochs for r in got if r.lang == "b") == 90
+    # the whole family has no weight: everything goes to the other
+    nothing = {"lang": F.when(F.col("lang") == "a", 0.0).otherwise(1.0), "source": F.lit(1.0)}
+    assert sum(r.tokens * r.epochs for r in mixed(spark, finer, 100, nothing, max_epochs=1)) == 100
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None, None), (2, "", "en", None), (None, "w w", "en", "s"), (3, "x y z", None, "s"), (3, "x y z", None, "s"), (4, "long " * 20000, "en", "s")]
     got = mixed(spark, rows, 10**7, max_epochs=3)

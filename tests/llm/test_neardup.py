@@ -94,3 +94,19 @@ def test_bit_sliced_pairs(n, words, radius, most):
     left, right = neardup.close_pairs(stored, stored, radius)
     far = np.bitwise_count(stored[:, None, :] ^ stored[None, :, :]).sum(axis=2)
     assert set(zip(left.tolist(), right.tolist(), strict=True)) == set(zip(*[x.tolist() for x in np.nonzero(far <= radius)], strict=True))
+
+
+def test_many_cells_in_one_pass():
+    rng = np.random.default_rng(6)
+    size = np.array([1, 2, 63, 64, 65, 200, 3, 1, 130])
+    start = np.cumsum(size) - size + 4
+    p = rng.integers(0, 1 << 63, (int(size.sum()) + 9, 2), dtype=np.int64).view(np.uint64)
+    for s, n in zip(start, size, strict=True):
+        for i in range(1, n):
+            if rng.random() < 0.4:
+                p[s + i] = p[s + rng.integers(0, i)]
+                for bit in rng.choice(128, rng.integers(0, 50), replace=False):
+                    p[s + i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    left, right = neardup.close_in_cells(p, start, size, 37)
+    want = {(i, j) for s, n in zip(start, size, strict=True) for i in range(s, s + n) for j in range(i + 1, s + n) if np.bitwise_count(p[i] ^ p[j]).sum() <= 37}
+    assert len(left) == len(want) > 50 and set(zip(left.tolist(), right.tolist(), strict=True)) == want

@@ -67,3 +67,23 @@ def test_empty_table_and_clashing_columns(spark):
     assert phrases.digests(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
     d = spark.createDataFrame([(1, "a b", "k", 5)], "doc_id bigint, text string, key string, th int")
     assert [tuple(r)[:3] for r in phrases.digests(d).collect()] == [(1, 2, 0)]
+
+
+def test_only_the_automata_mark_places(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(60))
+    group = {(text + " a b").encode(): 1, ("c " + text).encode(): 1, " ".join(f"u{i}" for i in range(80)).encode(): 1}
+    found = phrases.passages(group)
+    assert found == {text.encode()}
+    assert phrases.locate(found, [*group, b"w1 w2", (text + " x " + text).encode()]) == [[0, 60], [1, 61], [], [], [0, 60, 61, 121]]
+    # without the automaton nothing is located and every text stays whole
+    monkeypatch.setattr(phrases, "locate", lambda patterns, segments: [[] for _ in segments])
+    blocks = [b for b in phrases._shards(iter([phrases.pa.record_batch([[1, 1], list(group)[:2], [1, 1]], names=["key", "segment", "n"])]))]
+    assert sum(b.num_rows for b in blocks) == 0
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(9)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 90_000, 40_000))
+    rows = [(1, long), (2, "start " + long[: len(long) // 2]), (3, " ".join(f"z{i}" for i in range(20_000)))]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((tuple(r) for r in phrases.digests(d).collect()), key=repr) == brute(rows)

@@ -79,3 +79,16 @@ def test_empty_table_columns_and_plan(spark):
     assert out.columns == ["doc_id", "text", "kind", "n_entities"] and sorted(r.kind for r in out.collect()) == ["x", "y"]
     plan = out._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "NestedLoop", "Cartesian"))
+
+
+def test_bare_mentions_share_the_surrogate(spark):
+    texts = [
+        "Mr. John Smith met Frau Lena Weiß-Braun. Smith said John was late; SMITH left. Lena smiled, smith is a job, Smithson too.",
+        "Smith and Lena without a title stay.",
+        "Mrs. Smith's car: Smith paid.",
+    ]
+    (one, n), (two, _), (three, _) = run(spark, texts)
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Frau (\w+) ([\w-]+)\. (\w+) said (\w+) was late; (\w+) left\. (\w+) smiled, smith is a job, Smithson too\.", one)
+    assert m and m[5] == m[2] and m[6] == m[1] and m[7] == m[2].upper() and m[8] == m[3] and n == 2
+    assert not {"Smith", "John", "Lena"} & set(re.findall(r"\w+", one)) - {"Smithson"}
+    assert two == texts[1] and "Smith" not in three
