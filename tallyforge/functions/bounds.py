@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 50_000
 
 _own_scratch: str | None = None
+_owners: list[list[str]] = []
 
 
 def small(df: DataFrame, rows: int | None) -> DataFrame:
@@ -51,13 +53,31 @@ def spread(df: DataFrame, scan: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(scan.inputFiles()) < cores else df
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def settled_tables(spark: SparkSession) -> Iterator[None]:
+    """Own the tables that are settled within the block and remove them at its end.
+
+    For jobs that write their result within the block: what reads a removed table afterwards fails.
+    """
+    _owners.append([])
+    try:
+        yield
+    finally:
+        of = spark._jvm.org.apache.hadoop.fs.Path
+        for path in _owners.pop():
+            of(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(of(path), True)
+
+
+def settle(df: DataFrame, name: str, owned: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage at a place that survives lost executors, and gives the planner the
-    true size of the result, so broadcast decisions on it rest on bytes, not on guesses.
+    true size of the result, so broadcast decisions on it rest on bytes, not on guesses. Within a
+    ``settled_tables`` block the table goes at its end, unless ``owned`` is False.
     """
     path = scratch_path(df.sparkSession, name)
+    if owned and _owners:
+        _owners[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.bounds import settle, small
 
-# Rows of one key that a single task may hold; at most (rows / HOT_ROWS) keys are above it.
-HOT_ROWS = 1_000_000
-
 
 def join_keyed(
     rows: DataFrame,
@@ -22,15 +19,18 @@ def join_keyed(
 ) -> DataFrame:
     """Join ``rows`` with ``side`` (at most one row per key).
 
-    Keys with more than HOT_ROWS rows are found by one partial aggregation (or taken from
-    ``sizes``: on + n). Each is cut into ceil(n / HOT_ROWS) parts by the hash of ``spread``, and
-    only that key's side row is repeated, once per part. The result is the plain join's.
+    The adaptive planner splits the partitions of ``rows`` that a hot key fills (spark.sql.adaptive.skewJoin) and
+    repeats only their side; no job runs while the plan is made. Where it is off, ``hot_rows`` cuts by
+    hand: keys with more rows are found by one partial aggregation (or taken from ``sizes``: on + n), each is cut into
+    ceil(n / hot_rows) parts by the hash of ``spread``, and only that key's side row is repeated, once per
+    part. The result is the plain join's either way.
     """
-    limit = HOT_ROWS if hot_rows is None else hot_rows
+    if hot_rows is None:
+        return rows.join(side, on, how)
     if sizes is None:
         sizes = rows.groupBy(*on).agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / F.lit(limit)).cast("bigint").alias("_parts")
-    hot = settle(sizes.where(F.col("n") > limit).select(*on, parts), "hot-keys")
+    parts = F.ceil(F.col("n") / F.lit(hot_rows)).cast("bigint").alias("_parts")
+    hot = settle(sizes.where(F.col("n") > hot_rows).select(*on, parts), "hot-keys")
     n_hot = hot.count()
     if n_hot == 0:
         return rows.join(side, on, how)

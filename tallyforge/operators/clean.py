@@ -114,10 +114,10 @@ def reconcile_manifest(m: DataFrame, candidates: DataFrame) -> DataFrame:
     path. None: missing. Candidates are reduced per name and per (name, hash) before the
     joins, so a name shared by many files never meets the manifest pairwise.
     """
-    exact = candidates.groupBy("name", "md5").agg(F.min("path").alias("exact_path"))
-    by_name = candidates.groupBy("name").agg(
-        F.count("*").alias("n_candidates"), F.min(F.struct("path", "md5")).alias("first")
-    )
+    exact = candidates.groupBy("name", "md5").agg(F.min("path").alias("exact_path"), F.count("*").alias("_n"))
+    # from the same aggregation, so the candidates are read once
+    by_name = exact.groupBy("name").agg(F.sum("_n").alias("n_candidates"), F.min(F.struct(F.col("exact_path").alias("path"), "md5")).alias("first"))
+    exact = exact.drop("_n")
     named = join_keyed(m.select("key", "name", "md5"), by_name, ["name"], "key", "left")
     return (
         join_keyed(named, exact, ["name", "md5"], "key", "left")

@@ -150,6 +150,19 @@ def parse_external_names(df: DataFrame, col: str) -> DataFrame:
     return d.where((F.size(parts) >= 3) & F.col("code").isNotNull())
 
 
+def parse_external_folders(df: DataFrame, col: str) -> DataFrame:
+    """Paths root/folder/file of the second naming scheme: the folder is ``x-<code>-x-<label>``, maybe with more
+    parts, and the file names its writer as ``P-<digits>`` (empty if it does not). Adds orig_label, code and writer_id; paths that
+    are too short, are no image or have no code are dropped.
+    """
+    parts = F.split(F.col(col), "/")
+    folder, file = F.split(F.get(parts, F.lit(1)), "-"), F.get(parts, F.lit(2))
+    d = df.withColumn("orig_label", F.get(folder, F.lit(3))).withColumn("code", F.get(folder, F.lit(1)).try_cast("int"))
+    d = d.withColumn("writer_id", F.regexp_extract(file, r"(P-\d+)", 1))
+    image = F.lower(col).rlike(r"\.(?:jpe?g|png)$")
+    return d.where(image & (F.size(parts) >= 3) & (F.size(folder) >= 4) & F.col("code").isNotNull())
+
+
 def family_of(name: Column) -> Column:
     """Family of a source name: extension and ``[...]`` removed, then the text before ``-`` or ``_``."""
     stem = F.regexp_replace(name, r"(?<=.)\.[^./]*$", "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.bounds import Classes, attach_row, small
@@ -60,22 +60,34 @@ def per_class_report(cells: DataFrame, keys: Sequence[str], counts: DataFrame, r
     return out.withColumn("blind", F.col("n_val") == 0)
 
 
-def confusion_zoom(cells: DataFrame, k: int = 18) -> DataFrame:
-    """The sub-matrix of the k classes with the most errors, counted as true and as predicted."""
+def confusion_zoom(cells: DataFrame, k: int = 18, keys: Sequence[str] = ()) -> DataFrame:
+    """Per keys the sub-matrix of the k classes with the most errors, counted as true and as predicted."""
     off = cells.where("y <> pred")
-    errors = off.select(F.explode(F.array("y", "pred")).alias("label"), "n").groupBy("label").agg(F.sum("n").alias("errors"))
-    top = errors.orderBy(F.desc("errors"), "label").limit(k)
-    side = small(top.select("label"), k)
-    return cells.join(side, F.col("y") == F.col("label"), "left_semi").join(side, F.col("pred") == F.col("label"), "left_semi")
+    errors = off.select(*keys, F.explode(F.array("y", "pred")).alias("label"), "n").groupBy(*keys, "label").agg(F.sum("n").alias("errors"))
+    # cell-sized
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("errors"), "label"))
+    top = errors.withColumn("_r", place).where(F.col("_r") <= k).select(*keys, "label")
+    rows, cols = top.withColumnRenamed("label", "y"), top.withColumnRenamed("label", "pred")
+    return cells.join(rows, [*keys, "y"], "left_semi").join(cols, [*keys, "pred"], "left_semi")
 
 
-def show_class(pred: DataFrame, label: int) -> DataFrame:
-    """All mistakes of one true class."""
-    return pred.where((F.col("y") == label) & (F.col("pred") != label))
+def show_class(pred: DataFrame, label: int, keys: Sequence[str] = ("model",), order: str = "item_id") -> DataFrame:
+    """All mistakes of one true class with ``n_mistaken``, how often it was taken for the same class; ordered by
+    keys, the most frequent mistake first, the surest rows first.
+    """
+    wrong = pred.where((F.col("y") == label) & (F.col("pred") != label))
+    counts = wrong.groupBy(*keys, "pred").agg(F.count("*").alias("n_mistaken"))
+    return wrong.join(counts, [*keys, "pred"]).orderBy(*keys, F.desc("n_mistaken"), "pred", F.desc("p1"), order)
 
 
-def confident_mistakes(pred: DataFrame, key: str, k: int) -> DataFrame:
-    """The k surest wrong rows and the k least sure correct rows."""
-    wrong = pred.where("y <> pred").orderBy(F.desc("p1"), key).limit(k).withColumn("list", F.lit("wrong_sure"))
-    right = pred.where("y = pred").orderBy("p1", key).limit(k).withColumn("list", F.lit("right_unsure"))
-    return wrong.unionByName(right)
+def confident_mistakes(pred: DataFrame, key: str, k: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Per keys the k surest wrong rows and the k least sure correct rows.
+
+    A partition keeps its own k of each list before the exchange, so k rows per task and list move.
+    """
+
+    def first(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order, key)
+        return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r").withColumn("list", F.lit(name))
+
+    return first(pred.where("y <> pred"), "wrong_sure", F.desc("p1")).unionByName(first(pred.where("y = pred"), "right_unsure", "p1"))

@@ -81,13 +81,14 @@ def plan_fixes(
     relabel: Sequence[str] = (),
     drop: Sequence[str] = (),
     min_conf: float = 0.70,
+    listed: DataFrame | None = None,
 ) -> DataFrame:
     """Actions (key, action, from_class, to_class) on noise candidates, one per key: the first one.
 
     Order: reviewed rows (key, verdict[, pos: their order]), relabel pairs, drop pairs, each in the
     order given; among candidates of one rank the surest. Of several verdicts without ``pos`` the least
     in the alphabet counts. A reviewed key that is no candidate, or a pair without candidates, fails
-    the job.
+    the job. ``listed`` (y_class, pred_class, action, priority from 1) gives the pairs as a table instead.
     """
     spark = candidates.sparkSession
     names = set(classes.require_names())
@@ -96,9 +97,13 @@ def plan_fixes(
         if a not in names or b not in names:
             raise ValueError(f"{a}>{b} names a class outside the universe")
     cand = candidates.where(F.col("p_pred") >= min_conf).select("key", "y_class", "pred_class", "p_pred")
-    listed = spark.createDataFrame(rows, "y_class string, pred_class string, action string, priority int")
+    bound: int | None = len(rows)
+    if listed is None:
+        listed = spark.createDataFrame(rows, "y_class string, pred_class string, action string, priority int")
+    else:
+        bound = None
     pairs = listed.groupBy("y_class", "pred_class").agg(F.min_by("action", "priority").alias("pair_action"), F.min("priority").alias("rank"))
-    picked = cand.join(small(pairs, len(rows)), ["y_class", "pred_class"], "left")
+    picked = cand.join(small(pairs, bound), ["y_class", "pred_class"], "left")
     unmet = listed.join(cand.select("y_class", "pred_class").distinct(), ["y_class", "pred_class"], "left_anti")
     stop = unmet.select(F.concat_ws(">", "y_class", "pred_class").alias("what"))
     if reviewed is not None:
@@ -110,7 +115,7 @@ def plan_fixes(
     else:
         picked = picked.withColumn("verdict", F.lit(None).cast("string"))
     act = F.struct(F.coalesce("verdict", "pair_action").alias("action"), F.col("y_class").alias("from_class"), F.col("pred_class").alias("to_class"))
-    order = F.struct(F.coalesce("rank", F.lit(len(rows) + 1)), -F.col("p_pred"), "pred_class", "y_class")
+    order = F.struct(F.coalesce("rank", F.lit(1 << 30)), -F.col("p_pred"), "pred_class", "y_class")
     actions = picked.where("coalesce(verdict, pair_action) is not null").groupBy("key").agg(F.min_by(act, order).alias("a")).select("key", "a.*")
     failed = stop.select(F.raise_error(F.concat(F.lit("no candidate for "), F.col("what"))).cast("string").alias("action"))
     key_type = candidates.schema["key"].dataType

@@ -219,10 +219,15 @@ def compare_distributions(real: DataFrame, other: DataFrame, cls: str, col: str,
 def leakage_report(train: DataFrame, val: DataFrame, kind: str, grp: list[str]) -> DataFrame:
     """Per kind: share of val rows whose group also has train rows. One aggregation, no join."""
     cols = list(dict.fromkeys([kind, *grp]))
-    both = train.select(*cols, F.lit(1).alias("t"), F.lit(0).alias("v")).unionByName(
-        val.select(*cols, F.lit(0).alias("t"), F.lit(1).alias("v"))
-    )
-    per = both.groupBy(*cols).agg(F.max("t").alias("t"), F.sum("v").alias("v"))
+    both = train.select(*cols, F.lit("train").alias("_side")).unionByName(val.select(*cols, F.lit("val").alias("_side")))
+    return leakage_by_side(both, "_side", kind, grp)
+
+
+def leakage_by_side(df: DataFrame, side: str, kind: str, grp: list[str]) -> DataFrame:
+    """``leakage_report`` of one table whose column ``side`` says train or val: the split is worked out once."""
+    cols = list(dict.fromkeys([kind, *grp]))
+    is_ = lambda s: F.col(side) == s
+    per = df.where(is_("train") | is_("val")).groupBy(*cols).agg(F.max(F.when(is_("train"), 1).otherwise(0)).alias("t"), F.count_if(is_("val")).alias("v"))
     leaked = F.sum(F.col("t") * F.col("v"))
     return per.groupBy(F.col(kind).alias("kind")).agg(
         F.sum("v").alias("n_val"),

@@ -64,21 +64,37 @@ class NaiveBayes:
     prior: dict[int, np.ndarray]
 
 
+# Tokens, and cells of a rows x tokens table, that a task holds at a time.
+SLICE = 1 << 20
+
+
+def _slices(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of rows with at most SLICE tokens in a list column; a longer row is a slice of its own."""
+    ends = np.cumsum(np.diff(b.column(column).offsets.to_numpy()))
+    at = 0
+    while at < b.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = max(int(np.searchsorted(ends, before + SLICE, "right")), at + 1)
+        yield b.slice(at, end - at)
+        at = end
+
+
 def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All elements of a list column and the number of each row's."""
     n = np.diff(column.offsets.to_numpy())
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), n.astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), n.astype(np.int64)
 
 
 def _count_tokens(n_models: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole, 2)):
             label, fold = b.column(0).to_numpy(), b.column(1).to_numpy()
             for m in range(n_models):
                 token, n = _values(b.column(2 + m))
-                rows = np.stack([np.repeat(label, n), np.repeat(fold, n), token])
-                keys, count = np.unique(rows, axis=1, return_counts=True)
-                cols = [np.full(len(count), m), *keys, count]
+                names, place = np.unique(token, return_inverse=True)
+                kinds, kind = np.unique(np.stack([label, fold]), axis=1, return_inverse=True)
+                code, count = np.unique(np.repeat(kind.ravel() * len(names), n) + place, return_counts=True)
+                cols = [np.full(len(count), m), *kinds[:, code // max(len(names), 1)], names[code % max(len(names), 1)], count]
                 yield pa.record_batch([pa.array(c.astype(np.int64)) for c in cols], names=["m", "label", "fold", "token", "n"])
 
     return run
@@ -121,32 +137,47 @@ def nb_prior(items: DataFrame, n_classes: int, folds: int = 0) -> dict[int, np.n
     return {f: _log_share(n.sum(axis=0) - n[f]) if folds else _log_share(n[0]) for f in range(len(n))}
 
 
+def _sums(token: np.ndarray, row: np.ndarray, rows: int, names: np.ndarray, lps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of the log-probabilities of a row's tokens by class, its known tokens), by counting a row's tokens first.
+
+    Counts and millionths are whole numbers, so the products of the two tables are exact.
+    """
+    value, seen = np.zeros((rows, lps.shape[1])), np.zeros(rows, np.int64)
+    place = np.searchsorted(names, token)
+    known = place < len(names)
+    known[known] = names[place[known]] == token[known]
+    row, place = row[known], place[known]
+    step = max(1, SLICE // max(len(names), 1))
+    for low in range(0, rows, step):
+        a, b = np.searchsorted(row, [low, low + step])
+        n = min(step, rows - low)
+        for at in range(a, b, SLICE):
+            cell = (row[at : min(at + SLICE, b)] - low) * len(names) + place[at : min(at + SLICE, b)]
+            counts = np.bincount(cell, minlength=n * len(names)).reshape(n, len(names))
+            value[low : low + n] += counts.astype(float) @ lps.astype(float)
+            seen[low : low + n] += counts.sum(axis=1)
+    return value, seen
+
+
 def _score_batches(model: NaiveBayes, models: Sequence[str], with_fold: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole, 2)):
             fold = b.column(1).to_numpy().astype(np.int64)
-            folds = np.unique(fold)
             for k, m in enumerate(models):
                 token, n = _values(b.column(2 + k))
-                ends = np.cumsum(n)
-                of_token = np.repeat(fold, n)
+                of_token = np.repeat(np.arange(len(n)), n)
                 width = len(next(iter(model.prior.values())))
-                value = np.zeros((len(token) + 1, width), np.int64)
-                seen = np.zeros(len(token) + 1, np.int64)
-                for f in folds:
-                    names, lps = model.tables[m, int(f)]
-                    at = np.flatnonzero(of_token == f)
-                    place = np.searchsorted(names, token[at])
-                    known = place < len(names)
-                    known[known] = names[place[known]] == token[at[known]]
-                    value[at[known] + 1] = lps[place[known]]
-                    seen[at[known] + 1] = 1
-                value, seen = np.cumsum(value, axis=0), np.cumsum(seen)
+                value, seen = np.zeros((len(n), width)), np.zeros(len(n), np.int64)
+                for f in np.unique(fold):
+                    own = np.flatnonzero(fold == f)
+                    at = slice(None) if len(own) == len(fold) else np.flatnonzero(fold[of_token] == f)
+                    rows = of_token[at] if len(own) == len(fold) else np.searchsorted(own, of_token[at])
+                    value[own], seen[own] = _sums(token[at], rows, len(own), *model.tables[m, int(f)])
                 prior = np.stack([model.prior[int(f)] for f in fold]) if len(fold) else np.zeros((0, width), np.int64)
-                score = (prior.astype(float) + (value[ends] - value[ends - n]).astype(float)) / SCALE
+                score = (prior.astype(float) + value) / SCALE
                 scores = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * width), pa.array(score.ravel()))
                 name = pa.array([m] * len(n), pa.string())
-                cols = [b.column(0), name, *([b.column(1)] if with_fold else []), scores, pa.array(seen[ends] - seen[ends - n])]
+                cols = [b.column(0), name, *([b.column(1)] if with_fold else []), scores, pa.array(seen)]
                 yield pa.record_batch(cols, names=["_row", "model", *(["fold"] if with_fold else []), "scores", "known"])
 
     return run

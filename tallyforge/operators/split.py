@@ -91,12 +91,15 @@ def group_fraction_holdout(
     )
 
 
-def holdout_checks(df: DataFrame, held: str, grp: str, cls: str, classes: Classes, thin: int = 30) -> DataFrame:
+def holdout_checks(df: DataFrame, held: str, grp: str, cls: str, classes: Classes, thin: int = 30, weight: str | None = None) -> DataFrame:
     """Per class: rows on both sides of ``held`` and a status; plus the number of groups on both sides.
 
-    status: probe_only (untrainable), absent (no probe row), thin (< thin probe rows), ok.
+    status: probe_only (untrainable), absent (no probe row), thin (< thin probe rows), ok. ``df`` may have one row per
+    (group, class) with the number of its rows as ``weight``: a group with very many rows is then one row before any join.
     """
-    counts = df.groupBy(F.col(cls).alias("class")).agg(F.count_if(~F.col(held)).alias("n_train"), F.count_if(F.col(held)).alias("n_probe"))
+    n = F.col(weight) if weight else F.lit(1)
+    side = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("bigint")
+    counts = df.groupBy(F.col(cls).alias("class")).agg(side(~F.col(held)).alias("n_train"), side(F.col(held)).alias("n_probe"))
     sides = df.groupBy(grp).agg(F.max(held).alias("p"), F.max(~F.col(held)).alias("t"))
     leaks = sides.agg(F.count_if(F.col("p") & F.col("t")).alias("leaked_groups"))
     table = classes.side.select("class").join(counts, "class", "left")

@@ -86,34 +86,38 @@ def per_class_report(spark, sf):
 @query(
     "confusion_zoom",
     with_blocks(
-        """SELECT y_class, pred_class, n FROM cv WHERE y IN (SELECT label FROM top) AND pred IN (SELECT label FROM top)""",
+        """SELECT model, y_class, pred_class, n FROM ce WHERE (model, y) IN (SELECT (model, label) FROM top) AND (model, pred) IN (SELECT (model, label) FROM top)""",
         S.PRED, _CELLS,
-        """cv AS (SELECT * FROM ce WHERE model = 'vowels'),
-           top AS (SELECT label FROM (SELECT y AS label, n FROM cv WHERE y <> pred UNION ALL SELECT pred, n FROM cv WHERE y <> pred) GROUP BY label ORDER BY sum(n) DESC, label LIMIT 3)""",
+        """top AS (SELECT model, label FROM (SELECT model, label, row_number() OVER (PARTITION BY model ORDER BY sum(n) DESC, label) AS r
+             FROM (SELECT model, y AS label, n FROM ce WHERE y <> pred UNION ALL SELECT model, pred, n FROM ce WHERE y <> pred) GROUP BY model, label) WHERE r <= 3)""",
     ),
 )
 def confusion_zoom(spark, sf):
-    d = errors.confusion_zoom(cells(spark, sf).where("model = 'vowels'"), 3)
-    return d.select(nm(spark, sf, "y", "y_class"), nm(spark, sf, "pred", "pred_class"), "n")
+    d = errors.confusion_zoom(cells(spark, sf), 3, ["model"])
+    return d.select("model", nm(spark, sf, "y", "y_class"), nm(spark, sf, "pred", "pred_class"), "n")
 
 
-@query("show_class", with_blocks("SELECT model, item_id, pred_class, round(p1, 6) AS p1 FROM pd WHERE y_class = 'fr' AND pred_class <> 'fr'", S.PRED))
+@query(
+    "show_class",
+    with_blocks("SELECT model, item_id, pred_class, count(*) OVER (PARTITION BY model, pred_class) AS n_mistaken, round(p1, 6) AS p1 FROM pd WHERE y_class = 'fr' AND pred_class <> 'fr'", S.PRED),
+)
 def show_class(spark, sf):
     d = errors.show_class(S.pred(spark, sf), S.dim(spark, sf).require_names().index("fr"))
-    return d.select("model", "item_id", nm(spark, sf, "pred", "pred_class"), *r6("p1"))
+    return d.select("model", "item_id", nm(spark, sf, "pred", "pred_class"), "n_mistaken", *r6("p1"))
 
 
 @query(
     "confident_mistakes",
     with_blocks(
-        """(SELECT 'wrong_sure' AS list, item_id, y_class, pred_class, round(p1, 5) AS p1 FROM pd WHERE model = 'vowels' AND y <> pred ORDER BY pd.p1 DESC, item_id LIMIT 15)
-           UNION ALL (SELECT 'right_unsure', item_id, y_class, pred_class, round(p1, 5) FROM pd WHERE model = 'vowels' AND y = pred ORDER BY pd.p1, item_id LIMIT 15)""",
+        """SELECT model, list, item_id, y_class, pred_class, round(p1, 5) AS p1 FROM (
+             SELECT *, 'wrong_sure' AS list, row_number() OVER (PARTITION BY model ORDER BY p1 DESC, item_id) AS r FROM pd WHERE y <> pred
+             UNION ALL SELECT *, 'right_unsure', row_number() OVER (PARTITION BY model ORDER BY p1, item_id) FROM pd WHERE y = pred) WHERE r <= 15""",
         S.PRED,
     ),
 )
 def confident_mistakes(spark, sf):
-    d = errors.confident_mistakes(S.pred(spark, sf).where("model = 'vowels'"), "item_id", 15)
-    return d.select("list", "item_id", nm(spark, sf, "y", "y_class"), nm(spark, sf, "pred", "pred_class"), F.round("p1", 5).alias("p1"))
+    d = errors.confident_mistakes(S.pred(spark, sf), "item_id", 15, ["model"])
+    return d.select("model", "list", "item_id", nm(spark, sf, "y", "y_class"), nm(spark, sf, "pred", "pred_class"), F.round("p1", 5).alias("p1"))
 
 
 # --- label noise -------------------------------------------------------------
@@ -126,58 +130,65 @@ def oof_assemble(spark, sf):
     return d.select("model", "n_rows", "n_items", "n_repeated", *r6("accuracy"), "n_disagree")
 
 
-NOISE = S.OOF + ",\nnc AS (SELECT * FROM po WHERE model = 'vowels' AND y <> pred AND p1 >= 0.70)"
+NOISE = S.OOF + ",\nnc AS (SELECT * FROM po WHERE y <> pred AND p1 >= 0.70)"
 
 
 def candidates(spark, sf):
-    c = noise.noise_candidates(S.oof_pred(spark, sf).where("model = 'vowels'"))
+    c = noise.noise_candidates(S.oof_pred(spark, sf))
     return c.withColumn("key", F.col("item_id")).withColumn("y_class", nm(spark, sf, "y", "y_class")).withColumn("pred_class", nm(spark, sf, "pred", "pred_class"))
 
 
 @query(
     "noise_candidates",
-    with_blocks("SELECT item_id, y_class, pred_class, round(p_true, 6) AS p_true, round(p1, 6) AS p_pred, round(p1 - p_true, 6) AS margin, fold FROM nc", NOISE),
+    with_blocks("SELECT model, item_id, y_class, pred_class, round(p_true, 6) AS p_true, round(p1, 6) AS p_pred, round(p1 - p_true, 6) AS margin, fold FROM nc", NOISE),
 )
 def noise_candidates(spark, sf):
-    return candidates(spark, sf).select("item_id", "y_class", "pred_class", *r6("p_true", "p_pred", "margin"), *big("fold"))
+    return candidates(spark, sf).select("model", "item_id", "y_class", "pred_class", *r6("p_true", "p_pred", "margin"), *big("fold"))
 
 
 @query(
     "noise_pairs",
     with_blocks(
-        """SELECT y_class, pred_class, count(*) AS n, round(avg(p1), 6) AS mean_conf, round(avg(p1 - p_true), 6) AS mean_margin,
+        """SELECT model, y_class, pred_class, count(*) AS n, round(avg(p1), 6) AS mean_conf, round(avg(p1 - p_true), 6) AS mean_margin,
                   CASE WHEN avg(p1) > 0.75 AND count(*) >= 5 THEN 'relabel' ELSE 'review' END AS suggestion FROM nc GROUP BY ALL""",
         NOISE,
     ),
 )
 def noise_pairs(spark, sf):
-    d = noise.noise_pairs(candidates(spark, sf), conf=0.75)
-    return d.select(nm(spark, sf, "y", "y_class"), nm(spark, sf, "pred", "pred_class"), "n", *r6("mean_conf", "mean_margin"), "suggestion")
+    d = noise.noise_pairs(candidates(spark, sf), ["model"], conf=0.75)
+    return d.select("model", nm(spark, sf, "y", "y_class"), nm(spark, sf, "pred", "pred_class"), "n", *r6("mean_conf", "mean_margin"), "suggestion")
 
 
 @query(
     "undisputed_reference",
     with_blocks(
-        """(SELECT doc_id, CASE lang WHEN 'es' THEN 'reference_a' ELSE 'reference_b' END AS role FROM (
-              SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents WHERE lang IN ('es', 'en') AND doc_id NOT IN (SELECT item_id FROM nc)) WHERE r <= 8)
-           UNION ALL (SELECT item_id, 'disputed' FROM nc WHERE y_class = 'es' AND pred_class = 'en' ORDER BY p1 DESC, item_id LIMIT 8)""",
+        """SELECT model, doc_id, CASE lang WHEN 'es' THEN 'reference_a' ELSE 'reference_b' END AS role FROM (
+              SELECT model, doc_id, lang, row_number() OVER (PARTITION BY model, lang ORDER BY md5('42:' || doc_id), doc_id) AS r
+              FROM documents CROSS JOIN (VALUES ('finals'), ('lengths'), ('vowels')) mm(model) WHERE lang IN ('es', 'en') AND (model, doc_id) NOT IN (SELECT (model, item_id) FROM nc)) WHERE r <= 8
+           UNION ALL SELECT model, item_id, 'disputed' FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY p1 DESC, item_id) AS r FROM nc WHERE y_class = 'es' AND pred_class = 'en') WHERE r <= 8""",
         NOISE,
     ),
 )
 def undisputed_reference(spark, sf):
     cand = candidates(spark, sf).withColumn("doc_id", F.col("item_id"))
-    return noise.undisputed_reference(C.documents(spark, sf).select("doc_id", "lang"), cand, "doc_id", "lang", ("es", "en"))
+    return noise.undisputed_reference(C.documents(spark, sf).select("doc_id", "lang"), cand, "doc_id", "lang", ("es", "en"), models=("finals", "lengths", "vowels"))
 
 
 # reviewed verdicts: the second label table stands in for the reviewer
-_REVIEW = "rv AS (SELECT nc.item_id AS key, CASE WHEN l.toxic = 1 THEN 'drop' WHEN l.quality = 1 THEN 'relabel' ELSE 'keep' END AS verdict FROM nc JOIN labels l ON l.doc_id = nc.item_id)"
-_ACTIONS = """ac AS (SELECT nc.item_id AS key, coalesce(CASE WHEN rv.verdict IN ('drop', 'relabel') THEN rv.verdict END,
-         CASE tp.r WHEN 1 THEN 'relabel' WHEN 2 THEN 'drop' END) AS action, nc.y_class AS from_class, nc.pred_class AS to_class
-       FROM nc LEFT JOIN rv ON rv.key = nc.item_id
-       LEFT JOIN (SELECT y, pred, row_number() OVER (ORDER BY n DESC, y, pred) AS r FROM (SELECT y, pred, count(*) AS n FROM nc GROUP BY ALL)) tp ON tp.y = nc.y AND tp.pred = nc.pred)"""
+_REVIEW = "rv AS (SELECT DISTINCT nc.item_id AS key, CASE WHEN l.toxic = 1 THEN 'drop' WHEN l.quality = 1 THEN 'relabel' ELSE 'keep' END AS verdict FROM nc JOIN labels l ON l.doc_id = nc.item_id)"
+_ACTIONS = """ac AS (SELECT key, action, from_class, to_class FROM (
+       SELECT *, row_number() OVER (PARTITION BY key ORDER BY coalesce(r, 3), p1 DESC, to_class, from_class) AS k FROM (
+         SELECT nc.item_id AS key, coalesce(CASE WHEN rv.verdict IN ('drop', 'relabel') THEN rv.verdict END, CASE tp.r WHEN 1 THEN 'relabel' WHEN 2 THEN 'drop' END) AS action,
+                nc.y_class AS from_class, nc.pred_class AS to_class, nc.p1, CASE WHEN tp.r <= 2 THEN tp.r END AS r
+         FROM nc LEFT JOIN rv ON rv.key = nc.item_id
+         LEFT JOIN (SELECT y, pred, row_number() OVER (ORDER BY n DESC, y, pred) AS r FROM (SELECT y, pred, count(*) AS n FROM nc GROUP BY ALL)) tp ON tp.y = nc.y AND tp.pred = nc.pred)
+       WHERE action IS NOT NULL) WHERE k = 1)"""
 
 
 def _actions(spark, sf):
+    """One action per item on the candidates of all models."""
+    from pyspark.sql import Window
+
     from tallyforge.plans.base import table
 
     cand = candidates(spark, sf)
@@ -186,10 +197,11 @@ def _actions(spark, sf):
     )
     reviewed = lab.join(cand.select("key"), "key", "left_semi")
     # the reviewer reads the pair table and confirms the first pair, then gives up on the second
-    top = noise.noise_pairs(cand).orderBy(F.desc("n"), "y", "pred").limit(2).collect()
-    names = S.dim(spark, sf).require_names()
-    pairs = [f"{names[r.y]}>{names[r.pred]}" for r in top]
-    return overlay.plan_fixes(cand, S.dim(spark, sf), reviewed, relabel=pairs[:1], drop=pairs[1:])
+    first = F.row_number().over(Window.orderBy(F.desc("n"), "y", "pred"))
+    top = noise.noise_pairs(cand).withColumn("priority", first).where("priority <= 2")
+    action = F.when(F.col("priority") == 1, "relabel").otherwise("drop").alias("action")
+    listed = top.select(nm(spark, sf, "y", "y_class"), nm(spark, sf, "pred", "pred_class"), action, "priority")
+    return overlay.plan_fixes(cand, S.dim(spark, sf), reviewed, listed=listed)
 
 
 @query("plan_fixes", with_blocks("SELECT * FROM ac WHERE action IS NOT NULL", NOISE, _REVIEW, _ACTIONS))
@@ -247,10 +259,10 @@ def perturb_sweep(spark, sf):
 
 @query(
     "sweep_cross",
-    with_blocks("SELECT condition, severity, count(*) AS n_items, sum(n_chars)::BIGINT AS n_chars FROM gi GROUP BY ALL", S.SWEEP),
+    with_blocks("SELECT condition, severity, (SELECT count(*) FROM documents) AS n_items, (SELECT sum(n_chars) FROM documents)::BIGINT AS n_chars FROM (SELECT DISTINCT condition, severity FROM gi)", S.SWEEP),
 )
 def sweep_cross(spark, sf):
-    items = S.scores(spark, sf).where("model = 'lengths'").select("item_id", "n_chars")
+    items = C.documents(spark, sf).select(F.col("doc_id").alias("item_id"), "n_chars")
     return stress.sweep_cross(items).groupBy("condition", "severity").agg(F.count("*").alias("n_items"), F.sum("n_chars").alias("n_chars"))
 
 

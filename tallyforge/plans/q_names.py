@@ -94,6 +94,37 @@ def label_from_path(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.coalesce(number, F.when(lang.isin(*_LANGS), lang)).alias("label"))
 
 
+@query(
+    "label_from_path_characters",
+    r"""SELECT doc_id, CASE lang WHEN 'de' THEN 'sharp' WHEN 'es' THEN 'tilde' WHEN 'fr' THEN 'cedilla'
+              ELSE CASE WHEN try_cast(nullif(regexp_extract(doc_id::VARCHAR, '(\d{2,3})', 1), '') AS BIGINT) BETWEEN 10 AND 400 THEN try_cast(regexp_extract(doc_id::VARCHAR, '(\d{2,3})', 1) AS BIGINT)::VARCHAR END END AS label
+       FROM documents""",
+)
+def label_from_path_characters(spark, sf):
+    """Folders named by a class character, as in scans/mañana/17.png; without one the file's number decides."""
+    folder = F.create_map(*[F.lit(x) for kv in {"de": "groß", "es": "mañana", "fr": "façade", "en": "plain"}.items() for x in kv])
+    path = F.concat_ws("/", F.lit("scans"), F.element_at(folder, F.col("lang")), F.concat(F.col("doc_id"), F.lit(".png")))
+    label = codec.label_from_path(path, range(10, 401), {"ß": "sharp", "ñ": "tilde", "ç": "cedilla"})
+    return C.documents(spark, sf).select("doc_id", label.alias("label"))
+
+
+@query(
+    "parse_external_folders",
+    """SELECT doc_id, lang AS orig_label, n_chars % 300 AS code, CASE WHEN n_chars % 7 = 0 THEN '' ELSE 'P-' || lpad(doc_id::VARCHAR, 6, '0') END AS writer_id
+       FROM documents WHERE lang <> 'en' OR n_chars % 2 = 0""",
+)
+def parse_external_folders(spark, sf):
+    """Archive paths of the second scheme; every other English one is damaged (no code, no image or too short)."""
+    code, even = (F.col("n_chars") % 300).cast("string"), F.col("n_chars") % 2 == 0
+    folder = F.concat_ws("-", F.lit("set2"), code, F.lit("x"), "lang", F.lit("more"))
+    writer = F.when(F.col("n_chars") % 7 == 0, F.lit("none")).otherwise(F.concat(F.lit("P-"), F.lpad(F.col("doc_id").cast("string"), 6, "0")))
+    good = F.concat(F.lit("all/"), folder, F.lit("/Set2_F1_"), writer, F.lit("_23.JPG"))
+    damage = F.col("n_chars") % 3
+    bad = F.when(damage == 0, F.regexp_replace(good, "set2-[0-9]+", "set2-z")).when(damage == 1, F.concat(good, F.lit(".txt"))).otherwise(F.concat(folder, F.lit(".jpg")))
+    d = C.documents(spark, sf).select("doc_id", F.when((F.col("lang") == "en") & ~even, bad).otherwise(good).alias("path"))
+    return codec.parse_external_folders(d, "path").select("doc_id", "orig_label", F.col("code").cast("bigint").alias("code"), "writer_id")
+
+
 @query(
     "label_from_manifest",
     """SELECT d.doc_id, 'docs/' || d.lang || '/' || d.doc_id || '.txt' AS path, l.quality::VARCHAR AS label FROM documents d LEFT JOIN labels l USING (doc_id)""",

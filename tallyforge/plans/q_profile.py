@@ -255,8 +255,7 @@ def compare_distributions(spark, sf):
     ),
 )
 def leakage_report(spark, sf):
-    d = C.split_docs(spark, sf)
-    return profile.leakage_report(d.where("split = 'train'"), d.where("split = 'val'"), "lang", ["source"])
+    return profile.leakage_by_side(C.split_docs(spark, sf), "split", "lang", ["source"])
 
 
 @query(

@@ -72,10 +72,11 @@ def group_fraction_holdout_docs(spark, sf):
 )
 def holdout_checks(spark, sf):
     ev = table(spark, sf, "events").select("event_type", "user_id")
-    # one row per user, settled: the marking of the events is then the only pass that meets them
-    users = settle(split.group_fraction_holdout(ev, None, "user_id").select("user_id", "held"), "held-users")
+    # a user with very many events is a row per event type before the join
+    users = split.group_fraction_holdout(ev, None, "user_id").select("user_id", "held")
+    per = ev.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     classes = split.Classes.from_column(ev, "event_type")
-    return split.holdout_checks(ev.join(users, "user_id"), "held", "user_id", "event_type", classes, thin=280)
+    return split.holdout_checks(per.join(users, "user_id"), "held", "user_id", "event_type", classes, thin=280, weight="n")
 
 
 @query("kfold", with_blocks("SELECT doc_id, lang, (r - 1) % 5 AS fold FROM rk", _RANKED))

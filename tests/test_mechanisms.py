@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import ranking
-from tallyforge.functions.bounds import Classes
+from tallyforge.functions.bounds import Classes, settle, settled_tables
 from tallyforge.functions.quantiles import exact_medians
 from tallyforge.operators import clean, ensemble, overlay, profile, sample, split
 from tallyforge.sources import files, sinks
@@ -264,3 +264,83 @@ def test_a_restarted_stream_repeats_no_batch(spark, tmp_path):
     deliver([(4, "a")])
     then = run()
     assert {k: v for k, v in then.items() if k in first} == first and len(then) == 3
+
+
+# --- settled tables ------------------------------------------------------------------------------------
+def test_settled_tables_go_with_their_owner(spark):
+    d = spark.range(5)
+    with settled_tables(spark):
+        inner = settle(d, "inner")
+        kept = settle(inner.where("id > 2"), "kept", owned=False)
+        assert inner.count() == 5
+    assert kept.count() == 2
+    with pytest.raises(Exception, match="(?i)not.?exist|FILE_NOT_EXIST|not found"):
+        spark.read.parquet(inner.inputFiles()[0]).count()
+    outside = settle(d, "outside")
+    assert outside.count() == 5
+
+
+# --- the scorer's bounded slices -----------------------------------------------------------------------
+def test_scoring_in_slices_is_the_same(spark, monkeypatch):
+    from tallyforge.operators import score
+
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(0, 3)), int(i % 2), " ".join("ab" * int(x) for x in rng.integers(1, 9, int(rng.integers(0, 60))))) for i in range(120)]
+    batch_rows = spark.createDataFrame(rows, "k int, label int, fold int, text string")
+    tokens = score.tokens_of(score.words_of(batch_rows, "text", "k", "label", "fold"))
+    model = score.nb_fit(tokens, 3, folds=2)
+    whole = sorted((tuple(map(str, r)) for r in score.nb_score(tokens, model, ["k"], folds=2).collect()))
+    names, lps = model.tables["lengths", 0]
+    token = rng.choice(np.append(names, 10**6), 5000)
+    row = np.sort(rng.integers(0, 40, 5000))
+    want = np.zeros((40, 3))
+    for t, r in zip(token, row, strict=True):
+        if t in names:
+            want[r] += lps[list(names).index(t)]
+    for size in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(score, "SLICE", size)
+        value, seen = score._sums(token, row, 40, names, lps)
+        assert np.array_equal(value, want) and seen.sum() == np.isin(token, names).sum()
+        b = score.pa.record_batch([score.pa.array(range(4)), score.pa.array([[1] * n for n in (0, 5, 70, 3)])], names=["x", "t"])
+        assert sum(p.num_rows for p in score._slices(b, 1)) == 4
+        assert [list(v) for p in score._slices(b.slice(1, 3), 1) for v in p.column(1).to_pylist()] == [[1] * 5, [1] * 70, [1] * 3]
+    assert len(whole) == 120 * 3
+
+
+def test_ten_million_tokens_stay_below_a_gigabyte():
+    import tracemalloc
+
+    from tallyforge.operators import score
+
+    rng = np.random.default_rng(1)
+    names = np.arange(300)
+    lps = rng.integers(-(10**7), 0, (300, 72))
+    token, row = rng.integers(0, 300, 10_000_000), np.sort(rng.integers(0, 2000, 10_000_000))
+    tracemalloc.start()
+    value, _ = score._sums(token, row, 2000, names, lps)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30 and value.shape == (2000, 72)
+    tracemalloc.stop()
+
+
+# --- naming, mistakes and noise of all models ----------------------------------------------------------
+def test_second_naming_scheme(spark):
+    from tallyforge.operators import codec
+
+    names = ["all/a-161-b-label-x/Set2_F1_P-0001_23.jpg", "all/a-7-b-o/none.PNG", "all/a-x-b-o/P-1.jpg", "all/a-7-b/P-1.jpg", "a-7-b-o/P-1.jpg", "all/a-7-b-o/P-1.txt", None]
+    got = codec.parse_external_folders(spark.createDataFrame([(n,) for n in names], "p string"), "p")
+    assert [(r.orig_label, r.code, r.writer_id) for r in got.collect()] == [("label", 161, "P-0001"), ("o", 7, "")]
+
+
+def test_mistakes_per_model(spark):
+    from tallyforge.operators import errors
+
+    rows = [(m, i, 0, p, c) for m in ("a", "b") for i, (p, c) in enumerate([(1, 0.9), (1, 0.8), (2, 0.95), (0, 0.6), (0, 0.5)])]
+    pred = spark.createDataFrame(rows, "model string, item_id int, y int, pred int, p1 double")
+    shown = errors.show_class(pred, 0).collect()
+    assert [(r.model, r.pred, r.n_mistaken, r.item_id) for r in shown[:3]] == [("a", 1, 2, 0), ("a", 1, 2, 1), ("a", 2, 1, 2)] and len(shown) == 6
+    sure = errors.confident_mistakes(pred, "item_id", 1, ["model"]).collect()
+    assert sorted((r.model, r.list, r.item_id) for r in sure) == [("a", "right_unsure", 4), ("a", "wrong_sure", 2), ("b", "right_unsure", 4), ("b", "wrong_sure", 2)]
+    assert sorted((r.list, r.item_id, r.model) for r in errors.confident_mistakes(pred.where("model = 'a'"), "item_id", 1).collect()) == [("right_unsure", 4, "a"), ("wrong_sure", 2, "a")]
+    cells = spark.createDataFrame([(m, y, p, n) for m in "ab" for y, p, n in [(0, 1, 5), (1, 0, 4), (2, 0, 1), (2, 2, 9), (0, 0, 7)]], "model string, y int, pred int, n int")
+    zoom = errors.confusion_zoom(cells, 2, ["model"]).collect()
+    assert sorted((r.model, r.y, r.pred) for r in zoom) == [(m, y, p) for m in "ab" for y, p in [(0, 0), (0, 1), (1, 0)]]
