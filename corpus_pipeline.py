@@ -7,6 +7,11 @@ but the last return the columns of ``documents``; the last adds size, shard and
 Texts without a recognised language go, then all but one of each group of similar texts (five-word
 shingles, similarity 0.8 or more), then texts that hold a benchmark item. What is left is mixed to
 the target weights, rows of small sources coming up to twice, and range-partitioned to 16 shards.
+
+Defined results: a NULL or empty text has no letter and goes in the first stage; a NULL id or language is a row like
+any other; of fully repeated rows one stays (they are one group of similar texts); columns of any name
+pass through, but the last stage's replace carried ones of the same name; very long texts are read whole by
+every stage; ties are settled by the smallest id, then the hash of the text; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.functions.bounds import settle
+from tallyforge.functions.bounds import settle, settled_tables
 from tallyforge.llm import decontaminate, langid, mixing, sharding, similar
 from tallyforge.llm.queries import mix_options, table
 
@@ -55,5 +60,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        # a stage's own tables go as soon as its result is written
+        with settled_tables(spark):
+            docs = settle(stage(spark, docs, sf_dir), name, owned=False)
     return docs
