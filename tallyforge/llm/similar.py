@@ -57,7 +57,7 @@ PART = 1024
 LOOK = 16
 SMALL_CELL = 512
 WORDS = 1 << 15
-DENSE = 4
+DENSE = 1
 BINS = 128
 SURE = 1e-5
 BLOCK = 256
