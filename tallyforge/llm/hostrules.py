@@ -8,7 +8,8 @@ mostly by the prior, one with thousands by its own rows. The verdicts are joined
 a host with a third of all rows is split by the adaptive skew join.
 
 Defined results: a NULL text counts as empty (no words, so it fails the base rules); rows with a
-NULL host form a host of their own; repeated rows count as often as they occur; an empty table
+NULL host form a host of their own; equal lines and windows (ties) count by place; a very long text is one row like
+any other; repeated rows count as often as they occur; an empty table
 gives an empty result. Only the id, host and text columns are read.
 """
 

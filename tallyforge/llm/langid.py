@@ -12,7 +12,8 @@ from.
 
 Defined results: a NULL text or one without a letter gives ``und`` and score 0; so does every
 text if no row is labelled. Repeated rows get the same result each; an empty table gives an empty
-result. Output columns replace input columns of the same name.
+result. Of equally probable languages (ties) the first in the alphabet counts; a very long text is read in
+windows, all of them. Output columns replace input columns of the same name.
 """
 
 from __future__ import annotations

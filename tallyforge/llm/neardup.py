@@ -9,7 +9,8 @@ further planes.
 
 Defined results: NULL and empty texts and texts without a word have fingerprint zero and are
 linked like any other; rows with a NULL id take part, and a group without any id has a NULL
-component_id; repeated rows each give a row; an empty table gives an empty result. Only the id and
+component_id; repeated rows each give a row; a shingle bit set in exactly half the shingles (a tie) is 0; a very
+long text is read whole, its shingles in blocks; an empty table gives an empty result. Only the id and
 text columns are read, so other columns cannot clash.
 """
 
