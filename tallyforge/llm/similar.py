@@ -517,7 +517,9 @@ def _with_ends(edges: DataFrame, side: DataFrame, column: str) -> DataFrame:
 
 
 def _ends(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array("u", "v")).alias("th")).distinct()
+    """(th): the nodes of the edges, each side reduced on its own first."""
+    one, two = (edges.select(F.col(c).alias("th")).distinct() for c in ("u", "v"))
+    return one.unionByName(two).distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, part: int = PART) -> DataFrame:
