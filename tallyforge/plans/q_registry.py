@@ -281,6 +281,47 @@ def write_report(spark, sf):
     return spark.read.text(path)
 
 
+_REPORT = "SELECT model, count(*) AS n, count(*) FILTER (y = pred) AS n_correct FROM pd GROUP BY model"
+
+
+def _report_query(fmt):
+    @query(f"write_report_{fmt}", with_blocks(_REPORT, S.PRED))
+    def run(spark, sf):
+        path = scratch_path(spark, f"report-{fmt}")
+        d = S.pred(spark, sf).groupBy("model").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"))
+        sinks.write_report(d, path, fmt, ["model"])
+        back = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.json(path)
+        return back.select("model", *big("n", "n_correct"))
+
+    return run
+
+
+_report_query("csv")
+_report_query("json")
+
+
+@query("rejected_runs", """SELECT DISTINCT '{"exp_id": ' || lang AS text, false AS readable FROM documents WHERE lang IS NOT NULL""")
+def rejected_runs(spark, sf):
+    """The damaged records among the stored runs, with the file they are in."""
+    d = files.rejected_runs(spark, _stored_runs(spark, sf))
+    return d.select("text", F.col("path").isNull().alias("readable"))
+
+
+@query(
+    "scan_skipped",
+    """SELECT lang AS class, CASE lang WHEN 'es' THEN 'class' ELSE 'extension' END AS reason, true AS listed FROM documents WHERE lang IN ('en', 'es') GROUP BY lang""",
+)
+def scan_skipped(spark, sf):
+    """Files that a scan leaves out: those of a class outside the universe and compressed copies beside the kept ones."""
+    path = scratch_path(spark, "tree")
+    d = C.documents(spark, sf).select("lang", F.regexp_replace("text", r"[\r\n]", " ").alias("value"))
+    d.write.partitionBy("lang").text(path)
+    d.where("lang = 'en'").write.mode("append").option("compression", "gzip").partitionBy("lang").text(path)
+    _, skipped = files.scan_files(spark, path, ".txt", Classes.of(spark, ["lang=de", "lang=en", "lang=fr"]))
+    per = skipped.groupBy("class", "reason").agg(F.count("*").alias("n"))
+    return per.select(F.regexp_replace("class", "lang=", "").alias("class"), "reason", (F.col("n") > 0).alias("listed"))
+
+
 def _per_class(batch):
     size = F.sum(F.octet_length("text").cast("bigint")).alias("n_bytes")
     return batch.groupBy("lang", "label").agg(F.count("*").alias("n"), size, F.count_if(F.col("text").isNull()).alias("n_unreadable"))

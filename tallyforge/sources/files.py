@@ -74,8 +74,9 @@ def _parsed_runs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(F.regexp_replace(x, "\r", ""))), lambda x: x != "")
     brace = lambda x, end: x.startswith("{") & x.endswith(end)
     one = F.from_json("value", "exp_id string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    # a file of records one to a line parses as its first record: its first line is whole
-    by_line = (F.size(lines) > 1) & (brace(F.get(lines, F.lit(0)), "}") | (one["_bad"].isNotNull() & F.exists(lines, lambda x: brace(x, "}"))))
+    # a file of records one to a line parses as its first record: its first line is whole; of damaged ones each line begins one
+    listed = F.exists(lines, lambda x: brace(x, "}")) | F.forall(lines, lambda x: x.startswith("{"))
+    by_line = (F.size(lines) > 1) & (brace(F.get(lines, F.lit(0)), "}") | (one["_bad"].isNotNull() & listed))
     texts = F.when(by_line, lines).otherwise(F.array("value"))
     rows = whole.select(F.col("_metadata.file_path").alias("path"), F.explode(texts).alias("text")).where(F.trim("text") != "")
     return rows.withColumn("run", parsed(F.col("text")))
